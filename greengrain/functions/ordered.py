@@ -72,3 +72,17 @@ def row_numbers(df: DataFrame, keys: list[str], order: str, tie: list[str],
     return (ranged.join(offsets, [*keys, "_range"])
             .withColumn(number, F.col("_offset") + F.row_number().over(inside))
             .drop("_offset"))
+
+
+def following_minimum(df: DataFrame, keys: list[str], value: str, measure: str,
+                      name: str = "following_min") -> DataFrame:
+    """For rows with distinct `value` per group: smallest `measure` at this or any larger value."""
+    ranged = with_range(df, keys, value)
+    per_range = ranged.groupBy(*keys, "_range").agg(F.min(measure).alias("_m"))
+    later = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    beyond = per_range.select(*keys, "_range", F.min("_m").over(later).alias("_beyond"))
+    inside = (Window.partitionBy(*keys, "_range").orderBy(value)
+              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return (ranged.join(beyond, [*keys, "_range"])
+            .withColumn(name, F.least(F.min(measure).over(inside), F.col("_beyond")))
+            .drop("_range", "_beyond"))

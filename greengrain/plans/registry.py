@@ -34,6 +34,9 @@ def compose(sql: str) -> str:
     if not needed:
         return sql
     body = ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in _PARTS.items() if n in needed)
+    own = re.match(r"\s*with recursive\s", sql)
+    if own:
+        return f"WITH RECURSIVE {body},\n{sql[own.end():]}"
     return f"WITH {body}\n{sql}"
 
 
