@@ -79,10 +79,11 @@ def following_minimum(df: DataFrame, keys: list[str], value: str, measure: str,
     """For rows with distinct `value` per group: smallest `measure` at this or any larger value."""
     ranged = with_range(df, keys, value)
     per_range = ranged.groupBy(*keys, "_range").agg(F.min(measure).alias("_m"))
-    later = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     beyond = per_range.select(*keys, "_range", F.min("_m").over(later).alias("_beyond"))
-    inside = (Window.partitionBy(*keys, "_range").orderBy(value)
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # descending order turns the suffix into a prefix, which is one pass
+    inside = (Window.partitionBy(*keys, "_range").orderBy(F.desc(value))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (ranged.join(beyond, [*keys, "_range"])
             .withColumn(name, F.least(F.min(measure).over(inside), F.col("_beyond")))
             .drop("_range", "_beyond"))

@@ -81,9 +81,11 @@ def fill_gaps(value: str, entity: str, within: Column | None = None) -> Column:
     """
     seen = F.col(value) if within is None else F.when(within, F.col(value))
     past = by_day(entity).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = by_day(entity).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # only leading rows lack a past value, and the next one they see is the first of all;
+    # a frame that starts at the current row would be rescanned for every row
+    whole = by_day(entity).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     filled = F.coalesce(F.last(seen, ignorenulls=True).over(past),
-                        F.first(seen, ignorenulls=True).over(later))
+                        F.first(seen, ignorenulls=True).over(whole))
     return filled if within is None else F.when(within, filled)
 
 

@@ -42,11 +42,12 @@ def entity_pairs(df: DataFrame, entity: str, payload: str = "series", within: li
     An entity is copied `tiles` times per side, and tiles x tiles tasks share the pairs
     evenly however the `within` keys are distributed. Raise `tiles` with the entity count.
     """
-    block = F.pmod(F.xxhash64(entity), F.lit(tiles)).cast("int")
+    block = F.pmod(F.xxhash64("_e"), F.lit(tiles)).cast("int")
     every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    left = df.select(*within, F.col(entity).alias("source"), F.col(payload).alias("x"),
+    df = df.select(*within, F.col(entity).alias("_e"), F.col(payload).alias("_p"))
+    left = df.select(*within, F.col("_e").alias("source"), F.col("_p").alias("x"),
                      block.alias("_row"), F.explode(every).alias("_column"))
-    right = df.select(*within, F.col(entity).alias("target"), F.col(payload).alias("y"),
+    right = df.select(*within, F.col("_e").alias("target"), F.col("_p").alias("y"),
                       F.explode(every).alias("_row"), block.alias("_column"))
     return (left.join(right, [*within, "_row", "_column"])
             .where(F.col("source") < F.col("target")).drop("_row", "_column"))
@@ -71,18 +72,26 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def index_correlation(monthly: DataFrame, entity: str, value: str = "seasonal_index") -> DataFrame:
-    """Pearson r between 12-month index vectors; 0 where one is constant."""
-    stats = monthly.groupBy(entity).agg(
+def pearson(df: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
+    """Pearson r between entities that share the same index; 0 where one side is constant.
+
+    Each series is standardized once before pairing, so a pair costs one dot product.
+    """
+    stats = df.groupBy(entity).agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"),
-        F.transform(F.array_sort(F.collect_list(F.struct("month", F.col(value).alias("v")))),
+        F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))),
                     lambda r: r["v"]).alias("_v"))
     unit = stats.select(entity, F.transform("_v", lambda v: F.coalesce(
-        ratio(v - F.col("_mean"), F.col("_std")), F.lit(0.0))).alias("series"))
-    return entity_pairs(unit, entity).select(
+        ratio(v - F.col("_mean"), F.col("_std")), F.lit(0.0))).alias("_unit"))
+    return entity_pairs(unit, entity, "_unit").select(
         "source", "target", (_dot(F.col("x"), F.col("y")) / F.size("x")).alias("r"))
 
 
+def index_correlation(monthly: DataFrame, entity: str, value: str = "seasonal_index") -> DataFrame:
+    """Pearson r between 12-month index vectors."""
+    return pearson(monthly, entity, ["month"], value)
+
+
 def active_overlap(series: DataFrame, entity: str) -> DataFrame:
     """Days with sales on both sides over days with sales on either, on days both are observed."""
     # 1 active, 0 idle, NULL unobserved; a byte per day keeps the copies small

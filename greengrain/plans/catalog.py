@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from greengrain.plans import profiling, relationships  # noqa: F401
+from greengrain.plans import category_plan, profiling, relationships  # noqa: F401
 from greengrain.plans.registry import QUERIES  # noqa: F401

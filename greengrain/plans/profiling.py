@@ -306,7 +306,7 @@ def w04(spark, sf):
       {fx('gross_sales_qty / nullif(sum(gross_sales_qty) over (partition by date), 0)', 9)} as share
     from sku_day""")
 def w05(spark, sf):
-    return (calendar.daily_share(tables.sku_day(spark, sf), QTY)
+    return (calendar.daily_share(tables.sku_mart(spark, sf), QTY)
             .select("sku_code", day(), *fixed_cols("share", digits=9)))
 
 
@@ -418,7 +418,7 @@ def a05(spark, sf):
       count(distinct gross_weighted_avg_price) as distinct_gross_weighted_avg_price
     from sku_day group by sku_code""")
 def a06(spark, sf):
-    return profile.distinct_counts(tables.sku_day(spark, sf), "sku_code", ["date", "gross_weighted_avg_price"])
+    return profile.distinct_counts(tables.sku_mart(spark, sf), "sku_code", ["date", "gross_weighted_avg_price"])
 
 
 @query("a15_box_stats", f"""
@@ -432,7 +432,7 @@ def a06(spark, sf):
           group by 1) q on q.category_name = d.category_name
     group by d.category_name""")
 def a15(spark, sf):
-    return profile.box_stats(tables.sku_day(spark, sf), "category_name", QTY).select(
+    return profile.box_stats(tables.sku_mart(spark, sf), "category_name", QTY).select(
         "category_name", *fixed_cols("q1", "median", "q3"), "n", *fixed_cols("whisker_low", "whisker_high"), "outliers")
 
 

@@ -523,7 +523,7 @@ part("product_edges", """
       {fx('avg(abs(r))')} as mean_abs_weight, {fx('avg(jaccard)')} as mean_stability
     from product_edges group by 1""")
 def a14(spark, sf):
-    daily = stage(tables.product_day(spark, sf), "product_day")
+    daily = tables.product_day(spark, sf)
     meta = daily.select("sku_code", "category_name").distinct()
     monthly = profile.monthly_profile(daily, "sku_code", QTY)
     top = pairs.index_correlation(monthly, "sku_code").orderBy(F.desc(F.abs("r")), "source", "target").limit(300)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from greengrain.functions.staging import stage
 from greengrain.sources import mart
 
 
@@ -37,19 +38,27 @@ def sku_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sku_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (date, sku_code)."""
+    """One row per (date, sku_code), for operators that pass over it once."""
     sums = sku_sums(spark, sf_dir).withColumn("sku_code", F.col("sku").cast("string"))
     return mart.measures(sums, ["date", "sku_code"], ["sku_name", "category_name", "item_name"])
 
 
+def sku_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table written once, for operators that read it more than once."""
+    return stage(sku_day(spark, sf_dir), "sku_day")
+
+
+# The rolled-up tables below feed calendars, bounds and joins, each of which would scan the
+# ledger again; they are small (days x entities), so they are written once per query.
+
 def category_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (date, category_name); the size is bounded by days x categories."""
-    return mart.roll_up(sku_sums(spark, sf_dir), ["category_name"])
+    """One row per (date, category_name)."""
+    return stage(mart.roll_up(sku_sums(spark, sf_dir), ["category_name"]), "category_day")
 
 
 def item_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (date, item_name)."""
-    return mart.roll_up(sku_sums(spark, sf_dir), ["item_name"])
+    return stage(mart.roll_up(sku_sums(spark, sf_dir), ["item_name"]), "item_day")
 
 
 def product_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +67,5 @@ def product_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     Dense enough for the assortment operators, which need weeks of history per SKU.
     """
     keyed = sku_sums(spark, sf_dir).withColumn("sku_code", F.concat_ws("/", "category_name", "item_name"))
-    return mart.roll_up(keyed, ["category_name", "sku_code"]).withColumn("sku_name", F.col("sku_code"))
+    return stage(mart.roll_up(keyed, ["category_name", "sku_code"]), "product_day").withColumn(
+        "sku_name", F.col("sku_code"))
