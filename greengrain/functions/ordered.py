@@ -87,3 +87,33 @@ def following_minimum(df: DataFrame, keys: list[str], value: str, measure: str,
     return (ranged.join(beyond, [*keys, "_range"])
             .withColumn(name, F.least(F.min(measure).over(inside), F.col("_beyond")))
             .drop("_range", "_beyond"))
+
+
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, tie: list[str],
+                       probs: dict[str, float]) -> DataFrame:
+    """Weighted quantiles by linear interpolation between mid-weight positions, flat beyond the ends.
+
+    A row sits at (weight before it + half its own) / total, in the order (value, *tie).
+    Equal values form a flat run from the position of the first to that of the last, so
+    they are collapsed to one row that remembers both; this keeps the result exact.
+    """
+    use = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    runs = use.groupBy(*keys, value).agg(
+        F.sum(weight).alias("_w"), F.min_by(weight, F.struct(*tie)).alias("_first"),
+        F.max_by(weight, F.struct(*tie)).alias("_last"))
+    placed = running_total(runs, keys, value, "_w", "_before", "_all")
+    placed = placed.withColumn("_enter", (F.col("_before") + F.col("_first") / 2) / F.col("_all"))
+    placed = placed.withColumn("_leave", (F.col("_before") + F.col("_w") - F.col("_last") / 2) / F.col("_all"))
+    aggs = []
+    for name, p in probs.items():
+        left = F.max(F.when(F.col("_enter") <= p, F.struct(F.least(F.lit(p), "_leave").alias("at"), F.col(value).alias("v"))))
+        right = F.min(F.when(F.col("_leave") >= p, F.struct(F.greatest(F.lit(p), "_enter").alias("at"), F.col(value).alias("v"))))
+        aggs += [left.alias(f"{name}_l"), right.alias(f"{name}_r")]
+    sides = placed.groupBy(*keys).agg(*aggs)
+    out = []
+    for name, p in probs.items():
+        a, b = F.col(f"{name}_l"), F.col(f"{name}_r")
+        gap = F.nullif(b["at"] - a["at"], F.lit(0.0))
+        between = a["v"] + (b["v"] - a["v"]) * F.coalesce((F.lit(p) - a["at"]) / gap, F.lit(0.0))
+        out.append(F.coalesce(between, a["v"], b["v"]).alias(name))
+    return sides.select(*keys, *out)

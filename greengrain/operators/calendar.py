@@ -106,14 +106,20 @@ def daily_share(df: DataFrame, value: str) -> DataFrame:
             .withColumn("share", ratio(value, "_total")).drop("_total"))
 
 
-def winsorized(df: DataFrame, entity: str, value: str, low: float = 0.01, high: float = 0.99,
-               name: str = "centered") -> DataFrame:
-    """Clip at the entity's own tail quantiles and subtract the mean of the clipped values."""
-    tails = df.groupBy(entity).agg(
-        F.percentile(value, F.lit(low)).alias("_low"), F.percentile(value, F.lit(high)).alias("_high"))
-    clipped = df.join(tails, entity).withColumn("_c", clip(value, F.col("_low"), F.col("_high")))
-    return (clipped.withColumn(name, F.col("_c") - F.avg("_c").over(Window.partitionBy(entity)))
-            .drop("_low", "_high", "_c"))
+def winsorized(df: DataFrame, entity: str, values: dict[str, str], low: float = 0.01,
+               high: float = 0.99) -> DataFrame:
+    """Clip each value at the entity's own tail quantiles and subtract the mean of the clipped values.
+
+    `values` maps a column to the name of its centered copy; all share one pass.
+    """
+    tails = df.groupBy(entity).agg(*[
+        F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"_{v}") for v in values])
+    clipped = df.join(tails, entity).select("*", *[
+        clip(v, F.col(f"_{v}")[0], F.col(f"_{v}")[1]).alias(f"_c_{v}") for v in values])
+    whole = Window.partitionBy(entity)
+    return (clipped.select("*", *[(F.col(f"_c_{v}") - F.avg(f"_c_{v}").over(whole)).alias(name)
+                                  for v, name in values.items()])
+            .drop(*[f"_{v}" for v in values], *[f"_c_{v}" for v in values]))
 
 
 def change_quantile(df: DataFrame, entity: str, value: str, p: float = 0.90) -> DataFrame:

@@ -36,8 +36,7 @@ def residual_pool(state: DataFrame) -> DataFrame:
     categories = state.select(F.count_distinct(CAT)).scalar()
     dates = known.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == categories)
     common = known.join(dates.select("date"), "date", "left_semi").select(CAT, "date", "demand_residual", "cost_residual")
-    out = winsorized(common, CAT, "demand_residual", name="e")
-    return winsorized(out, CAT, "cost_residual", name="u").select(CAT, "date", "e", "u")
+    return winsorized(common, CAT, {"demand_residual": "e", "cost_residual": "u"}).select(CAT, "date", "e", "u")
 
 
 def week_starts(pool: DataFrame, days: int = DAYS) -> DataFrame:

@@ -174,7 +174,7 @@ def p05(spark, sf):
                                  from cat_dense group by 1) q on q.category_name = d.category_name)""")
 def p06(spark, sf):
     dense = calendar.dense_calendar(tables.category_day(spark, sf), "category_name", [QTY])
-    return (calendar.winsorized(dense, "category_name", QTY)
+    return (calendar.winsorized(dense, "category_name", {QTY: "centered"})
             .select("category_name", day(), *fixed_cols("centered")))
 
 
