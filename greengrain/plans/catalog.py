@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from greengrain.plans import assortment_plan, category_plan, profiling, relationships  # noqa: F401
+from greengrain.plans import assortment_plan, category_plan, profiling, relationships, tables_and_checks  # noqa: F401
 from greengrain.plans.registry import QUERIES  # noqa: F401
