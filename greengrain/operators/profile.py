@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from greengrain.functions.exprs import SEASONS, at_least, ratio, sales_year, season_of
+from greengrain.functions.exprs import SEASONS, at_least, fixed, ratio, sales_year, season_of
 from greengrain.functions.ordered import exact_quantiles
 from greengrain.operators.calendar import date_bounds
 
@@ -87,8 +87,11 @@ def seasonal_profile(monthly: DataFrame, entity: str) -> DataFrame:
 
 
 def peaks(monthly: DataFrame, entity: str) -> DataFrame:
-    """Peak month (earliest on a tie), its season and index, and how concentrated the seasons are."""
-    best = F.max_by(F.struct("month", "seasonal_index"), F.struct(F.col("seasonal_index"), -F.col("month")))
+    """Peak month, its season and index, and how concentrated the seasons are.
+
+    The earliest month wins a tie; indices that agree to nine digits are tied.
+    """
+    best = F.max_by(F.struct("month", "seasonal_index"), F.struct(fixed("seasonal_index", 9), -F.col("month")))
     season_share = [F.sum(F.when(season_of("month") == s, F.col("sales_proportion"))).alias(s)
                     for s in SEASONS]
     agg = monthly.groupBy(entity).agg(best.alias("_best"), *season_share)

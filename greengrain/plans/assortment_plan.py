@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from greengrain.functions.exprs import fixed
@@ -65,6 +65,8 @@ class Assortment:
     bounds: DataFrame
     category_demand: DataFrame
     nominal_order: DataFrame
+    category: cp.CategoryModel
+    base_plan: DataFrame
 
 
 def build(spark, sf) -> Assortment:
@@ -79,7 +81,7 @@ def build(spark, sf) -> Assortment:
     shares = shares_of(daily, cand, target)
     cand = stage(cand.join(shares.drop(CAT), SKU), "candidates")
     return Assortment(daily, target, cand, m.theta, m.bounds, category_demand,
-                      base.where(first).agg(F.sum("order_qty").alias("nominal")))
+                      base.where(first).agg(F.sum("order_qty").alias("nominal")), m, base)
 
 
 def shares_of(daily, cand, target):
@@ -367,8 +369,8 @@ class Evaluated:
     outcomes: DataFrame
 
 
-def evaluated(spark, sf, sizes=SIZES) -> Evaluated:
-    a = build(spark, sf)
+def evaluated(spark, sf, sizes=SIZES, chain: Assortment | None = None) -> Evaluated:
+    a = chain or build(spark, sf)
     prices = so.nearest_price(grid_of(a))
     plans = stage(sized_plans(a, ranked_candidates(a, prices, max(sizes)), sizes), "plans")
     chosen = plans.select(SKU, CAT, "price").distinct()
@@ -454,7 +456,10 @@ part("v_eval", """
     from v_eval e join (select v.variant, count(b.sku_code) / cast(2 * {FINAL} - count(b.sku_code) as double) as jaccard
       from v_plan v left join (select sku_code from v_plan where variant = 'baseline') b on b.sku_code = v.sku_code group by 1) j on j.variant = e.variant""")
 def k13(spark, sf):
-    a = build(spark, sf)
+    return sensitivity(build(spark, sf))
+
+
+def sensitivity(a: Assortment) -> DataFrame:
     prices = so.nearest_price(grid_of(a))
     shares = so.share_scenarios(a.daily, a.cand, a.target, sc.SCENARIOS, weights=[0.25, 0.5, 0.75])
     table = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(r).alias("risk"), F.lit(e).alias("scale"), F.lit(h).alias("h"),
@@ -464,8 +469,6 @@ def k13(spark, sf):
     demand = stage(demand.join(a.cand.select(SKU, "loss_rate", "predicted_cost"), SKU).withColumn(
         "cost", F.col("predicted_cost") * F.exp("u")), "variant_demand")
     means = demand.groupBy("variant", "risk", "factor", SKU, "loss_rate").agg(F.avg("demand").alias("mean_demand"))
-    # candidates of one variant; FINAL of them are kept
-    from pyspark.sql import Window
     place = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc(fixed("mean_demand")), SKU))
     plan = stage(means.withColumn("place", place).where(F.col("place") <= FINAL).select(
         "variant", SKU, (F.col("factor") * F.col("mean_demand") / (1 - F.col("loss_rate"))).alias("order_qty")), "variant_plan")
@@ -473,7 +476,6 @@ def k13(spark, sf):
     outcomes = so.scenario_outcomes(facts, a.category_demand.select("scenario", CAT, "category_demand"), ["variant", "risk"])
     scored = so.evaluate(outcomes, ["variant", "risk"], F.col("risk"))
     base = plan.where(F.col("variant") == "baseline").select(SKU)
-    names = plan.select("variant").distinct()
     copies = base.withColumn("variant", F.explode(F.array(*[F.lit(v[0]) for v in VARIANTS])))
     overlap = network.set_overlap(plan, copies, [SKU], ["variant"])
     return scored.join(overlap.select("variant", "jaccard"), "variant").select(

@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from greengrain.plans import assortment_plan, category_plan, profiling, relationships, tables_and_checks  # noqa: F401
+from greengrain.plans import (assortment_plan, auditing, category_plan, fitting, profiling,  # noqa: F401
+                               relationships, tables_and_checks)
 from greengrain.plans.registry import QUERIES  # noqa: F401

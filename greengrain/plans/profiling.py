@@ -374,7 +374,7 @@ def a02(spark, sf):
 @query("a03_peaks", f"""
     select p.item_name, p.month as peak_month, {fx('p.seasonal_index')} as peak_month_index,
       {SEASON_SQL.replace('month', 'p.month')} as peak_season, {fx('s.hi / (s.lo + 1e-12)', 4)} as season_concentration
-    from (select *, row_number() over (partition by item_name order by seasonal_index desc, month) as rn from item_month) p
+    from (select *, row_number() over (partition by item_name order by floor(seasonal_index * 1e9 + 0.5) desc, month) as rn from item_month) p
     join (select item_name, max(sh) as hi, min(sh) as lo
           from (select item_name, {SEASON_SQL} as season, sum(sales_proportion) as sh from item_month group by 1, 2)
           group by 1) s on s.item_name = p.item_name

@@ -37,6 +37,8 @@ def compose(sql: str) -> str:
     own = re.match(r"\s*with recursive\s", sql)
     if own:
         return f"WITH RECURSIVE {body},\n{sql[own.end():]}"
+    if re.match(r"\s*with\s", sql):
+        sql = f"SELECT * FROM ({sql})"
     return f"WITH {body}\n{sql}"
 
 

@@ -158,10 +158,13 @@ def v04(spark, sf):
     return checks.shares_sum_to_one(monthly, ["sku_code"], "sales_proportion").select("sku_code", "passed")
 
 
-@query("v05_missing_keys", "select p_partkey as sku from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'A')")
+@query("v05_missing_keys", """
+    select category_name, cast(date as varchar) as date from (select category_name, date from cat_day where return_qty > 0
+      except select category_name, date from cat_day where gross_sales_qty > 0)""")
 def v05(spark, sf):
-    sold = tables.read(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("sku"))
-    return checks.missing_keys(tables.dimension(spark, sf), sold, ["sku"])
+    daily = tables.category_day(spark, sf)
+    return checks.missing_keys(daily.where("return_qty > 0"), daily.where(F.col(QTY) > 0), ["category_name", "date"]).select(
+        "category_name", day())
 
 
 @query("v06_completeness", "select sku_code, count(*) as found, cast(1 as bigint) as copies, count(*) = 12 as passed from product_month group by 1")
