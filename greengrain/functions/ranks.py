@@ -37,7 +37,8 @@ def student_p(r: float, n: int) -> float:
     low, high = abs(r), min(1.0, abs(r) + 14.0 / math.sqrt(2.0 * a + 1.0))
     s = low + (high - low) * (nodes + 1.0) / 2.0
     inner = np.maximum(1.0 - s * s, 1e-300)
-    density = 2.0 * np.exp(log_scale + (a - 1.0) * np.log(inner))
+    density = np.exp(log_scale + (a - 1.0) * np.log(inner))
+    # two tails of (high - low) / 2 each
     return float(min(1.0, (high - low) * float(weights @ density)))
 
 

@@ -45,18 +45,16 @@ CAPABILITIES = ["latent_demand", "price_response", "dynamic_loss", "supply_cost"
                 "realized_validation", "competitive_context"]
 
 
-def feasible(packages: Column, scenario: str) -> Column:
-    """Every requirement of the scenario has an alternative that the set contains."""
-    met = F.lit(True)
-    for r in SCENARIOS[scenario]:
-        some = F.lit(False)
-        for alternative in REQUIREMENTS[r]:
-            whole = F.lit(True)
-            for p in alternative:
-                whole = whole & F.array_contains(packages, p)
-            some = some | whole
-        met = met & some
-    return met
+def scenario_table() -> Column:
+    """The scenarios as an array of (scenario, requirements); a requirement is a list of package sets."""
+    alternatives = lambda r: F.array(*[F.array(*[F.lit(p) for p in a]) for a in REQUIREMENTS[r]])
+    return F.array(*[F.struct(F.lit(s).alias("scenario"), F.array(*[alternatives(r) for r in needs]).alias("needs"))
+                     for s, needs in SCENARIOS.items()])
+
+
+def feasible(needs: Column, packages: Column) -> Column:
+    """Every requirement has an alternative that the package set contains."""
+    return F.forall(needs, lambda options: F.exists(options, lambda a: F.size(F.array_except(a, packages)) == 0))
 
 
 def package_sets(holdings: DataFrame, owner: str, package: str) -> DataFrame:
@@ -67,16 +65,13 @@ def package_sets(holdings: DataFrame, owner: str, package: str) -> DataFrame:
 
 def minimum_portfolios(sets: DataFrame) -> DataFrame:
     """Per scenario all feasible sets of the smallest feasible size, with a deletion-minimal flag."""
-    def row(s: str) -> Column:
-        minimal = F.lit(True)
-        for p in PACKAGES:
-            needed = ~feasible(F.array_remove("packages", p), s)
-            minimal = minimal & (~F.array_contains("packages", p) | needed)
-        return F.struct(F.lit(s).alias("scenario"), feasible(F.col("packages"), s).alias("ok"), minimal.alias("deletion_minimal"))
-    long = sets.withColumn("s", F.explode(F.array(*[row(s) for s in SCENARIOS]))).where("s.ok").select(
-        "s.scenario", F.size("packages").alias("portfolio_size"), "packages", "owners", "s.deletion_minimal")
+    long = sets.withColumn("s", F.explode(scenario_table())).select(
+        "s.*", "packages", "owners", F.size("packages").alias("portfolio_size"))
+    long = long.where(feasible(F.col("needs"), F.col("packages")))
     smallest = long.groupBy("scenario").agg(F.min("portfolio_size").alias("portfolio_size"))
-    return long.join(smallest, ["scenario", "portfolio_size"])
+    minimal = F.forall("packages", lambda p: ~feasible(F.col("needs"), F.array_remove(F.col("packages"), p)))
+    return long.join(smallest, ["scenario", "portfolio_size"]).select(
+        "scenario", "portfolio_size", "packages", "owners", minimal.alias("deletion_minimal"))
 
 
 def priority_tiers(portfolios: DataFrame) -> DataFrame:
