@@ -19,7 +19,8 @@ def dense(spark, sf, level):
 
 
 def detrended(spark, sf, level):
-    return dense(spark, sf, level).withColumn("x", calendar.month_demeaned_log(QTY, level))
+    """Detrended values to nine digits: equal days must tie however their month mean was added up."""
+    return dense(spark, sf, level).withColumn("x", fixed(calendar.month_demeaned_log(QTY, level), 9))
 
 
 def shares(spark, sf, level):
@@ -41,8 +42,8 @@ def pair_scores(found):
 
 for level, short in (("category_name", "cat"), ("item_name", "item")):
     part(f"{short}_detr_p", f"""
-        select {level} as e, date, p.period, ln(1 + qty) - avg(ln(1 + qty)) over
-            (partition by {level}, p.period, date_trunc('month', date)) as x
+        select {level} as e, date, p.period, floor((ln(1 + qty) - avg(ln(1 + qty)) over
+            (partition by {level}, p.period, date_trunc('month', date))) * 1e9 + 0.5) / 1e9 as x
         from {short}_dense d join (values ('all'), ('spring'), ('summer'), ('autumn'), ('winter')) p(period)
           on p.period = 'all' or p.period = {SEASON_SQL.replace('month', 'month(d.date)')}""")
     part(f"{short}_share_p", f"""
@@ -228,7 +229,7 @@ def p11(spark, sf):
 def relation_table(daily, entity, level, monthly):
     """All four indicators of one level in long form, with q values and strength labels."""
     keys = ["source", "target", "period"]
-    trend = daily.withColumn("x", calendar.month_demeaned_log(QTY, entity))
+    trend = daily.withColumn("x", fixed(calendar.month_demeaned_log(QTY, entity), 9))
     share = calendar.daily_share(daily, QTY).withColumn("x", F.col("share"))
     blocks = []
     for name, frame in (("sales", trend), ("share", share)):
@@ -277,7 +278,7 @@ def r07(spark, sf):
 
 
 part("item_raw_p", "select item_name as e, date, 'all' as period, qty as x from item_dense")
-part("item_resid_p", "select item_name as e, date, 'all' as period, residual as x from item_decomposed")
+part("item_resid_p", "select item_name as e, date, 'all' as period, floor(residual * 1e9 + 0.5) / 1e9 as x from item_decomposed")
 part("item_raw_spearman", spearman_sql("item_raw_p"))
 part("item_resid_spearman", spearman_sql("item_resid_p"))
 
@@ -287,7 +288,7 @@ part("item_resid_spearman", spearman_sql("item_resid_p"))
     from item_raw_spearman a join item_resid_spearman b on a.source = b.source and a.target = b.target""")
 def r08(spark, sf):
     base = dense(spark, sf, "item_name").withColumn("logq", log_qty(QTY))
-    split = calendar.decompose(base, "item_name", "logq")
+    split = calendar.decompose(base, "item_name", "logq").withColumn("residual", fixed("residual", 9))
     one = lambda v, name: pairs.rank_correlation(whole_pairs(split, "item_name", v), ["source", "target"]).select(
         "source", "target", fixed("r").alias(name))
     return one(QTY, "r_raw").join(one("residual", "r_residual"), ["source", "target"])
@@ -311,7 +312,7 @@ def mic_sql(source: str, key: str) -> str:
 
 
 part("cat_resid", """
-    select category_name as e, date, x - trend - weekly - yearly as x from
+    select category_name as e, date, floor((x - trend - weekly - yearly) * 1e9 + 0.5) / 1e9 as x from
       (select *, avg(x - trend - weekly) over (partition by category_name, dayofyear(date)) as yearly from
         (select *, avg(x - trend) over (partition by category_name, isodow(date)) as weekly from
           (select category_name, date, ln(1 + qty) as x, avg(ln(1 + qty)) over (partition by category_name order by date
@@ -323,7 +324,7 @@ part("cat_mic", mic_sql("cat_resid_pairs", "source, target"))
 
 def residual_series(spark, sf, level):
     split = calendar.decompose(dense(spark, sf, level).withColumn("logq", log_qty(QTY)), level, "logq")
-    return stage(pairs.packed(split, [level], "residual"), "residual_series")
+    return stage(pairs.packed(split.withColumn("residual", fixed("residual", 9)), [level], "residual"), "residual_series")
 
 
 @query("r09_information_score", f"select source, target, {fx('score')} as score from cat_mic")
