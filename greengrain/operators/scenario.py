@@ -153,7 +153,8 @@ def plan_summary(facts: DataFrame, penalty_weight: float = PENALTY) -> DataFrame
         F.avg(F.col("order_qty") - F.col("sales")).alias("expected_unsold"),
         F.avg("operating").alias("expected_profit"), F.avg("goodwill").alias("expected_goodwill"),
         F.avg(F.when(F.col("_bad"), F.col("operating"))).alias("worst_week_profit"),
-        F.avg(F.when(F.col("demand") > F.col("available"), 1.0).otherwise(0.0)).alias("stockout_probability"))
+        # an order made from a demand value gives that value back only up to rounding: not a stock-out
+        F.avg(F.when(F.col("demand") > F.col("available") + 1e-9, 1.0).otherwise(0.0)).alias("stockout_probability"))
 
 
 def reference_penalty(plan: DataFrame, bounds: DataFrame, weight: float = PENALTY) -> DataFrame:

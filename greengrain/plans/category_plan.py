@@ -490,7 +490,7 @@ SUMMARY = ["expected_demand", "expected_sales", "expected_unsold", "expected_pro
       {fx('avg(order_qty - sales)', 4)} as expected_unsold, {fx('avg(operating)', 4)} as expected_profit,
       {fx('avg(goodwill)', 4)} as expected_goodwill,
       {fx('avg(case when scenario in (select scenario from bad_weeks) then operating end)', 4)} as worst_week_profit,
-      {fx('avg(case when demand > available then 1.0 else 0.0 end)', 4)} as stockout_probability
+      {fx('avg(case when demand > available + 1e-9 then 1.0 else 0.0 end)', 4)} as stockout_probability
     from base_facts group by 1, 2""")
 def z06(spark, sf):
     return sc.plan_summary(baseline(spark, sf)[2]).select(F.col("day").cast("long").alias("day"), CAT, *fixed_cols(*SUMMARY, digits=4))
