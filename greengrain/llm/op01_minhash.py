@@ -48,7 +48,7 @@ def half_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, fp_a, fp_b, left, right) of documents (doc_id, text)."""
+    """(doc_id, mark, n, fp_a, fp_b, left, right) of documents (doc_id, mark, text)."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
         n, fps, halves = [], [], []
@@ -60,11 +60,12 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             halves.append(half_keys(h, bands, rows) if len(h) else None)
         side = lambda at: [None if h is None else h[at] for h in halves]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([f[0] for f in fps], pa.int64()),
+            [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array([f[0] for f in fps], pa.int64()),
              pa.array([f[1] for f in fps], pa.int64()), pa.array(side(slice(0, bands)), pa.list_(pa.int64())),
              pa.array(side(slice(bands, None)), pa.list_(pa.int64()))],
-            names=["doc_id", "n", "fp_a", "fp_b", "left", "right"])
-    return by_batch(docs, make, "doc_id long, n long, fp_a long, fp_b long, left array<long>, right array<long>")
+            names=["doc_id", "mark", "n", "fp_a", "fp_b", "left", "right"])
+    return by_batch(docs, make, "doc_id long, mark long, n long, fp_a long, fp_b long, "
+                                "left array<long>, right array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -169,15 +170,15 @@ def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int,
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     small: int = SMALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, fp_a, fp_b) for each row of documents (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, mark) for each row of documents (doc_id, text).
 
     Texts are linked when 100 * shared >= percent * union of their distinct word shingles; component_id is the
-    smallest doc_id in reach. A text without words has no shingles and no links. A row without doc_id takes no
+    smallest doc_id in reach, mark a hash of the text. A text without words has no shingles and no links. A row without doc_id takes no
     part: its component_id is NULL and it is kept. Repeated rows share their class, and repeated doc_ids with
     different texts are judged row by row. Empty tables give no rows; further columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stage(sketches(docs, width, bands, rows), "sketches")
+    seen = stage(sketches(docs.withColumn("mark", F.xxhash64("text")), width, bands, rows), "sketches")
     classes = stage(seen.where("doc_id is not null and n > 0").groupBy("fp_a", "fp_b", "n").agg(
         F.min("doc_id").alias("node"), F.any_value("left").alias("left"), F.any_value("right").alias("right")), "classes")
     links = links_between(classes.select("node", "n", "left", "right"), docs, width, percent, small)
@@ -186,20 +187,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     named = (classes.select("fp_a", "fp_b", "node").join(labels, "node", "left")
              .select("fp_a", "fp_b", F.coalesce("community", "node").alias("component_id")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (seen.select("doc_id", F.col("n").alias("n_shingles"), "fp_a", "fp_b")
+    return (seen.select("doc_id", "mark", F.col("n").alias("n_shingles"), "fp_a", "fp_b")
             .join(named, ["fp_a", "fp_b"], "left")
             .select("doc_id", "n_shingles", own.alias("component_id"),
-                    F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "fp_a", "fp_b"))
+                    F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "mark"))
 
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The kept rows of documents with the columns of the input; of equal rows (doc_id, text) one stays.
 
-    Rows without doc_id all stay. Decisions come back by doc_id and set fingerprint, never by position.
+    Rows without doc_id all stay. Decisions come back by doc_id and a hash of the text.
     """
-    named = near_duplicates(docs, **options)
-    gone = named.where(~F.col("kept")).select(F.col("doc_id").alias("_d")).distinct()
-    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("doc_id is not null and _c > 1")
-    mixed = named.where("kept").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("_d")).distinct()
-    plain = docs.join(gone.join(mixed, "_d", "left_anti"), F.col("doc_id").cast("long") == F.col("_d"), "left_anti")
-    return plain
+    named = stage(near_duplicates(docs, **options), "judged")
+    key = ["doc_id", "mark"]
+    again = named.where("kept and doc_id is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*key)
+    out = named.where(~F.col("kept")).select(*key).unionByName(again).distinct().withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
+    here = (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_m"))
+    plain = docs.join(out, here, "left_anti")
+    if again.isEmpty():
+        return plain
+    once = docs.join(again.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return plain.unionByName(once)

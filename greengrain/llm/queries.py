@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from greengrain.llm import op01_minhash, op02_quality_rules, op04_byte_bpe, op05_templates, op08_mixing
+from greengrain.llm import (op01_minhash, op02_quality_rules, op03_chat, op04_byte_bpe, op05_templates, op06_compression,
+                            op07_mtree, op08_mixing, op09_urls)
+from greengrain.llm import op10_sharding as op10_sharding_
 from greengrain.sources.tables import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,17 +30,38 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
     out = op05_templates.without_templates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
     plan = op08_mixing.copies(read(spark, sf_dir, "documents"), weights=[1, 2, 3], limit=3)
     one = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return one.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op4_byte_bpe, op5_line_templates, op8_mixing)}
-SQL: dict[str, str] = {}
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_chat.rendered(read(spark, sf_dir, "conversations")).select(
+        "conv_id", "n_turns", "state", F.md5("chat").alias("chat_md5"))
+
+
+def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_compression.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_mtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_urls.judged(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_sharding_.shards(read(spark, sf_dir, "documents"), weights=[1.0] * 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_chat, op4_byte_bpe, op5_line_templates, op6_compression,
+                                   op7_mtree, op8_mixing, op9_urls, op10_sharding)}
+SQL: dict[str, str] = {"op3_chat": op03_chat.SQL, "op9_urls": op09_urls.sql(), "op10_sharding": op10_sharding_.SQL}
