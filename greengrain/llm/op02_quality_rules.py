@@ -112,3 +112,28 @@ def passing(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents that are kept, with the columns of the input; each row travels beside its counts."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc_row"))
     return judged(packed, carry=("doc_row",), **options).where("kept").select("doc_row.*")
+
+
+def sql(rules=RULES, min_words: int = 20, repeat_percent: int = 30) -> str:
+    """The same verdicts in SQL."""
+    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    checks = [f"coalesce({r.top} / nullif({r.bottom}, 0) {op} {bound}, true)" for r in rules
+              for op, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+v as (select r, i, list_slice(words, i, i + 7) as k from (select r, words, unnest(range(1, len(words) - 6)) as i from w)),
+g as (select r, i from (select r, i, count(*) over (partition by r, k) as c from v) where c > 1),
+s as (select r, sum(least(8, i - coalesce(before, i - 8))) as n_repeat_words
+  from (select r, i, lag(i) over (partition by r order by i) as before from g) group by r),
+c as (select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+  length(text) - length(translate(text, '{SYMBOLS}', '')) as n_symbols, len(lines) as n_lines,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+  len(list_filter(words, lambda x: lower(trim(x, '{EDGES.replace("'", "''")}')) in ({stops}))) as n_stop_words
+  from w left join s using (r)),
+f as (select *, n_words < {min_words} or 100 * n_repeat_words > {repeat_percent} * n_words as base_failed from c)
+select doc_id, n_words::BIGINT as n_words, word_chars::BIGINT as word_chars, n_symbols::BIGINT as n_symbols,
+  n_dup_lines::BIGINT as n_dup_lines, n_repeat_words::BIGINT as n_repeat_words, base_failed,
+  not base_failed and {' and '.join(checks)} as kept
+from f"""

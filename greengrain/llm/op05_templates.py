@@ -4,9 +4,9 @@ A line falls through a tree of fixed depth: its word count, then its first `lead
 variable at once). In a leaf, the word at a position is fixed if enough documents have it there, else it is a variable
 field. What is left, with the fields as wildcards, is the template of the line; it must keep enough fixed words.
 
-A template is dropped where it recurs in `min_docs` documents that are otherwise different: documents whose other lines
-mostly recur too are copies of each other, and copies are not boilerplate. They are counted nowhere, so the lines of
-exact and near copies stay for the near-duplicate step, while a licence line goes from all of them.
+A template is dropped where it recurs in `min_docs` texts that are otherwise different, and in as many of these as of
+others: texts whose other lines mostly recur too are copies of each other, and copies are not boilerplate. Equal texts
+count once, so the lines of exact and near copies stay for the near-duplicate step, while a licence line goes from all.
 
 All counts are sums over distinct lines per leaf and position, so a line in a third of all documents is one row, and
 a crowded leaf is spread over its positions and words.
@@ -32,17 +32,17 @@ def _masked(word: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, lead: int, min_words: int) -> DataFrame:
-    """(doc_id, mark, all_words, line, words, leaf, n): distinct lines of each document with enough words."""
-    split = docs.select("doc_id", "mark", F.array_distinct(_lines(F.col("text"))).alias("lines"))
-    rows = split.select("doc_id", "mark", F.explode(F.transform("lines", lambda x: F.struct(
-        x.alias("line"), words_of(x).alias("words")))).alias("r")).select("doc_id", "mark", "r.line", "r.words")
+    """(mark, line, words, leaf, n): distinct lines of each text with enough words."""
+    split = docs.select("mark", F.array_distinct(_lines(F.col("text"))).alias("lines"))
+    rows = split.select("mark", F.explode(F.transform("lines", lambda x: F.struct(
+        x.alias("line"), words_of(x).alias("words")))).alias("r")).select("mark", "r.line", "r.words")
     first = F.transform(F.slice("words", 1, lead), _masked)
     return (rows.withColumn("n", F.size("words")).where(F.col("n") >= min_words)
             .withColumn("leaf", F.xxhash64("n", first)))
 
 
 def with_mark(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by doc_id and a hash of the text; equal rows share every decision."""
+    """Texts are told apart by a hash; equal texts share every decision."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                        ).withColumn("mark", F.xxhash64("text"))
 
@@ -68,23 +68,20 @@ def templates(rows: DataFrame, lead: int, min_docs: int, fixed_percent: int) ->
 
 def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
                   fixed_percent: int = FIXED_PERCENT, copy_percent: int = COPY_PERCENT) -> DataFrame:
-    """(doc_id, mark, line_hash) of the lines to drop, for documents from with_mark."""
-    docs = docs.dropDuplicates(["doc_id", "mark"])
-    rows = line_rows(docs, lead, min_words)
+    """(mark, line_hash) of the lines to drop, for documents from with_mark."""
+    texts = docs.select("mark", "text").dropDuplicates(["mark"])
+    rows = line_rows(texts, lead, min_words)
     known = stage(templates(rows, lead, min_docs, fixed_percent), "templates")
-    own = rows.select("doc_id", "mark", "n", F.xxhash64("line").alias("line_hash"))
-    found = stage(own.join(known, "line_hash"), "recurring")
-    sums = found.groupBy("doc_id", "mark").agg(F.sum("n").alias("again"))
-    total = docs.select("doc_id", "mark", F.aggregate(F.array_distinct(_lines(F.col("text"))), F.lit(0),
-                                                      lambda a, x: a + F.size(words_of(x))).alias("all"))
-    total = total.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    sums = sums.join(total, F.equal_null("doc_id", "_d") & (F.col("mark") == F.col("_m"))).select("_d", "_m", "again", "all")
-    seen = found.join(sums, F.equal_null("doc_id", "_d") & (F.col("mark") == F.col("_m")))
+    found = stage(rows.select("mark", "n", F.xxhash64("line").alias("line_hash")).join(known, "line_hash"), "recurring")
+    sums = found.groupBy("mark").agg(F.sum("n").alias("again"))
+    total = texts.select("mark", F.aggregate(F.array_distinct(_lines(F.col("text"))), F.lit(0),
+                                             lambda a, x: a + F.size(words_of(x))).alias("all"))
+    seen = found.join(sums.join(total, "mark"), "mark")
     other, rest = F.col("again") - F.col("n"), F.col("all") - F.col("n")
     apart = (rest > 0) & (100 * other < copy_percent * rest)
-    bad = (seen.groupBy("template").agg(F.count_if(apart).alias("c"))
-           .where(F.col("c") >= min_docs).select("template"))
-    return found.join(bad, "template", "left_semi").select("doc_id", "mark", "line_hash").distinct()
+    bad = (seen.groupBy("template").agg(F.count_if(apart).alias("c"), F.count(F.lit(1)).alias("of"))
+           .where((F.col("c") >= min_docs) & (2 * F.col("c") >= F.col("of"))).select("template"))
+    return found.join(bad, "template", "left_semi").select("mark", "line_hash").distinct()
 
 
 def without_templates(docs: DataFrame, **options) -> DataFrame:
@@ -95,9 +92,8 @@ def without_templates(docs: DataFrame, **options) -> DataFrame:
     further columns are not read.
     """
     marked = with_mark(docs)
-    drop = dropped_lines(marked, **options).groupBy("doc_id", "mark").agg(F.collect_list("line_hash").alias("gone"))
-    drop = drop.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    both = marked.join(drop, F.equal_null("doc_id", "_d") & (F.col("mark") == F.col("_m")), "left")
+    drop = dropped_lines(marked, **options).groupBy("mark").agg(F.collect_list("line_hash").alias("gone"))
+    both = marked.join(drop, "mark", "left")
     lines = _lines(F.col("text"))
     stays = F.filter(lines, lambda x: ~F.array_contains("gone", F.xxhash64(x)))
     return both.select(
@@ -109,9 +105,40 @@ def without_templates(docs: DataFrame, **options) -> DataFrame:
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """Documents with the columns of the input, without the dropped lines; a document left without a word goes."""
     clean = without_templates(docs, **options).where("n_dropped > 0").select(
-        F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("text").alias("_t")).dropDuplicates(["_d", "_m"])
+        F.col("mark").alias("_m"), F.col("text").alias("_t")).dropDuplicates(["_m"])
     keyed = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
-    out = keyed.join(clean, F.equal_null(F.col("doc_id").cast("long"), F.col("_d")) & (F.col("_k") == F.col("_m")), "left")
+    out = keyed.join(clean, F.col("_k") == F.col("_m"), "left")
     out = out.where(F.col("_m").isNull() | F.col("_t").rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.col("_t"))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
+SQL = rf"""
+with d as (select distinct coalesce(text, '') as text from documents),
+l as (select text, unnest(list_distinct(string_split(text, chr(10)))) as line from d),
+w as (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from l),
+total as (select text, sum(len(words)) as "all" from w group by 1),
+r as (select *, len(words) as n, struct_pack(n := len(words), lead := list_transform(words[1:{LEAD}],
+    lambda x: case when regexp_matches(x, '[0-9]') then '*' else x end)) as leaf from w where len(words) >= {MIN_WORDS}),
+busy as (select leaf from r group by 1 having count(*) >= {MIN_DOCS}),
+lines as (select leaf, n, line, words, count(*) as docs from r where leaf in (select leaf from busy) group by all),
+u as (select leaf, n, line, docs, unnest(range(1, n + 1)) as pos, unnest(words) as word from lines),
+tok as (select leaf, n, line, docs, pos, case when pos <= {LEAD} and regexp_matches(word, '[0-9]') then '*' else word end as token from u),
+fixed as (select leaf, pos, token from tok group by all having sum(docs) >= {MIN_DOCS}),
+shaped as (select leaf, n, line, docs, count(*) as kept, list(struct_pack(pos := pos, token := token) order by pos) as shape
+  from tok join fixed using (leaf, pos, token) group by 1, 2, 3, 4
+  having 100 * (count(*) - {LEAD}) >= {FIXED_PERCENT} * (n - {LEAD})),
+often as (select leaf, shape from shaped group by all having sum(docs) >= {MIN_DOCS}),
+known as (select line, leaf, shape from shaped join often using (leaf, shape)),
+found as (select r.text, r.line, r.n, r.leaf, k.shape from r join known k using (line)),
+sums as (select text, sum(n) as again from found group by 1),
+seen as (select f.*, (t."all" - f.n > 0) and 100 * (s.again - f.n) < {COPY_PERCENT} * (t."all" - f.n) as apart
+  from found f join sums s using (text) join total t using (text)),
+bad as (select leaf, shape from seen group by all having count_if(apart) >= {MIN_DOCS} and 2 * count_if(apart) >= count(*)),
+gone as (select text, list(distinct line) as gone from found join bad using (leaf, shape) group by 1),
+o as (select x.doc_id, x.text as original, string_split(coalesce(x.text, ''), chr(10)) as lines, g.gone
+  from documents x left join gone g on coalesce(x.text, '') = g.text)
+select doc_id, case when original is null then 0 else len(lines) end::BIGINT as n_lines,
+  case when gone is null then 0 else len(list_filter(lines, lambda x: list_contains(gone, x))) end::BIGINT as n_dropped,
+  md5(case when gone is null then original else array_to_string(list_filter(lines, lambda x: not list_contains(gone, x)), chr(10)) end) as text_md5
+from o"""

@@ -64,4 +64,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_chat, op4_byte_bpe, op5_line_templates, op6_compression,
                                    op7_mtree, op8_mixing, op9_urls, op10_sharding)}
-SQL: dict[str, str] = {"op3_chat": op03_chat.SQL, "op9_urls": op09_urls.sql(), "op10_sharding": op10_sharding_.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": op02_quality_rules.sql(), "op5_line_templates": op05_templates.SQL, "op3_chat": op03_chat.SQL,
+                       "op9_urls": op09_urls.sql(), "op10_sharding": op10_sharding_.SQL}
