@@ -51,7 +51,7 @@ def path_of(url: Column) -> Column:
 
 def rule_table(rules=RULES) -> Column:
     """A struct (rule, verdict) of the longest rule that fits host and path, or NULL, as one expression."""
-    fits = F.lit(None)
+    fits = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         name = host + path
         at_host = (F.col("host") == host) | F.endswith("host", F.lit("." + host))
@@ -63,11 +63,13 @@ def rule_table(rules=RULES) -> Column:
 def buckets(host: Column, path: Column) -> Column:
     """Distinct buckets of the character n-grams of host and path, digits taken as one; sorted."""
     text = F.translate(F.concat(F.lit("^"), host, path, F.lit("$")), "123456789", "000000000")
-    code = lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long")
-    gram = lambda i: F.pmod(code(i) * 961 + code(i + 1) * 31 + code(i + 2), F.lit(BUCKETS))
-    count = F.length(text) - (GRAM - 1)
-    return F.when(count > 0, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), count), gram)))).otherwise(
-        F.array().cast("array<bigint>"))
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    count = F.greatest(F.size(codes) - (GRAM - 1), F.lit(0))
+    # shifted copies side by side, so a long url costs no more than its length
+    first, second, third = (F.slice(codes, F.lit(i), count) for i in (1, 2, 3))
+    pairs = F.zip_with(first, second, lambda x, y: x * 961 + y * 31)
+    grams = F.zip_with(pairs, third, lambda x, y: F.pmod(x + y, F.lit(BUCKETS)))
+    return F.array_sort(F.array_distinct(grams))
 
 
 def _logit(weights: Column, features: Column) -> Column:
