@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
 
-TREE_ROWS, PAGE_ROWS, FAN, BLOCK = 8192, 96, 12, 1024
+TREE_ROWS, PAGE_ROWS, FAN, BLOCK = 16384, 512, 8, 1024
 PAGE_SCHEMA = ("node int, parent int, leaf boolean, n int, center binary, radius double, to_parent double, "
                "ids binary, vectors binary, to_center binary")
 
@@ -46,7 +46,7 @@ def _distance(points: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - center) ** 2).sum(axis=1))
 
 
-def grow(rows: pd.DataFrame, longest: float) -> pd.DataFrame:
+def grow(rows: pd.DataFrame, longest: float, page_rows: int) -> pd.DataFrame:
     """The pages of one tree, root first; rows are (vec_id, v) with vectors of one length."""
     ids, flat = rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy()).astype(np.int64)
     order = np.argsort(ids, kind="stable")
@@ -58,7 +58,7 @@ def grow(rows: pd.DataFrame, longest: float) -> pd.DataFrame:
     def page(members: np.ndarray, parent: int, center: np.ndarray, above: np.ndarray | None) -> None:
         far = _distance(lifted[members], center)
         node = len(pages)
-        leaf = len(members) <= PAGE_ROWS
+        leaf = len(members) <= page_rows
         pages.append((node, parent, leaf, len(members), center.tobytes(), float(far.max()),
                       0.0 if above is None else float(_distance(center[None], above)[0]),
                       ids[members].tobytes() if leaf else b"", flat[members].tobytes() if leaf else b"", far.tobytes() if leaf else b""))
@@ -111,6 +111,7 @@ class Tree:
         slack = 1e-6 * (1.0 + np.sqrt(length))
         plain = np.abs(q).max(initial=0) < 2 ** 20
         ids, scores, limit = np.empty(0, np.int64), np.empty(0, np.int64), np.inf
+        worst = np.iinfo(np.int64).min
         start = float(_distance(self.center[:1], point)[0])
         heap = [(max(0.0, start - self.radius[0]), 0, start)]
         while heap:
@@ -118,19 +119,24 @@ class Tree:
             if bound > limit:
                 break
             if self.leaf[node]:
+                # the stored distance to the routing object excludes entries before their score is taken
                 near = np.flatnonzero(np.abs(away - self.to_center[node]) <= limit)
+                if plain and self.small[node] is not None and len(q) < 2 ** 12:
+                    part = self.small[node] if len(near) == len(self.small[node]) else self.small[node][near]
+                    got = (part @ point[:-1]).astype(np.int64)
+                else:
+                    got = inner(self.vectors[node][near], q)
                 own = self.ids[node][near]
-                near, own = near[own != query], own[own != query]
-                if not len(near):
+                good = np.flatnonzero((got >= worst) & (own != query))
+                if not len(good):
                     continue
-                fast = plain and self.small[node] is not None and len(q) < 2 ** 12
-                got = ((self.small[node][near] @ point[:-1]).astype(np.int64) if fast else inner(self.vectors[node][near], q))
-                ids, scores = np.concatenate([ids, own]), np.concatenate([scores, got])
+                ids, scores = np.concatenate([ids, own[good]]), np.concatenate([scores, got[good]])
                 if len(ids) > k:
                     keep = np.lexsort((ids, ~scores))[:k]
                     ids, scores = ids[keep], scores[keep]
                 if len(ids) == k:
-                    limit = np.sqrt(max(0.0, length - 2.0 * float(scores.min()))) + slack
+                    worst = scores.min()
+                    limit = np.sqrt(max(0.0, length - 2.0 * float(worst))) + slack
                 continue
             kids = self.children[node]
             # the stored distance to the parent excludes a child before its own distance is taken
@@ -156,7 +162,8 @@ def searcher(k: int, longest: float):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, tree_rows: int = TREE_ROWS, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, tree_rows: int = TREE_ROWS,
+          page_rows: int = PAGE_ROWS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of (vec_id, embedding) for each query, its own row apart.
 
     Ties go to the smaller vec_id. Vectors that are NULL or hold NULL or non-finite components, and rows without
@@ -172,7 +179,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, tr
     trees = max(1, -(-facts["n"] // tree_rows))
     blocks = max(1, -(-queries.count() // block))
     dealt = rows.withColumn("tree", F.pmod(F.xxhash64("vec_id", "v"), F.lit(trees)))
-    pages = stage(dealt.groupBy("dim", "tree").applyInPandas(tree_grower(longest), f"dim int, tree long, {PAGE_SCHEMA}"), "pages")
+    pages = stage(dealt.groupBy("dim", "tree").applyInPandas(tree_grower(longest, page_rows), f"dim int, tree long, {PAGE_SCHEMA}"), "pages")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = pages.withColumn("block", each(blocks))
     right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("tree", each(trees))
@@ -184,9 +191,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, tr
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def tree_grower(longest: float):
+def tree_grower(longest: float, page_rows: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pages = grow(rows, longest)
+        pages = grow(rows, longest, page_rows)
         pages.insert(0, "dim", rows["dim"].iloc[0])
         pages.insert(1, "tree", rows["tree"].iloc[0])
         return pages
