@@ -105,12 +105,11 @@ def without_templates(docs: DataFrame, **options) -> DataFrame:
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """Documents with the columns of the input, without the dropped lines; a document left without a word goes."""
     clean = without_templates(docs, **options).where("n_dropped > 0").select(
-        F.col("mark").alias("_m"), F.col("text").alias("_t")).dropDuplicates(["_m"])
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
-    out = keyed.join(clean, F.col("_k") == F.col("_m"), "left")
-    out = out.where(F.col("_m").isNull() | F.col("_t").rlike(r"[^\x20\x09-\x0D]"))
-    text = F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.col("_t"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        "mark", F.col("text").alias("clean_text")).dropDuplicates(["mark"])
+    packed = docs.select(F.struct(*docs.columns).alias("doc_row"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    out = packed.join(clean, "mark", "left").where(F.col("clean_text").isNull() | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
+    own = lambda c: F.col("doc_row").getField(c)
+    return out.select(*[(F.coalesce("clean_text", own(c)) if c == "text" else own(c)).alias(c) for c in docs.columns])
 
 
 SQL = rf"""

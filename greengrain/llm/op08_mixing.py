@@ -137,11 +137,10 @@ def copies(docs: DataFrame, weights: list[int] = (1, 2, 3), limit: int = 3, seed
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Documents repeated by their copies, with the columns of the input; documents without copies go."""
-    names = docs.columns
-    sized = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_src": F.col("source").cast("string"),
-                              "_size": word_count(F.col("text").cast("string"))})
+    packed = docs.select(F.struct(*docs.columns).alias("doc_row"), F.col("doc_id").cast("long").alias("_id"),
+                         F.col("source").cast("string").alias("_src"), word_count(F.col("text").cast("string")).alias("_size"))
     plan = copies(docs, **options).where("copies > 0").select(
         F.col("doc_id").alias("_a"), F.col("source").alias("_b"), F.col("size").alias("_c"), F.col("copies").alias("_n"))
     same = F.equal_null("_id", "_a") & F.equal_null("_src", "_b") & F.equal_null("_size", "_c")
-    return (sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-            .select(*names))
+    return (packed.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+            .select("doc_row.*"))
