@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Season names in order, and the months of each season.
 SEASONS = ("spring", "summer", "autumn", "winter")
+LOG_LIMIT = 700.0
 
 
 def col(c: Column | str) -> Column:
@@ -18,7 +19,9 @@ def col(c: Column | str) -> Column:
 def fixed(c: Column | str, digits: int = 6) -> Column:
     """Round half up through floor, the same on every engine (plain round is not)."""
     scale = float(10**digits)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    scaled = col(c) * F.lit(scale) + F.lit(0.5)
+    # floor gives a BIGINT; a double beyond 2^53 has no digits left to round
+    return F.when(F.abs(scaled) >= F.lit(2.0**53), col(c)).otherwise(F.floor(scaled) / F.lit(scale))
 
 
 def ratio(num: Column | str, den: Column | str) -> Column:
@@ -75,8 +78,8 @@ def log_price(c: Column | str) -> Column:
 
 
 def level_from_log(c: Column | str) -> Column:
-    """Back from log1p to a quantity, with the exponent clipped and the result floored at 0."""
-    return F.greatest(F.lit(0.0), F.expm1(clip(c, -12.0, 8.0)))
+    """Back from log1p to a quantity, floored at 0; the clip only keeps a double from overflowing."""
+    return F.greatest(F.lit(0.0), F.expm1(clip(c, -LOG_LIMIT, LOG_LIMIT)))
 
 
 def markup(price: Column | str, cost: Column | str) -> Column:

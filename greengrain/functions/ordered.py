@@ -16,11 +16,11 @@ RANGES = 64
 
 
 def with_range(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Add `_range`, a value range number that rises with `value` inside each group."""
+    """Add `_range`, a value range number that rises with `value` inside each group (all rows without keys)."""
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, steps, 2000).alias("_cuts"))
-    return (df.join(cuts, keys)
-            .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    cut = df.join(cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
+    return (cut.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
             .drop("_cuts"))
 
 

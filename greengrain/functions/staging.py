@@ -12,10 +12,13 @@ _OWN_FOLDER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a new one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a new one on a single machine where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _OWN_FOLDER[0]

@@ -11,10 +11,10 @@ from greengrain.functions.staging import stage
 
 def kth_largest(df: DataFrame, value: Column, k: int, p: float = 0.95) -> Column:
     """The k-th largest value as a scalar; the p quantile when k is 0."""
-    base = df.select(value.alias("_v"), F.lit(0).alias("_g")).where(F.col("_v").isNotNull())
+    base = df.select(value.alias("_v")).where(F.col("_v").isNotNull())
     if k == 0:
-        return exact_quantiles(base, ["_g"], "_v", {"q": p}).select("q").scalar()
-    placed = row_numbers(base, ["_g"], "_v", [], "_rn", "_n")
+        return exact_quantiles(base, [], "_v", {"q": p}).select("q").scalar()
+    placed = row_numbers(base, [], "_v", [], "_rn", "_n")
     return placed.where(F.col("_rn") == F.col("_n") - (k - 1)).select("_v").scalar()
 
 
@@ -31,11 +31,11 @@ def node_metrics(edges: DataFrame, nodes: DataFrame, node: str, weight: str, cor
     ends = edges.select(F.explode(F.array("source", "target")).alias(node), F.abs(F.col(weight)).alias("_w"))
     degrees = ends.groupBy(node).agg(F.count(F.lit(1)).alias("degree"), F.sum("_w").alias("weighted_degree"))
     full = (nodes.join(degrees, node, "left").na.fill({"degree": 0, "weighted_degree": 0.0})
-            .withColumn("_order", -F.col("weighted_degree")).withColumn("_g", F.lit(0)))
-    ranked = row_numbers(full.withColumn("_less", -F.col("degree")), ["_g"], "_order",
+            .withColumn("_order", -F.col("weighted_degree")))
+    ranked = row_numbers(full.withColumn("_less", -F.col("degree")), [], "_order",
                          ["_less", node], "core_rank", "_n")
     return (ranked.withColumn("is_core_node", F.col("core_rank") <= F.least(F.lit(core), F.col("_n")))
-            .drop("_order", "_less", "_g", "_n", "_range"))
+            .drop("_order", "_less", "_n", "_range"))
 
 
 def components(edges: DataFrame, nodes: DataFrame, node: str, max_rounds: int = 200) -> DataFrame:

@@ -232,8 +232,8 @@ def shifted_pairs(series: DataFrame, entity: str, draws: int, seed: int = SEED)
 
     Entities are numbered by the draw of their name; each draw picks two different numbers and a shift.
     """
-    names = series.select(entity, draw(entity).alias("_order"), F.lit(0).alias("_g"))
-    places = row_numbers(names, ["_g"], "_order", [entity], "_k", "_n").select(entity, (F.col("_k") - 1).alias("_k"))
+    names = series.select(entity, draw(entity).alias("_order"))
+    places = row_numbers(names, [], "_order", [entity], "_k", "_n").select(entity, (F.col("_k") - 1).alias("_k"))
     numbered = series.join(places, entity)
     count = series.agg(F.count(F.lit(1))).scalar()
     n = series.agg(F.max(F.size("series"))).scalar()

@@ -22,6 +22,11 @@ PENALTY = 80.0
 RISK = 0.25
 
 
+def is_stockout(demand: str, available: str) -> Column:
+    """An order made from a demand value gives that value back only up to rounding: not a stock-out."""
+    return F.col(demand) > F.col(available) + 1e-9
+
+
 def tail_mean(value: Column | str, p: float = TAIL) -> Column:
     """Mean of the worst ceil(p n) values of a group of scenarios (its size is the scenario count)."""
     v = F.col(value) if isinstance(value, str) else value
@@ -153,8 +158,7 @@ def plan_summary(facts: DataFrame, penalty_weight: float = PENALTY) -> DataFrame
         F.avg(F.col("order_qty") - F.col("sales")).alias("expected_unsold"),
         F.avg("operating").alias("expected_profit"), F.avg("goodwill").alias("expected_goodwill"),
         F.avg(F.when(F.col("_bad"), F.col("operating"))).alias("worst_week_profit"),
-        # an order made from a demand value gives that value back only up to rounding: not a stock-out
-        F.avg(F.when(F.col("demand") > F.col("available") + 1e-9, 1.0).otherwise(0.0)).alias("stockout_probability"))
+        F.avg(F.when(is_stockout("demand", "available"), 1.0).otherwise(0.0)).alias("stockout_probability"))
 
 
 def reference_penalty(plan: DataFrame, bounds: DataFrame, weight: float = PENALTY) -> DataFrame:

@@ -532,7 +532,7 @@ def k14(spark, sf):
     select sku_code, any_value(category_name) as category_name, {fx('any_value(price)', 4)} as price, {fx('any_value(order_qty)', 4)} as order_qty,
       {fx('avg(demand)', 4)} as expected_demand, {fx('avg(sales)', 4)} as expected_sales, {fx('avg(profit)', 4)} as expected_profit,
       {fx('avg(case when rn <= ceil(0.1 * n) then profit end)', 4)} as lower_tail,
-      {fx('avg(case when demand > order_qty * (1 - loss_rate) then 1.0 else 0.0 end)', 4)} as stockout_probability
+      {fx('avg(case when demand > order_qty * (1 - loss_rate) + 1e-9 then 1.0 else 0.0 end)', 4)} as stockout_probability
     from (select *, row_number() over (partition by sku_code order by profit) as rn, count(*) over (partition by sku_code) as n from k_facts where k = {FINAL}) group by 1""")
 def k15(spark, sf):
     facts = evaluated(spark, sf, [FINAL]).facts
@@ -541,7 +541,7 @@ def k15(spark, sf):
         F.first(CAT).alias(CAT), F.first("price").alias("price"), F.first("order_qty").alias("order_qty"),
         F.avg("demand").alias("expected_demand"), F.avg("sales").alias("expected_sales"), F.avg("profit").alias("expected_profit"),
         sc.tail_mean("profit").alias("lower_tail"),
-        F.avg(F.when(F.col("demand") > F.col("available"), 1.0).otherwise(0.0)).alias("stockout_probability")).select(
+        F.avg(F.when(sc.is_stockout("demand", "available"), 1.0).otherwise(0.0)).alias("stockout_probability")).select(
         SKU, CAT, *fixed_cols(*names, digits=4))
 
 

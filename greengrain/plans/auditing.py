@@ -17,9 +17,9 @@ from greengrain.plans.registry import part, query
 from greengrain.plans.relationships import item_scores
 from greengrain.sources import tables
 
-# A supplier's month of large lines stands for an owner of data packages; a brand belongs to one package by its number.
-part("holdings", "select distinct l_suppkey * 100 + month(l_shipdate) as owner, list_extract(" + str(audit.PACKAGES) + """,
-    cast(1 + cast(substr(p_brand, 7) as integer) % 7 as integer)) as package_id from lineitem join part on p_partkey = l_partkey where l_quantity >= 30""")
+# An order stands for an owner of data packages; a brand belongs to one package by its number.
+part("holdings", "select distinct l_orderkey as owner, list_extract(" + str(audit.PACKAGES) + """,
+    cast(1 + cast(substr(p_brand, 7) as integer) % 7 as integer)) as package_id from lineitem join part on p_partkey = l_partkey""")
 part("package_sets", "select packages, count(*) as owners from (select owner, list_sort(list(package_id)) as packages from holdings group by 1) group by 1")
 part("needs", "select * from (values " + ", ".join(
     f"('{s}', '{r}', {i}, {alt})" for s, rs in audit.SCENARIOS.items() for r in rs for i, alt in enumerate(audit.REQUIREMENTS[r])) + ") v(scenario, capability, alt, need)")
@@ -39,8 +39,8 @@ def holdings(spark, sf):
     number = F.substring("p_brand", 7, 10).cast("int")
     parts = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.element_at(
         F.array(*[F.lit(p) for p in audit.PACKAGES]), 1 + number % 7).alias("package_id"))
-    lines = tables.read(spark, sf, "lineitem").where("l_quantity >= 30").select(
-        "l_partkey", (F.col("l_suppkey") * 100 + F.month("l_shipdate")).alias("owner"))
+    lines = tables.read(spark, sf, "lineitem").select(
+        "l_partkey", F.col("l_orderkey").alias("owner"))
     return lines.join(parts, "l_partkey").select("owner", "package_id").distinct()
 
 
@@ -97,7 +97,7 @@ def q01(spark, sf):
         ("G04", "share", m.state.where("cost_residual is not null").agg((F.sum(F.abs(cost)) / F.sum(F.exp("logw"))).alias("v"))),
         ("G05", "share", el.interval_coverage(m.state, "demand_residual").agg(F.avg("coverage").alias("v"))),
         ("G06", "share", m.theta.agg(share(F.col("ci_upper") < 0).alias("v"))),
-        ("G07", "share", facts.agg(share(F.col("demand") > F.col("available")).alias("v"))),
+        ("G07", "share", facts.agg(share(sc.is_stockout("demand", "available")).alias("v"))),
         ("G08", "share", facts.agg((F.sum("sales") / F.sum("demand")).alias("v"))),
         ("G09", "qty per week", spread(sweep, "q")),
         ("G10", "share", covered.agg(share(F.col("d") >= 90).alias("v"))),

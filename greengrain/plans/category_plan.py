@@ -234,7 +234,7 @@ def two_forecasts(spark, sf):
                         F.col("alpha_lag7").alias("naive"))
 
 
-SQL_LEVEL = "greatest(0, exp(least(greatest({0}, -12), 8)) - 1)"
+SQL_LEVEL = "greatest(0, exp(least(greatest({0}, -700), 700)) - 1)"
 
 
 def to_level(alpha):
@@ -284,11 +284,12 @@ def e12(spark, sf):
 
 
 @query("e13_cost_plus", f"""
-    select category_name, period, count(m) as n, {fx('avg(m)')} as mean_markup, {fx('regr_slope(logq, m)')} as slope, {fx('corr(logq, m)')} as r
+    select category_name, period, count(m) as n, {fx('avg(m)')} as mean_markup, {fx('case when count(m) > 2 then regr_slope(logq, m) end')} as slope, {fx('case when count(m) > 2 then corr(logq, m) end')} as r
     from (select category_name, year(date) - (case when month(date) < 7 then 1 else 0 end) as period, price / cost - 1 as m, logq
-          from prep where is_history) group by 1, 2 having count(m) > 2""")
+          from prep where is_history) group by 1, 2""")
 def e13(spark, sf):
-    return el.cost_plus(prepared(spark, sf), sales_year("date")).where("n > 2").select(
+    return el.cost_plus(prepared(spark, sf), sales_year("date")).withColumns(
+        {c: F.when(F.col("n") > 2, F.col(c)) for c in ("slope", "r")}).select(
         CAT, "period", "n", *fixed_cols("mean_markup", "slope", "r"))
 
 
@@ -383,12 +384,13 @@ def z01(spark, sf):
 
 
 @query("t06_common_dates", """
-    select cast(date as varchar) as date from (select date from cat_day where category_name = 'ECONOMY'
-      intersect select date from cat_day where category_name = 'PROMO' intersect select date from cat_day where category_name = 'LARGE')""")
+    select cast(date as varchar) as date from cat_day group by date
+    having count(distinct category_name) = (select count(distinct category_name) from cat_day)""")
 def t06(spark, sf):
     daily = tables.category_day(spark, sf)
-    dates = lambda c: daily.where(F.col(CAT) == c).select("date")
-    return dates("ECONOMY").intersect(dates("PROMO")).intersect(dates("LARGE")).select(day())
+    # the daily table has one row per date and category
+    every = daily.agg(F.count_distinct(CAT)).scalar()
+    return daily.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == every).select(day())
 
 
 @query("z02_scenarios", f"select scenario, cast(day as integer) as day, category_name, {fx_cols('e', 'u', digits=5)} from scen")

@@ -150,7 +150,7 @@ def p03(spark, sf):
 @query("p04_log_transforms", f"""
     select sku_code, cast(date as varchar) as date, {fx('ln(1 + greatest(gross_sales_qty, 0))')} as logq,
       {fx('case when gross_weighted_avg_price is not null then ln(greatest(gross_weighted_avg_price, 1e-6)) end')} as logp,
-      {fx('greatest(0, exp(least(greatest(ln(1 + gross_sales_qty) + 1 , -12), 8)) - 1)', 4)} as level
+      {fx('greatest(0, exp(least(greatest(ln(1 + gross_sales_qty) + 1 , -700), 700)) - 1)', 4)} as level
     from sku_day""")
 def p04(spark, sf):
     return tables.sku_day(spark, sf).select(

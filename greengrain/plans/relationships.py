@@ -334,7 +334,7 @@ def r09(spark, sf):
             .select("source", "target", *fixed_cols("score")))
 
 
-NULL_DRAWS = 60
+NULL_DRAWS = 2000
 part("cat_shifted", f"""
     with s as (select e, date, x, row_number() over (partition by e order by date) - 1 as i from cat_resid),
     k as (select e, row_number() over (order by ('0x' || substr(md5(e), 1, 8))::bigint, e) - 1 as k,
@@ -370,19 +370,18 @@ part("cat_resid_spearman", spearman_sql("cat_resid_p"))
 
 @query("r11_edge_table", f"""
     select m.source, m.target, {fx('m.score')} as score, {fx('s.r')} as weight,
-      m.score >= t.t as is_candidate, m.score >= t.t and abs(s.r) > 0.002 as is_edge,
+      m.score >= t.t as is_candidate, m.score >= t.t and abs(s.r) > 0.000001 as is_edge,
       case when s.r > 0 then 'complement' else 'substitute' end as association_type
     from cat_mic m join cat_resid_spearman s on s.source = m.source and s.target = m.target,
-      (select quantile_cont(score, 0.5) as t from cat_null_mic) t""")
+      (select quantile_cont(score, 0.99) as t from cat_null_mic) t""")
 def r11(spark, sf):
     series = residual_series(spark, sf, "category_name")
     both = pairs.entity_pairs(series, "category_name")
     keys = ["source", "target"]
     scored = pairs.information_scores(both, keys).join(
         pairs.rank_correlation(both, keys).select(*keys, F.col("r").alias("weight")), keys)
-    # the median of the null scores, so that both kinds of flags occur on these tables
-    cut = null_scores(spark, sf, series).select(F.percentile("score", F.lit(0.5))).scalar()
-    out = network.edge_table(scored, "weight", F.col("score") >= cut, tolerance=0.002)
+    cut = null_scores(spark, sf, series).select(F.percentile("score", F.lit(0.99))).scalar()
+    out = network.edge_table(scored, "weight", F.col("score") >= cut)
     return out.select(*keys, *fixed_cols("score", "weight"), "is_candidate", "is_edge", "association_type")
 
 
@@ -404,7 +403,7 @@ def item_names(spark, sf):
 
 
 def item_edges(scored):
-    return scored.where(F.abs("r") >= network.kth_largest(scored, F.abs("r"), EDGES))
+    return stage(scored.where(F.abs("r") >= network.kth_largest(scored, F.abs("r"), EDGES)), "item_edges")
 
 
 part("item_ends", "select source as item_name, r from item_edges union all select target, r from item_edges")
@@ -420,22 +419,18 @@ def r12(spark, sf):
     return out.select("item_name", "degree", *fixed_cols("weighted_degree"), "core_rank", "is_core_node")
 
 
-part("item_top", "select source, target from item_all order by abs(r) desc, source, target limit 12")
-
-
 @query("r13_components", """
     with recursive walk(a, b) as (
       select item_name, item_name from (select distinct p_brand as item_name from part)
       union
       select w.a, case when e.source = w.b then e.target else e.source end
-      from walk w join item_top e on e.source = w.b or e.target = w.b),
+      from walk w join item_edges e on e.source = w.b or e.target = w.b),
     found as (select a as item_name, min(b) as community from walk group by a)
     select community, count(*) as node_count, string_agg(item_name, ',' order by item_name) as members from found group by community
     """)
 def r13(spark, sf):
     scored = item_pairs(spark, sf)
-    strongest = scored.orderBy(F.desc(F.abs("r")), "source", "target").limit(12)
-    found = network.components(strongest, item_names(spark, sf), "item_name")
+    found = network.components(item_edges(scored), item_names(spark, sf), "item_name")
     return found.groupBy("community").agg(
         F.count(F.lit(1)).alias("node_count"),
         F.array_join(F.array_sort(F.collect_list("item_name")), ",").alias("members"))
@@ -513,7 +508,7 @@ def j11(spark, sf):
 
 part("product_edges", """
     select p.source, p.target, p.r, a.category_name as ca, b.category_name as cb, o.jaccard
-    from (select * from product_index_pairs order by abs(r) desc, source, target limit 300) p
+    from (select * from product_index_pairs where abs(r) >= 0.5) p
     join product_meta a on a.sku_code = p.source join product_meta b on b.sku_code = p.target
     join product_overlap o on o.source = p.source and o.target = p.target""")
 
@@ -527,7 +522,7 @@ def a14(spark, sf):
     daily = tables.product_day(spark, sf)
     meta = daily.select("sku_code", "category_name").distinct()
     monthly = profile.monthly_profile(daily, "sku_code", QTY)
-    top = pairs.index_correlation(monthly, "sku_code").orderBy(F.desc(F.abs("r")), "source", "target").limit(300)
+    top = pairs.index_correlation(monthly, "sku_code").where(F.abs("r") >= 0.5)
     span = calendar.span_calendar(daily, "sku_code", QTY)
     overlap = pairs.active_overlap(pairs.packed(span, ["sku_code"], QTY), "sku_code")
     named = (top.join(meta.select(F.col("sku_code").alias("source"), F.col("category_name").alias("source_category")), "source")

@@ -2,58 +2,80 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greengrain.functions.exprs import ratio
 
-# Exact integer sums: quantities in hundredths, products of two such values in ten-thousandths.
-# Whole numbers add up the same in any order, so a retry or another partitioning
-# cannot change a digit, and they stay inside code generation (wide decimals do not).
+# Exact integer sums: every value in units of its own scale, products in units of both. Whole numbers add up the
+# same in any order, so a retry or another partitioning cannot change a digit, and they stay inside code
+# generation (wide decimals do not).
 SUMS = ("gross_u", "return_u", "all_u", "revenue_u", "cost_u", "loss_u")
 
 
-def _hundredths(c: Column) -> Column:
-    return F.round(c * 100).cast("long")
+class Digits(NamedTuple):
+    """Decimal places of the ledger: weights have three, prices and rates two."""
+    quantity: int = 3
+    money: int = 2
+    rate: int = 2
+
+
+DIGITS = Digits()
+
 
+def _units(name: str, digits: int) -> Column:
+    """The value in units of 10^-digits; a value with more places stops the job instead of being rounded."""
+    scaled = F.col(name).cast("double") * float(10 ** digits)
+    whole = F.round(scaled)
+    fits = scaled.isNull() | ((F.abs(scaled - whole) <= 1e-9 * F.greatest(F.lit(1e3), F.abs(scaled))) & (F.abs(whole) < 2.0 ** 53))
+    return F.when(fits, whole.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{name} has more than {digits} decimal places: "), F.col(name).cast("string"))).cast("long"))
 
-def daily_sku_sums(ledger: DataFrame) -> DataFrame:
+
+def daily_sku_sums(ledger: DataFrame, digits: Digits = DIGITS) -> DataFrame:
     """Ledger (date, sku, is_return, quantity, amount, discount, loss) to one row per (date, sku).
 
     Runs before any join: a SKU with a third of all lines leaves each map task as at
     most one row per day.
     """
-    q, sold = _hundredths(F.col("quantity")), ~F.col("is_return")
-    paid = _hundredths(F.col("amount")) * (100 - _hundredths(F.col("discount")))
+    q, sold = _units("quantity", digits.quantity), ~F.col("is_return")
+    paid = _units("amount", digits.money) * (10 ** digits.rate - _units("discount", digits.rate))
     return ledger.groupBy("date", "sku").agg(
         F.sum(F.when(sold, q).otherwise(0)).alias("gross_u"),
         F.sum(F.when(sold, 0).otherwise(q)).alias("return_u"),
         F.sum(q).alias("all_u"),
         F.sum(F.when(sold, paid).otherwise(0)).alias("revenue_u"),
-        F.sum(q * _hundredths(F.col("loss"))).alias("loss_u"),
+        F.sum(q * _units("loss", digits.rate)).alias("loss_u"),
         F.count(F.lit(1)).alias("line_count"),
     )
 
 
-def attach_dimension(sums: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Join SKU attributes (sku, category_name, item_name, sku_name, unit_cost) and cost out the day."""
-    return (sums.join(dimension, "sku")
-            .withColumn("cost_u", F.col("all_u") * _hundredths(F.col("unit_cost"))))
+def attach_dimension(sums: DataFrame, dimension: DataFrame, digits: Digits = DIGITS) -> DataFrame:
+    """Join SKU attributes (sku, category_name, item_name, sku_name, unit_cost) and cost out the day.
+
+    Sales of a SKU that the dimension does not know stay, under the names `unknown` and without a cost.
+    """
+    named = sums.join(dimension, "sku", "left")
+    return named.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("category_name", "item_name", "sku_name")}
+                             ).withColumn("cost_u", F.col("all_u") * _units("unit_cost", digits.money))
 
 
-def measures(df: DataFrame, keys: list[str], extra: list[str] = ()) -> DataFrame:
+def measures(df: DataFrame, keys: list[str], extra: list[str] = (), digits: Digits = DIGITS) -> DataFrame:
     """Turn exact sums into the daily measures; prices are NULL on a day without gross sales."""
-    gross, everything = F.col("gross_u") / 100.0, F.col("all_u") / 100.0
-    revenue = F.col("revenue_u") / 10000.0
+    per_quantity = float(10 ** digits.quantity)
+    gross, everything = F.col("gross_u") / per_quantity, F.col("all_u") / per_quantity
+    revenue = F.col("revenue_u") / float(10 ** (digits.money + digits.rate))
     return df.select(
         *keys, *extra,
         gross.alias("gross_sales_qty"),
-        (F.col("return_u") / 100.0).alias("return_qty"),
-        (gross - F.col("return_u") / 100.0).alias("net_sales_qty"),
+        (F.col("return_u") / per_quantity).alias("return_qty"),
+        (gross - F.col("return_u") / per_quantity).alias("net_sales_qty"),
         revenue.alias("gross_revenue"),
         ratio(revenue, gross).alias("gross_weighted_avg_price"),
-        ratio(F.col("cost_u") / 10000.0, everything).alias("wholesale_price"),
-        ratio(F.lit(100.0) * (F.col("loss_u") / 10000.0), everything).alias("loss_rate_pct"),
+        ratio(F.col("cost_u") / (per_quantity * 10 ** digits.money), everything).alias("wholesale_price"),
+        ratio(F.lit(100.0) * (F.col("loss_u") / (per_quantity * 10 ** digits.rate)), everything).alias("loss_rate_pct"),
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -22,6 +23,7 @@ def session(cpus: int = 8):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("compare")
              .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -1,5 +1,6 @@
 """Small hand-computed cases, and brute force where SQL has no twin."""
 
+import collections
 import datetime as dt
 import math
 
@@ -7,13 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from greengrain.functions import fits, ranks
+from greengrain.functions import exprs, fits, ranks, staging
 from greengrain.functions.ordered import exact_quantiles, row_numbers, weighted_quantiles
 from greengrain.operators import assortment as so
 from greengrain.operators import audit, network, pairs
 from greengrain.operators import calendar as cal
 from greengrain.operators import elasticity as el
 from greengrain.operators import scenario as sc
+from greengrain.sources import mart
 
 
 def rows(df, *cols):
@@ -169,3 +171,66 @@ def test_components(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "n string")
     assert rows(network.components(edges, nodes, "n"), "n", "community") == [
         ("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), ("f", "f")]
+
+
+def test_demand_level_has_no_cap(spark):
+    got = spark.createDataFrame([(12.0,), (20.0,), (-30.0,), (None,)], "x double").select(exprs.level_from_log("x")).collect()
+    assert [r[0] for r in got] == [pytest.approx(math.expm1(12)), pytest.approx(math.expm1(20)), 0.0, 0.0]
+
+
+def test_fixed_keeps_large_values(spark):
+    got = spark.createDataFrame([(1e13,), (1e300,), (-2.5e-7,), (1.23456789,)], "x double").select(exprs.fixed("x")).collect()
+    assert [r[0] for r in got] == [1e13, 1e300, 0.0, 1.234568]
+
+
+LEDGER = "date date, sku long, is_return boolean, quantity double, amount double, discount double, loss double"
+
+
+def test_mart_keeps_weights_and_unknown_skus(spark):
+
+    day = dt.date(2024, 1, 1)
+    rows = [(day, 1, False, 0.396, 2.5, 0.1, 0.02)] * 3 + [(day, 2, False, 2.0, 4.0, 0.0, 0.0)]
+    sums = mart.daily_sku_sums(spark.createDataFrame(rows, LEDGER))
+    known = spark.createDataFrame([(1, "c", "i", "s", 1.25)], "sku long, category_name string, item_name string, sku_name string, unit_cost double")
+    got = {r["category_name"]: r for r in mart.roll_up(mart.attach_dimension(sums, known), ["category_name"]).collect()}
+    assert got["c"]["gross_sales_qty"] == 1.188 and got["c"]["gross_revenue"] == 6.75 and got["c"]["wholesale_price"] == pytest.approx(1.25)
+    assert got["unknown"]["gross_sales_qty"] == 2.0 and got["unknown"]["wholesale_price"] is None
+    with pytest.raises(Exception, match="decimal places"):
+        mart.daily_sku_sums(spark.createDataFrame([(day, 1, False, 0.3961, 2.5, 0.1, 0.02)], LEDGER)).collect()
+
+
+def test_information_score_against_definition():
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300).round(1)
+    for y in (rng.normal(size=300), x ** 2 + rng.normal(size=300) / 5, x):
+        n, best = 300, 0.0
+        place = lambda v: np.array([(v < a).sum() + ((v == a).sum() - 1) / 2 for a in v])
+        px, py = place(x), place(y)
+        for a in range(2, 13):
+            for b in range(2, 13):
+                if a * b > int(n ** 0.6):
+                    continue
+                cell = list(zip((px * a / n).astype(int).clip(max=a - 1), (py * b / n).astype(int).clip(max=b - 1)))
+                h = lambda keys: -sum(c / n * math.log(c / n) for c in collections.Counter(keys).values())
+                best = max(best, (h([i for i, _ in cell]) + h([j for _, j in cell]) - h(cell)) / math.log(min(a, b)))
+        assert ranks.information_score(x, y) == pytest.approx(min(best, 1.0), abs=1e-9)
+
+
+def test_ungrouped_order_without_a_key(spark):
+    df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("v"), "id")
+    got = row_numbers(df, [], "v", ["id"])
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    rows = sorted((r["v"], r["id"], r["rn"]) for r in got.collect())
+    assert [r[2] for r in rows] == list(range(1, 1001))
+
+
+def test_no_local_folder_off_a_single_machine():
+    class Fake:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Fake)
