@@ -9,12 +9,11 @@ Order of work, all of it on Spark:
 
 1. one pass over the texts: set size, set fingerprint and half keys. Equal sets become one class.
 2. half keys held by one class only go; the rest is tensored into table keys.
-3. each bucket compares its members with its first member, on full sets (a star, never all pairs). Links give
-   components.
-4. buckets that still hold several components: small ones compare every pair of different components. For large
-   ones the exact prefix rule finds the rest: two sets of similarity t share one of the rarest
-   n - ceil(t * n) + 1 elements of each, so their documents are regrouped by these elements and step 3 and 4 repeat;
-   there, whatever is still open is compared pair by pair. Nothing is capped.
+3. each bucket compares its members with its first member, on full sets (a star, never all pairs).
+4. buckets in which a member did not match the first one: small ones compare the pairs not yet tied. Large ones that
+   hold several components of all links so far follow the exact prefix rule: two sets of similarity t share one of
+   the rarest n - ceil(t * n) + 1 elements of each, so their documents are regrouped by these elements and compared
+   in the same way; what is still open then is compared pair by pair. Nothing is capped.
 
 Two texts with a similarity of exactly t meet with probability (1 - (1 - t^rows)^bands)^2, 0.99993 at t = 0.8.
 """
@@ -82,8 +81,7 @@ def similar(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (source, target, n_source, n_target) whose full sets reach the similarity."""
-    low, high = F.least("n_source", "n_target"), F.greatest("n_source", "n_target")
-    possible = pairs.where(100 * low >= percent * high)
+    possible = pairs.where(similar(F.least("n_source", "n_target"), F.col("n_source"), F.col("n_target"), percent))
     a = sets.select(F.col("node").alias("source"), F.col("members").alias("_a"))
     b = sets.select(F.col("node").alias("target"), F.col("members").alias("_b"))
     both = possible.join(a, "source").join(b, "target")
@@ -92,7 +90,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node, n): all pairs of a left and a right half key that some other class holds too."""
+    """(key, node, n, m): all pairs of a left and a right half key that some other class holds too."""
     halves = classes.select("node", "n", F.explode(F.concat(
         F.transform("left", lambda h: F.struct(F.lit(True).alias("is_left"), h.alias("half"))),
         F.transform("right", lambda h: F.struct(F.lit(False).alias("is_left"), h.alias("half"))))).alias("h")
@@ -104,11 +102,11 @@ def table_keys(classes: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("is_left"), F.col("half"))).alias("right")))
     return (live.select("node", "n", F.explode("left").alias("a"), "right")
             .select("node", "n", "a", F.explode("right").alias("b"))
-            .select(F.xxhash64("a", "b").alias("key"), "node", "n"))
+            .select(F.xxhash64("a", "b").alias("key"), "node", "n", F.col("n").alias("m")))
 
 
 def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """Members (key, node, n) of buckets with two or more, with bucket size and first member."""
+    """Members (key, node, n, m) of buckets with two or more, with bucket size and first member."""
     heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lead"))
     return keyed.join(heads.where("c > 1"), "key")
 
@@ -120,32 +118,49 @@ def star(members: DataFrame) -> DataFrame:
                     F.col("n").alias("n_source"), F.col("lead.n").alias("n_target")).distinct())
 
 
+def unmet(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets in which the star left something open; comp is the first member if it is linked to it."""
+    known = links.select(F.col("source").alias("node"), F.col("target").alias("_t"))
+    named = members.withColumn("_t", F.col("lead.node")).join(known.withColumn("_met", F.lit(True)), ["node", "_t"], "left")
+    named = named.withColumn("comp", F.when(F.col("_met"), F.col("_t")).otherwise(F.col("node")))
+    left = named.where(F.col("comp") != F.col("_t")).select("key").distinct()
+    return named.join(left, "key", "left_semi").select("key", "node", "n", "m", "c", "comp")
+
+
 def open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component."""
+    """Members of buckets that hold several components of the links, with their component."""
     ends = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     labels = components(links, ends, "node")
-    named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("community", "node"))
+    named = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("community", "node"))
     several = named.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
-    return named.join(several.select("key"), "key", "left_semi").select("key", "node", "n", "c", "comp")
+    return named.join(several.select("key"), "key", "left_semi").select("key", "node", "n", "m", "c", "comp")
 
 
-def all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components inside each bucket, each pair once."""
-    a = members.select("key", F.col("node").alias("source"), F.col("n").alias("n_source"), F.col("comp").alias("_x"))
-    b = members.select("key", F.col("node").alias("target"), F.col("n").alias("n_target"), F.col("comp").alias("_y"))
-    return (a.join(b, "key").where("source < target and _x <> _y")
+def all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components inside each bucket that can still be similar, each pair once.
+
+    m counts the elements of a set that any other set may hold, so no pair shares more than the smaller m.
+    """
+    a = members.select("key", F.col("node").alias("source"), F.col("n").alias("n_source"), F.col("m").alias("_m"), F.col("comp").alias("_x"))
+    b = members.select("key", F.col("node").alias("target"), F.col("n").alias("n_target"), F.col("m").alias("_k"), F.col("comp").alias("_y"))
+    can = similar(F.least("_m", "_k"), F.col("n_source"), F.col("n_target"), percent)
+    return (a.join(b, "key").where((F.col("source") < F.col("target")) & (F.col("_x") != F.col("_y")) & can)
             .select("source", "target", "n_source", "n_target").distinct())
 
 
 def rare_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n): each set under its rarest n - ceil(t * n) + 1 elements, by the counts within `sets`."""
+    """(key, node, n, m): each set under its rarest n - ceil(t * n) + 1 elements, by the counts within `sets`.
+
+    m leaves out the elements of one set alone; a set that shares too few goes at once.
+    """
     rows = sets.select("node", F.size("members").cast("long").alias("n"), F.explode("members").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
     return (rows.join(counts, "key").groupBy("node", "n")
-            .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
-            .select("node", "n", F.explode(F.slice("order", F.lit(1), take.cast("int"))).alias("e"))
-            .where("e.df > 1").select("e.key", "node", "n"))
+            .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"), F.count_if(F.col("df") > 1).alias("m"))
+            .where(100 * F.col("m") >= percent * F.col("n"))
+            .select("node", "n", "m", F.explode(F.slice("order", F.lit(1), take.cast("int"))).alias("e"))
+            .where("e.df > 1").select("e.key", "node", "n", "m"))
 
 
 def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int, small: int) -> DataFrame:
@@ -155,17 +170,24 @@ def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     reps = docs.join(wanted, "doc_id", "left_semi")
     sets = stage(shingle_sets(reps, width), "sets")
     links = stage(confirmed(star(members), sets, percent), "links")
-    rest = stage(open_buckets(members, links), "open")
-    near = confirmed(all_pairs(rest.where(F.col("c") <= small)), sets, percent)
+    rest = stage(unmet(members, links), "open")
+    near = confirmed(all_pairs(rest.where(F.col("c") <= small), percent), sets, percent)
     links = stage(links.unionByName(near), "links")
     large = rest.where(F.col("c") > small)
+    if large.isEmpty():
+        return links
+    large = stage(open_buckets(large, links), "open")
     if large.isEmpty():
         return links
     few = stage(sets.join(large.select("node").distinct(), "node", "left_semi"), "sets")
     members = stage(shared_buckets(rare_elements(few, percent)), "buckets")
-    links = stage(links.unionByName(confirmed(star(members), few, percent)), "links")
-    rest = stage(open_buckets(members, links), "open")
-    return stage(links.unionByName(confirmed(all_pairs(rest), few, percent)), "links")
+    met = stage(confirmed(star(members), few, percent), "links")
+    links = stage(links.unionByName(met), "links")
+    rest = stage(unmet(members, met), "open")
+    if rest.where(F.col("c") > small).isEmpty():
+        return stage(links.unionByName(confirmed(all_pairs(rest, percent), few, percent)), "links")
+    rest = stage(open_buckets(rest, links), "open")
+    return stage(links.unionByName(confirmed(all_pairs(rest, percent), few, percent)), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -202,9 +224,11 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     key = ["doc_id", "mark"]
     again = named.where("kept and doc_id is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*key)
     out = named.where(~F.col("kept")).select(*key).unionByName(again).distinct().withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
-    here = (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_m"))
-    plain = docs.join(out, here, "left_anti")
+    def here(keys: DataFrame) -> Column:
+        return (docs["doc_id"].cast("long") == keys["_d"]) & (F.xxhash64(docs["text"].cast("string")) == keys["_m"])
+    plain = docs.join(out, here(out), "left_anti")
     if again.isEmpty():
         return plain
-    once = docs.join(again.withColumnsRenamed({"doc_id": "_d", "mark": "_m"}), here, "left_semi").dropDuplicates(["doc_id", "text"])
+    again = again.withColumnsRenamed({"doc_id": "_d", "mark": "_m"})
+    once = docs.join(again, here(again), "left_semi").dropDuplicates(["doc_id", "text"])
     return plain.unionByName(once)
