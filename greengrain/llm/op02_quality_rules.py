@@ -111,7 +111,10 @@ def judged(docs: DataFrame, rules=RULES, min_words: int = 20, repeat_percent: in
 def passing(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents that are kept, with the columns of the input; each row travels beside its counts."""
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc_row"))
-    return judged(packed, carry=("doc_row",), **options).where("kept").select("doc_row.*")
+    rows = judged(packed, carry=("doc_row",), **options)
+    # a filter would be pushed below the counts and repeat their expressions many times over; beside a column that is
+    # not deterministic it stays where it is
+    return rows.withColumn("row_mark", F.monotonically_increasing_id()).where("kept and row_mark >= 0").select("doc_row.*")
 
 
 def sql(rules=RULES, min_words: int = 20, repeat_percent: int = 30) -> str:
