@@ -90,7 +90,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node, n, m): all pairs of a left and a right half key that some other class holds too."""
+    """(key, node, n, m, head): all pairs of a left and a right half key that some other class holds too."""
     halves = classes.select("node", "n", F.explode(F.concat(
         F.transform("left", lambda h: F.struct(F.lit(True).alias("is_left"), h.alias("half"))),
         F.transform("right", lambda h: F.struct(F.lit(False).alias("is_left"), h.alias("half"))))).alias("h")
@@ -102,11 +102,11 @@ def table_keys(classes: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("is_left"), F.col("half"))).alias("right")))
     return (live.select("node", "n", F.explode("left").alias("a"), "right")
             .select("node", "n", "a", F.explode("right").alias("b"))
-            .select(F.xxhash64("a", "b").alias("key"), "node", "n", F.col("n").alias("m")))
+            .select(F.xxhash64("a", "b").alias("key"), "node", "n", F.col("n").alias("m"), F.lit(True).alias("head")))
 
 
 def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """Members (key, node, n, m) of buckets with two or more, with bucket size and first member."""
+    """Members (key, node, n, m, head) of buckets with two or more, with bucket size and first member."""
     heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lead"))
     return keyed.join(heads.where("c > 1"), "key")
 
@@ -124,7 +124,7 @@ def unmet(members: DataFrame, links: DataFrame) -> DataFrame:
     named = members.withColumn("_t", F.col("lead.node")).join(known.withColumn("_met", F.lit(True)), ["node", "_t"], "left")
     named = named.withColumn("comp", F.when(F.col("_met"), F.col("_t")).otherwise(F.col("node")))
     left = named.where(F.col("comp") != F.col("_t")).select("key").distinct()
-    return named.join(left, "key", "left_semi").select("key", "node", "n", "m", "c", "comp")
+    return named.join(left, "key", "left_semi").select("key", "node", "n", "m", "head", "c", "comp")
 
 
 def open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -133,34 +133,40 @@ def open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links, ends, "node")
     named = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("community", "node"))
     several = named.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b")
-    return named.join(several.select("key"), "key", "left_semi").select("key", "node", "n", "m", "c", "comp")
+    return named.join(several.select("key"), "key", "left_semi").select("key", "node", "n", "m", "head", "c", "comp")
 
 
 def all_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components inside each bucket that can still be similar, each pair once.
 
-    m counts the elements of a set that any other set may hold, so no pair shares more than the smaller m.
+    m counts the elements of a set that any other set may hold, so no pair shares more than the smaller m. head tells
+    whether the key may bring the set together with a larger one.
     """
-    a = members.select("key", F.col("node").alias("source"), F.col("n").alias("n_source"), F.col("m").alias("_m"), F.col("comp").alias("_x"))
-    b = members.select("key", F.col("node").alias("target"), F.col("n").alias("n_target"), F.col("m").alias("_k"), F.col("comp").alias("_y"))
+    a = members.select("key", F.col("node").alias("source"), F.col("n").alias("n_source"), F.col("m").alias("_m"), F.col("head").alias("_h"),
+                       F.col("comp").alias("_x"))
+    b = members.select("key", F.col("node").alias("target"), F.col("n").alias("n_target"), F.col("m").alias("_k"), F.col("head").alias("_g"),
+                       F.col("comp").alias("_y"))
     can = similar(F.least("_m", "_k"), F.col("n_source"), F.col("n_target"), percent)
-    return (a.join(b, "key").where((F.col("source") < F.col("target")) & (F.col("_x") != F.col("_y")) & can)
+    return (a.join(b, "key").where((F.col("source") < F.col("target")) & (F.col("_x") != F.col("_y")) & can
+                                & F.when(F.col("n_source") <= F.col("n_target"), F.col("_h")).otherwise(F.col("_g")))
             .select("source", "target", "n_source", "n_target").distinct())
 
 
 def rare_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, m): each set under its rarest n - ceil(t * n) + 1 elements, by the counts within `sets`.
+    """(key, node, n, m, head): each set under its rarest n - ceil(t * n) + 1 elements, by the counts within `sets`.
 
-    m leaves out the elements of one set alone; a set that shares too few goes at once.
+    m leaves out the elements of one set alone; a set that shares too few goes at once. With a set of its size or
+    more, a set must share one of its rarest n - ceil(2t / (1 + t) * n) + 1 elements already; head marks these.
     """
     rows = sets.select("node", F.size("members").cast("long").alias("n"), F.explode("members").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2.0 * percent) / (100.0 + percent) - 1e-9) + 1
     return (rows.join(counts, "key").groupBy("node", "n")
             .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"), F.count_if(F.col("df") > 1).alias("m"))
             .where(100 * F.col("m") >= percent * F.col("n"))
-            .select("node", "n", "m", F.explode(F.slice("order", F.lit(1), take.cast("int"))).alias("e"))
-            .where("e.df > 1").select("e.key", "node", "n", "m"))
+            .select("node", "n", "m", F.posexplode(F.slice("order", F.lit(1), take.cast("int"))).alias("pos", "e"))
+            .where("e.df > 1").select("e.key", "node", "n", "m", (F.col("pos") < short).alias("head")))
 
 
 def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int, small: int) -> DataFrame:
