@@ -66,9 +66,12 @@ def design(features: list[tuple[float, float]]) -> np.ndarray:
 def sampled(docs: DataFrame, labels: DataFrame, part: Column, quality: int, rows: int, chars: int) -> list[str]:
     """Whole texts of at most `rows` labelled documents of at most `chars` characters, by a hash of their id."""
     known = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    pool = docs.where((F.length("text") <= chars) & part).join(known, "doc_id", "left_semi")
-    picked = pool.select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(rows)
-    return [r["text"] for r in picked.collect()]
+    pool = docs.where((F.length("text") <= chars) & part)
+    # ids alone are ordered and joined; the texts of at most `rows` ids are then read without a shuffle of all texts
+    ids = (pool.select("doc_id").join(known, "doc_id", "left_semi").distinct()
+           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    texts = pool.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return [r["text"] for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[tuple[bytes, bytes], np.ndarray]:
