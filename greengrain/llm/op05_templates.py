@@ -4,9 +4,10 @@ A line falls through a tree of fixed depth: its word count, then its first `lead
 variable at once). In a leaf, the word at a position is fixed if enough documents have it there, else it is a variable
 field. What is left, with the fields as wildcards, is the template of the line; it must keep enough fixed words.
 
-A template is dropped where it recurs in `min_docs` texts that are otherwise different, and in as many of these as of
-others: texts whose other lines mostly recur too are copies of each other, and copies are not boilerplate. Equal texts
-count once, so the lines of exact and near copies stay for the near-duplicate step, while a licence line goes from all.
+A template is dropped where `min_docs` texts hold it that are pairwise different: each has a sketch of its five-word
+shingles, and two texts whose sketches agree in `SAME_PERCENT` or more are copies of each other. A group of copies counts
+once, whatever its size, and never speaks against a template. So the lines of exact and near copies stay for the
+near-duplicate step, while a licence line goes from all.
 
 All counts are sums over distinct lines per leaf and position, so a line in a third of all documents is one row, and
 a crowded leaf is spread over its positions and words.
@@ -14,13 +15,19 @@ a crowded leaf is spread over its positions and words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
-from greengrain.llm.common import words_of
+from greengrain.llm.common import by_batch, shingle_hashes, words_of
 
 LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT, COPY_PERCENT = 3, 5, 4, 60, 50
+# Sketches of near copies (similarity 0.8) agree in less than this share with probability below 0.0001.
+SKETCH, SAME_PERCENT = 64, 60
 
 
 def _lines(text: Column) -> Column:
@@ -66,21 +73,66 @@ def templates(rows: DataFrame, lead: int, min_docs: int, fixed_percent: int) ->
     return shaped.join(often, "template", "left_semi").select("line_hash", "template")
 
 
+def _sketch(text: str | None) -> bytes:
+    """One byte for each of SKETCH ranges of hashes: of the smallest shingle hash in the range, 0 for none."""
+    hashes = shingle_hashes(text, 5)
+    out = np.zeros(SKETCH, np.uint8)
+    ranges, first = np.unique(hashes >> np.uint64(58), return_index=True)
+    out[ranges.astype(np.int64)] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(mark, sketch) of each text."""
+    def make(b: pa.RecordBatch) -> pa.RecordBatch:
+        made = pa.array([_sketch(t.as_py()) for t in b.column("text")], pa.binary())
+        return pa.RecordBatch.from_arrays([b.column("mark"), made], ["mark", "sketch"])
+    return by_batch(texts.select("mark", "text"), make, "mark long, sketch binary")
+
+
+def _add(held: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The pairwise different sketches held, and this one if it is different from each of them."""
+    shared = ((held == sketch) & (sketch > 0)).sum(axis=1)
+    either = ((held > 0) | (sketch > 0)).sum(axis=1)
+    return held if (100 * shared >= SAME_PERCENT * np.maximum(either, 1)).any() else np.vstack([held, sketch])
+
+
+def _different(rows: DataFrame) -> DataFrame:
+    """(template, need, sketches) per task: pairwise different sketches of a template, at most `need` of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            for key, need, packed in zip(*(b.column(c).to_pylist() for c in ("template", "need", "sketches"))):
+                old = held.get(key, (need, np.empty((0, SKETCH), np.uint8)))[1]
+                for sketch in np.frombuffer(packed, np.uint8).reshape(-1, SKETCH) if len(old) < need else ():
+                    old = _add(old, sketch) if len(old) < need else old
+                held[key] = need, old
+        keys = list(held)
+        for i in range(0, len(keys), 10_000):
+            part = keys[i:i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([held[k][0] for k in part], pa.int64()),
+                                              pa.array([held[k][1].tobytes() for k in part], pa.binary())], ["template", "need", "sketches"])
+    return rows.select("template", "need", "sketches").mapInArrow(run, "template long, need long, sketches binary")
+
+
+def widespread(held: DataFrame) -> DataFrame:
+    """Templates with `need` pairwise different texts, from (template, need, sketches) per text.
+
+    Each task reduces its rows first, so a template in a third of all texts is one row per task.
+    """
+    own = _different(held)
+    return _different(own.repartition("template")).where(F.length("sketches") >= F.col("need") * SKETCH).select("template")
+
+
 def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
-                  fixed_percent: int = FIXED_PERCENT, copy_percent: int = COPY_PERCENT) -> DataFrame:
+                  fixed_percent: int = FIXED_PERCENT) -> DataFrame:
     """(mark, line_hash) of the lines to drop, for documents from with_mark."""
     texts = docs.select("mark", "text").dropDuplicates(["mark"])
     rows = line_rows(texts, lead, min_words)
     known = stage(templates(rows, lead, min_docs, fixed_percent), "templates")
-    found = stage(rows.select("mark", "n", F.xxhash64("line").alias("line_hash")).join(known, "line_hash"), "recurring")
-    sums = found.groupBy("mark").agg(F.sum("n").alias("again"))
-    total = texts.select("mark", F.aggregate(F.array_distinct(_lines(F.col("text"))), F.lit(0),
-                                             lambda a, x: a + F.size(words_of(x))).alias("all"))
-    seen = found.join(sums.join(total, "mark"), "mark")
-    other, rest = F.col("again") - F.col("n"), F.col("all") - F.col("n")
-    apart = (rest > 0) & (100 * other < copy_percent * rest)
-    bad = (seen.groupBy("template").agg(F.count_if(apart).alias("c"), F.count(F.lit(1)).alias("of"))
-           .where((F.col("c") >= min_docs) & (2 * F.col("c") >= F.col("of"))).select("template"))
+    found = stage(rows.select("mark", F.xxhash64("line").alias("line_hash")).join(known, "line_hash"), "recurring")
+    holds = found.select("mark", "template").distinct().withColumn("need", F.lit(min_docs).cast("long"))
+    bad = widespread(holds.join(sketches(texts).withColumnRenamed("sketch", "sketches"), "mark"))
     return found.join(bad, "template", "left_semi").select("mark", "line_hash").distinct()
 
 

@@ -94,6 +94,20 @@ def test_templates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows)
 
 
+def test_copies_neither_add_nor_veto(spark):
+    """A footer of 8 unrelated texts and of one group of 20 near copies goes from all; the lines of the group stay."""
+    body = lambda i, n: " ".join(f"b{i}x{j}" for j in range(n))
+    footer, nav = "Read more about our news at the end", "\n".join(f"Go to the page of section {c} of the shop" for c in "abcdef")
+    rows = [(i, f"{body(i, 60)}\n{footer}", "en", "a") for i in range(8)]
+    copied = "\n".join(f"{body(c, 12)} is a line of a story" for c in "pqrstuvw")
+    rows += [(100 + i, f"{copied}\nlast words {i}\n{footer}", "en", "a") for i in range(20)]
+    rows += [(200 + i, f"{nav}\n{body(900 + i, 40)}\n{body(950 + i, 3)}", "en", "a") for i in range(8)]
+    out = {r["doc_id"]: r for r in op05_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(out[i]["n_dropped"] == 1 for i in [*range(8), *range(100, 120)])
+    assert all(footer not in r["text"] for r in out.values())
+    assert all(out[200 + i]["n_dropped"] == 6 for i in range(8))
+
+
 def test_mixing(spark):
     plan = op08_mixing.copies(frame(spark), chunk=2).collect()
     assert sum(r["rows"] for r in plan) == len(ROWS) and all(0 <= r["copies"] <= 3 for r in plan)
