@@ -3,11 +3,13 @@
 A line falls through a tree of fixed depth: its word count, then its first `lead` words (a word with a digit is a
 variable at once). In a leaf, the word at a position is fixed if enough documents have it there, else it is a variable
 field. What is left, with the fields as wildcards, is the template of the line; it must keep enough fixed words.
+Lines are also compared as they stand, short ones (below `min_words`) in no other way.
 
-A template is dropped where `min_docs` texts hold it that are pairwise different: each has a sketch of its five-word
+A template is dropped where enough texts hold it that are pairwise different: each has a sketch of its five-word
 shingles, and two texts whose sketches agree in `SAME_PERCENT` or more are copies of each other. A group of copies counts
 once, whatever its size, and never speaks against a template. So the lines of exact and near copies stay for the
-near-duplicate step, while a licence line goes from all.
+near-duplicate step, while a licence line goes from all. How many texts are enough follows from the words of the line:
+`EVIDENCE` words over all texts, so 20 texts for one word and `min_docs` for five.
 
 All counts are sums over distinct lines per leaf and position, so a line in a third of all documents is one row, and
 a crowded leaf is spread over its positions and words.
@@ -28,6 +30,7 @@ from greengrain.llm.common import by_batch, shingle_hashes, words_of
 LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT, COPY_PERCENT = 3, 5, 4, 60, 50
 # Sketches of near copies (similarity 0.8) agree in less than this share with probability below 0.0001.
 SKETCH, SAME_PERCENT = 64, 60
+EVIDENCE = 20
 
 
 def _lines(text: Column) -> Column:
@@ -38,13 +41,18 @@ def _masked(word: Column) -> Column:
     return F.when(word.rlike("[0-9]"), F.lit("*")).otherwise(word)
 
 
-def line_rows(docs: DataFrame, lead: int, min_words: int) -> DataFrame:
-    """(mark, line, words, leaf, n): distinct lines of each text with enough words."""
+def needed(words: Column, least: int) -> Column:
+    """Texts that must hold a line with so many words."""
+    return F.greatest(F.ceil(F.lit(EVIDENCE) / words), F.lit(least)).cast("long")
+
+
+def line_rows(docs: DataFrame, lead: int) -> DataFrame:
+    """(mark, line, words, leaf, n): distinct lines of each text that have a word."""
     split = docs.select("mark", F.array_distinct(_lines(F.col("text"))).alias("lines"))
     rows = split.select("mark", F.explode(F.transform("lines", lambda x: F.struct(
         x.alias("line"), words_of(x).alias("words")))).alias("r")).select("mark", "r.line", "r.words")
     first = F.transform(F.slice("words", 1, lead), _masked)
-    return (rows.withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    return (rows.withColumn("n", F.size("words")).where(F.col("n") > 0)
             .withColumn("leaf", F.xxhash64("n", first)))
 
 
@@ -124,14 +132,23 @@ def widespread(held: DataFrame) -> DataFrame:
     return _different(own.repartition("template")).where(F.length("sketches") >= F.col("need") * SKETCH).select("template")
 
 
+def short_lines(rows: DataFrame, min_words: int, min_docs: int) -> DataFrame:
+    """(line_hash, template, need) of short lines that enough texts have as they stand; one without a letter stays."""
+    short = rows.where((F.col("n") < min_words) & F.col("line").rlike(r"\p{L}"))
+    counts = short.groupBy(F.xxhash64("line").alias("line_hash"), "n").agg(F.count(F.lit(1)).alias("c"))
+    return counts.withColumn("need", needed(F.col("n"), min_docs)).where(F.col("c") >= F.col("need")).select(
+        "line_hash", F.xxhash64(F.lit("line"), "line_hash").alias("template"), "need")
+
+
 def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
                   fixed_percent: int = FIXED_PERCENT) -> DataFrame:
     """(mark, line_hash) of the lines to drop, for documents from with_mark."""
     texts = docs.select("mark", "text").dropDuplicates(["mark"])
-    rows = line_rows(texts, lead, min_words)
-    known = stage(templates(rows, lead, min_docs, fixed_percent), "templates")
+    rows = line_rows(texts, lead)
+    shaped = templates(rows.where(F.col("n") >= min_words), lead, min_docs, fixed_percent).withColumn("need", F.lit(min_docs).cast("long"))
+    known = stage(shaped.unionByName(short_lines(rows, min_words, min_docs)), "templates")
     found = stage(rows.select("mark", F.xxhash64("line").alias("line_hash")).join(known, "line_hash"), "recurring")
-    holds = found.select("mark", "template").distinct().withColumn("need", F.lit(min_docs).cast("long"))
+    holds = found.select("mark", "template", "need").distinct()
     bad = widespread(holds.join(sketches(texts).withColumnRenamed("sketch", "sketches"), "mark"))
     return found.join(bad, "template", "left_semi").select("mark", "line_hash").distinct()
 
@@ -139,7 +156,7 @@ def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS,
 def without_templates(docs: DataFrame, **options) -> DataFrame:
     """Documents (doc_id, text) as (doc_id, text, n_lines, n_dropped) with every line of a dropped template removed.
 
-    Lines below `min_words` words never go. Line numbers count \\n-split lines; a NULL text stays NULL with 0 lines.
+    Lines below `min_words` words go only where they repeat as they stand. Line numbers count \\n-split lines; a NULL text stays NULL with 0 lines.
     Rows without doc_id and repeated rows take part like others, equal rows once. An empty table gives no rows;
     further columns are not read.
     """

@@ -108,6 +108,17 @@ def test_copies_neither_add_nor_veto(spark):
     assert all(out[200 + i]["n_dropped"] == 6 for i in range(8))
 
 
+def test_short_lines_go(spark):
+    """A line of three words in 25 different texts goes; in 3 texts or 25 near copies it stays."""
+    body = lambda i: " ".join(f"s{i}x{j}" for j in range(40))
+    rows = [(i, f"{body(i)}\nAll rights reserved." + ("\nSee also here" if i < 3 else "") + "\n---", "en", "a") for i in range(25)]
+    rows += [(100 + i, f"{body('c')} {i}\nOf a copy", "en", "a") for i in range(25)]
+    out = {r["doc_id"]: r["text"] for r in op05_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any("All rights" in t for t in out.values())
+    assert all("See also here" in out[i] for i in range(3)) and all("Of a copy" in out[100 + i] for i in range(25))
+    assert all("---" in out[i] for i in range(25))
+
+
 def test_mixing(spark):
     plan = op08_mixing.copies(frame(spark), chunk=2).collect()
     assert sum(r["rows"] for r in plan) == len(ROWS) and all(0 <= r["copies"] <= 3 for r in plan)
