@@ -9,7 +9,9 @@ A template is dropped where enough texts hold it that are pairwise different: ea
 shingles, and two texts whose sketches agree in `SAME_PERCENT` or more are copies of each other. A group of copies counts
 once, whatever its size, and never speaks against a template. So the lines of exact and near copies stay for the
 near-duplicate step, while a licence line goes from all. How many texts are enough follows from the words of the line:
-`EVIDENCE` words over all texts, so 20 texts for one word and `min_docs` for five.
+`EVIDENCE` words over all texts, so 20 texts for one word and `min_docs` for five. A line of 10 words, or a passage of
+consecutive lines with `PASSAGE` words, needs only two texts, but they must be different beyond it: fewer than `min_docs`
+texts count only where their sketches agree in less than `APART_PERCENT`.
 
 All counts are sums over distinct lines per leaf and position, so a line in a third of all documents is one row, and
 a crowded leaf is spread over its positions and words.
@@ -25,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
-from greengrain.llm.common import by_batch, shingle_hashes, words_of
+from greengrain.llm.common import by_batch, byte_words, shingle_hashes, words_of
 
 LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT, COPY_PERCENT = 3, 5, 4, 60, 50
 # Sketches of near copies (similarity 0.8) agree in less than this share with probability below 0.0001.
 SKETCH, SAME_PERCENT = 64, 60
-EVIDENCE = 20
+EVIDENCE, PASSAGE, APART_PERCENT = 20, 50, 30
 
 
 def _lines(text: Column) -> Column:
@@ -90,53 +92,86 @@ def _sketch(text: str | None) -> bytes:
     return out.tobytes()
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(mark, sketch) of each text."""
+def _passages(text: str | None) -> tuple[list[int], list[int | None], list[int]]:
+    """Hashes of the lines with a word; from each on, the hash and the number of the first lines that have PASSAGE words."""
+    import xxhash
+    lines = [(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42), n) for x in (text or "").split("\n") if (n := len(byte_words(x)))]
+    hashes, runs, sizes = [h - (h >> 63 << 64) for h, _ in lines], [], []
+    words, end = 0, 0
+    for i, (_, n) in enumerate(lines):
+        while words < PASSAGE and end < len(lines):
+            words, end = words + lines[end][1], end + 1
+        run = xxhash.xxh64_intdigest(np.array(hashes[i:end], np.int64).tobytes(), 7)
+        runs.append(run - (run >> 63 << 64) if words >= PASSAGE and end - i > 1 else None)
+        sizes.append(end - i)
+        words -= n
+    return hashes, runs, sizes
+
+
+def text_facts(texts: DataFrame) -> DataFrame:
+    """(mark, sketch, hashes, runs, sizes) of each text."""
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        made = pa.array([_sketch(t.as_py()) for t in b.column("text")], pa.binary())
-        return pa.RecordBatch.from_arrays([b.column("mark"), made], ["mark", "sketch"])
-    return by_batch(texts.select("mark", "text"), make, "mark long, sketch binary")
+        own = b.column("text").to_pylist()
+        found = list(zip(*map(_passages, own)))
+        return pa.RecordBatch.from_arrays([b.column("mark"), pa.array(map(_sketch, own), pa.binary()), pa.array(found[0], pa.list_(pa.int64())),
+                                           pa.array(found[1], pa.list_(pa.int64())), pa.array(found[2], pa.list_(pa.int32()))],
+                                          ["mark", "sketch", "hashes", "runs", "sizes"])
+    return by_batch(texts.select("mark", "text"), make, "mark long, sketch binary, hashes array<long>, runs array<long>, sizes array<int>")
 
 
-def _add(held: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+def passages(facts: DataFrame) -> DataFrame:
+    """(mark, line_hash, template, need) of the lines in passages that two texts have."""
+    each = facts.select("mark", "hashes", "sizes", F.posexplode("runs").alias("i", "template")).where("template is not null")
+    again = facts.select(F.explode("runs").alias("template")).where("template is not null").groupBy("template").agg(
+        F.count(F.lit(1)).alias("c")).where("c > 1").select("template")
+    own = each.select("mark", "template", F.slice("hashes", F.col("i") + 1, F.col("sizes")[F.col("i")]).alias("lines"))
+    return own.join(again, "template", "left_semi").select(
+        "mark", F.explode("lines").alias("line_hash"), "template", F.lit(2).cast("long").alias("need"))
+
+
+def _add(held: np.ndarray, sketch: np.ndarray, same: int) -> np.ndarray:
     """The pairwise different sketches held, and this one if it is different from each of them."""
     shared = ((held == sketch) & (sketch > 0)).sum(axis=1)
     either = ((held > 0) | (sketch > 0)).sum(axis=1)
-    return held if (100 * shared >= SAME_PERCENT * np.maximum(either, 1)).any() else np.vstack([held, sketch])
+    return held if (100 * shared >= same * np.maximum(either, 1)).any() else np.vstack([held, sketch])
 
 
 def _different(rows: DataFrame) -> DataFrame:
-    """(template, need, sketches) per task: pairwise different sketches of a template, at most `need` of them."""
+    """(template, need, same, sketches) per task: sketches of a template, at most `need`, that agree in less than `same` percent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[int, np.ndarray]] = {}
+        held: dict[tuple[int, int, int], np.ndarray] = {}
         for b in batches:
-            for key, need, packed in zip(*(b.column(c).to_pylist() for c in ("template", "need", "sketches"))):
-                old = held.get(key, (need, np.empty((0, SKETCH), np.uint8)))[1]
+            for *key, packed in zip(*(b.column(c).to_pylist() for c in ("template", "need", "same", "sketches"))):
+                need, same = key[1:]
+                old = held.get(tuple(key), np.empty((0, SKETCH), np.uint8))
                 for sketch in np.frombuffer(packed, np.uint8).reshape(-1, SKETCH) if len(old) < need else ():
-                    old = _add(old, sketch) if len(old) < need else old
-                held[key] = need, old
+                    old = _add(old, sketch, same) if len(old) < need else old
+                held[tuple(key)] = old
         keys = list(held)
         for i in range(0, len(keys), 10_000):
             part = keys[i:i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([held[k][0] for k in part], pa.int64()),
-                                              pa.array([held[k][1].tobytes() for k in part], pa.binary())], ["template", "need", "sketches"])
-    return rows.select("template", "need", "sketches").mapInArrow(run, "template long, need long, sketches binary")
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*part)),
+                                              pa.array([held[k].tobytes() for k in part], pa.binary())], ["template", "need", "same", "sketches"])
+    return rows.select("template", "need", "same", "sketches").mapInArrow(run, "template long, need long, same long, sketches binary")
 
 
-def widespread(held: DataFrame) -> DataFrame:
-    """Templates with `need` pairwise different texts, from (template, need, sketches) per text.
+def widespread(held: DataFrame, min_docs: int) -> DataFrame:
+    """Templates with enough pairwise different texts, from (template, need, sketches) per text.
 
     Each task reduces its rows first, so a template in a third of all texts is one row per task.
     """
-    own = _different(held)
-    return _different(own.repartition("template")).where(F.length("sketches") >= F.col("need") * SKETCH).select("template")
-
-
-def short_lines(rows: DataFrame, min_words: int, min_docs: int) -> DataFrame:
-    """(line_hash, template, need) of short lines that enough texts have as they stand; one without a letter stays."""
-    short = rows.where((F.col("n") < min_words) & F.col("line").rlike(r"\p{L}"))
-    counts = short.groupBy(F.xxhash64("line").alias("line_hash"), "n").agg(F.count(F.lit(1)).alias("c"))
-    return counts.withColumn("need", needed(F.col("n"), min_docs)).where(F.col("c") >= F.col("need")).select(
+    rule = lambda need, same: F.struct(need.cast("long").alias("need"), F.lit(same).cast("long").alias("same"))
+    many, few = rule(F.greatest("need", F.lit(min_docs)), SAME_PERCENT), rule(F.col("need"), APART_PERCENT)
+    ways = F.explode(F.when(F.col("need") < min_docs, F.array(many, few)).otherwise(F.array(many)))
+    own = _different(held.select("template", ways.alias("way"), "sketches").select("template", "way.need", "way.same", "sketches"))
+    return _different(own.repartition("template")).where(F.length("sketches") >= F.col("need") * SKETCH).select("template").distinct()
+
+
+def exact_lines(rows: DataFrame, min_words: int) -> DataFrame:
+    """(line_hash, template, need) of lines that enough texts have as they stand; a short one without a letter stays."""
+    told = rows.where((F.col("n") >= min_words) | F.col("line").rlike(r"\p{L}"))
+    counts = told.groupBy(F.xxhash64("line").alias("line_hash"), "n").agg(F.count(F.lit(1)).alias("c"))
+    return counts.withColumn("need", needed(F.col("n"), 2)).where(F.col("c") >= F.col("need")).select(
         "line_hash", F.xxhash64(F.lit("line"), "line_hash").alias("template"), "need")
 
 
@@ -146,10 +181,12 @@ def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS,
     texts = docs.select("mark", "text").dropDuplicates(["mark"])
     rows = line_rows(texts, lead)
     shaped = templates(rows.where(F.col("n") >= min_words), lead, min_docs, fixed_percent).withColumn("need", F.lit(min_docs).cast("long"))
-    known = stage(shaped.unionByName(short_lines(rows, min_words, min_docs)), "templates")
-    found = stage(rows.select("mark", F.xxhash64("line").alias("line_hash")).join(known, "line_hash"), "recurring")
+    known = stage(shaped.unionByName(exact_lines(rows, min_words)), "templates")
+    facts = stage(text_facts(texts), "facts")
+    found = rows.select("mark", F.xxhash64("line").alias("line_hash")).join(known, "line_hash")
+    found = stage(found.unionByName(passages(facts)), "recurring")
     holds = found.select("mark", "template", "need").distinct()
-    bad = widespread(holds.join(sketches(texts).withColumnRenamed("sketch", "sketches"), "mark"))
+    bad = widespread(holds.join(facts.select("mark", F.col("sketch").alias("sketches")), "mark"), min_docs)
     return found.join(bad, "template", "left_semi").select("mark", "line_hash").distinct()
 
 

@@ -119,6 +119,19 @@ def test_short_lines_go(spark):
     assert all("---" in out[i] for i in range(25))
 
 
+def test_long_passages_go_from_two_texts(spark):
+    """A line of 30 words, and 56 words in lines of 7, in two different texts go; in two copies they stay, like one line of 7."""
+    body = lambda i, n: " ".join(f"p{i}y{j}" for j in range(n))
+    lined = "\n".join(body(f"q{k}", 7) for k in range(8))
+    rows = [(1, f"{body(1, 80)}\n{body('l', 30)}", "en", "a"), (2, f"{body('l', 30)}\n{body(2, 80)}", "en", "a"),
+            (3, f"{body(3, 120)}\n{lined}\nend 3", "en", "a"), (4, f"{lined}\n\n{body(4, 120)}", "en", "a"),
+            (5, f"{body(5, 80)}\n{body('s', 7)}", "en", "a"), (6, f"{body(6, 80)}\n{body('s', 7)}", "en", "a"),
+            (7, f"{body(7, 80)}\n{body('z', 30)} one", "en", "a"), (8, f"{body(7, 80)}\n{body('z', 30)} two", "en", "a")]
+    out = {r["doc_id"]: r for r in op05_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[i]["n_dropped"] for i in range(1, 9)] == [1, 1, 8, 8, 0, 0, 0, 0]
+    assert out[4]["text"] == f"\n{body(4, 120)}"
+
+
 def test_mixing(spark):
     plan = op08_mixing.copies(frame(spark), chunk=2).collect()
     assert sum(r["rows"] for r in plan) == len(ROWS) and all(0 <= r["copies"] <= 3 for r in plan)
