@@ -1,8 +1,10 @@
 """Line dedup by a log-template tree: lines that recur across documents, up to their variable fields, are dropped.
 
-A line falls through a tree of fixed depth: its word count, then its first `lead` words (a word with a digit is a
-variable at once). In a leaf, the word at a position is fixed if enough documents have it there, else it is a variable
-field. What is left, with the fields as wildcards, is the template of the line; it must keep enough fixed words.
+A line falls through a tree of fixed depth: its word count, then its first `lead` words. A word with a digit is a
+variable at any position. In a leaf, another word is fixed at a position if `min_docs` texts have it there, and a second
+time by its share: if a part of `WIDE_PERCENT` of the texts of the leaf has it there, so that months or frequent names stay
+fields however many texts there are. What is left each time, with the fields as wildcards, is a template of the line; it
+must keep enough fixed words among those without a digit.
 Lines are also compared as they stand, short ones (below `min_words`) in no other way.
 
 A template is dropped where enough texts hold it that are pairwise different: each has a sketch of its five-word
@@ -32,7 +34,7 @@ from greengrain.llm.common import by_batch, byte_words, shingle_hashes, words_of
 LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT, COPY_PERCENT = 3, 5, 4, 60, 50
 # Sketches of near copies (similarity 0.8) agree in less than this share with probability below 0.0001.
 SKETCH, SAME_PERCENT = 64, 60
-EVIDENCE, PASSAGE, APART_PERCENT = 20, 50, 30
+EVIDENCE, PASSAGE, APART_PERCENT, WIDE_PERCENT = 20, 50, 30, 25
 
 
 def _lines(text: Column) -> Column:
@@ -65,22 +67,31 @@ def with_mark(docs: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, lead: int, min_docs: int, fixed_percent: int) -> DataFrame:
-    """(line_hash, template, n): templates that enough documents have, with the lines under them."""
-    busy = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_docs).select("leaf")
-    lines = stage(rows.join(busy, "leaf", "left_semi").groupBy("leaf", "n", "line").agg(F.count(F.lit(1)).alias("docs"))
-                  .select("leaf", "n", "docs", F.xxhash64("line").alias("line_hash"), words_of(F.col("line")).alias("words")),
+    """(line_hash, template, need): templates that enough documents have, with the lines under them."""
+    busy = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_docs)
+    lines = stage(rows.join(busy, "leaf").groupBy("leaf", "total", "line").agg(F.count(F.lit(1)).alias("docs"))
+                  .select("leaf", "total", "docs", F.xxhash64("line").alias("line_hash"), words_of(F.col("line")).alias("words")),
                   "leaf_lines")
-    at = lines.select("leaf", "n", "docs", "line_hash", F.posexplode("words").alias("pos", "word")).select(
-        "leaf", "n", "docs", "line_hash", "pos", F.xxhash64("pos", F.when(F.col("pos") < lead, _masked(F.col("word")))
-                                                            .otherwise(F.col("word"))).alias("token"))
-    fixed = at.groupBy("leaf", "token").agg(F.sum("docs").alias("c")).where(F.col("c") >= min_docs).select("leaf", "token")
-    shaped = (at.join(fixed, ["leaf", "token"], "left_semi").groupBy("leaf", "n", "docs", "line_hash")
-              .agg(F.count(F.lit(1)).alias("kept"), F.bit_xor("token").alias("shape")))
+    plain = lambda w: ~w.rlike("[0-9]")
+    first = F.size(F.filter(F.slice("words", 1, lead), plain))
+    at = (lines.select("leaf", "total", "docs", "line_hash", first.alias("first"), (F.size(F.filter("words", plain)) - first).alias("free"),
+                       F.posexplode("words").alias("pos", "word"))
+          .where((F.col("pos") >= lead) & plain(F.col("word")))
+          .withColumn("token", F.xxhash64("leaf", "pos", "word")))
+    # a word of the leaf's share is wide; the others that enough documents have are fixed in the narrow template only
+    sums = at.groupBy("token").agg(F.sum("docs").alias("c"), F.max("total").alias("total")).where(F.col("c") >= min_docs)
+    fixed = sums.select("token", (100 * F.col("c") >= WIDE_PERCENT * F.col("total")).alias("wide"))
+    both = (at.select("leaf", "docs", "line_hash", "first", "free", "token").join(fixed, "token")
+            .groupBy("leaf", "docs", "line_hash", "first", "free").agg(
+                F.struct(F.count(F.lit(1)).alias("kept"), F.bit_xor("token").alias("shape")).alias("narrow"),
+                F.struct(F.count_if("wide").alias("kept"), F.bit_xor(F.when(F.col("wide"), F.col("token"))).alias("shape")).alias("broad")))
+    shaped = both.select("*", F.explode(F.array_distinct(F.array("narrow", "broad"))).alias("s")).select("*", "s.kept", "s.shape")
     # the leading words are fixed by the tree itself, so the share is taken over the others
-    enough = 100 * (F.col("kept") - lead) >= fixed_percent * (F.col("n") - lead)
-    shaped = stage(shaped.where(enough).select("line_hash", "docs", "n", F.xxhash64("leaf", "shape").alias("template")), "shapes")
-    often = shaped.groupBy("template").agg(F.sum("docs").alias("c")).where(F.col("c") >= min_docs).select("template")
-    return shaped.join(often, "template", "left_semi").select("line_hash", "template")
+    enough = (F.col("kept") > 0) & (100 * F.col("kept") >= fixed_percent * F.col("free"))
+    shaped = stage(shaped.where(enough).select("line_hash", "docs", needed(F.col("kept") + F.col("first"), min_docs).alias("need"),
+                                               F.xxhash64("leaf", "shape").alias("template")), "shapes")
+    often = shaped.groupBy("template").agg(F.sum("docs").alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.col("need"))
+    return shaped.select("line_hash", "template").join(often.select("template", "need"), "template").select("line_hash", "template", "need")
 
 
 def _sketch(text: str | None) -> bytes:
@@ -180,7 +191,7 @@ def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS,
     """(mark, line_hash) of the lines to drop, for documents from with_mark."""
     texts = docs.select("mark", "text").dropDuplicates(["mark"])
     rows = line_rows(texts, lead)
-    shaped = templates(rows.where(F.col("n") >= min_words), lead, min_docs, fixed_percent).withColumn("need", F.lit(min_docs).cast("long"))
+    shaped = templates(rows.where(F.col("n") >= min_words), lead, min_docs, fixed_percent)
     known = stage(shaped.unionByName(exact_lines(rows, min_words)), "templates")
     facts = stage(text_facts(texts), "facts")
     found = rows.select("mark", F.xxhash64("line").alias("line_hash")).join(known, "line_hash")

@@ -132,6 +132,16 @@ def test_long_passages_go_from_two_texts(spark):
     assert out[4]["text"] == f"\n{body(4, 120)}"
 
 
+def test_frequent_fields_stay_fields(spark):
+    """Every month stands in 8 texts and every name in 6, each pair in one: fields all the same; so are digits anywhere."""
+    body = lambda i: " ".join(f"f{i}z{j}" for j in range(40))
+    months, names = [f"month{c}" for c in "abcdef"], [f"name{c}" for c in "abcdefgh"]
+    rows = [(10 * i + j, f"{body(10 * i + j)}\nPosted on Monday {i} {m} 202{j} in the news of our town by {n}", "en", "a")
+            for i, m in enumerate(months) for j, n in enumerate(names)]
+    out = op05_templates.without_templates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(out) == 48 and all(r["n_dropped"] == 1 and "Posted" not in r["text"] for r in out)
+
+
 def test_mixing(spark):
     plan = op08_mixing.copies(frame(spark), chunk=2).collect()
     assert sum(r["rows"] for r in plan) == len(ROWS) and all(0 <= r["copies"] <= 3 for r in plan)
