@@ -189,7 +189,7 @@ def exact_lines(rows: DataFrame, min_words: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
                   fixed_percent: int = FIXED_PERCENT) -> DataFrame:
     """(mark, line_hash) of the lines to drop, for documents from with_mark."""
-    texts = docs.select("mark", "text").dropDuplicates(["mark"])
+    texts = stage(docs.select("mark", "text").dropDuplicates(["mark"]), "texts")  # read four times, shuffled once
     rows = line_rows(texts, lead)
     shaped = templates(rows.where(F.col("n") >= min_words), lead, min_docs, fixed_percent)
     known = stage(shaped.unionByName(exact_lines(rows, min_words)), "templates")
