@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from greengrain.llm import (op01_minhash, op02_quality_rules, op03_chat, op04_byte_bpe, op05_templates, op06_compression,
-                            op07_mtree, op08_mixing, op09_urls)
+                            op07_mtree, op08_mixing, op09_urls, op11_alignment, op12_packing, op13_negatives)
 from greengrain.llm import op10_sharding as op10_sharding_
 from greengrain.sources.tables import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_alignment_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_alignment.aligned(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
+def op12_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), room=2048)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op13_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0, scale=256,
+                                         positives=5, negatives=5, window=(80, 100))
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_chat, op4_byte_bpe, op5_line_templates, op6_compression,
-                                   op7_mtree, op8_mixing, op9_urls, op10_sharding)}
+                                   op7_mtree, op8_mixing, op9_urls, op10_sharding, op11_alignment_links,
+                                   op12_sum_of_squares, op13_hard_negatives)}
 SQL: dict[str, str] = {"op2_quality_rules": op02_quality_rules.sql(), "op5_line_templates": op05_templates.SQL, "op3_chat": op03_chat.SQL,
-                       "op9_urls": op09_urls.sql(), "op10_sharding": op10_sharding_.SQL}
+                       "op9_urls": op09_urls.sql(), "op10_sharding": op10_sharding_.SQL,
+                       "op13_hard_negatives": op13_negatives.SQL}
