@@ -49,7 +49,7 @@ def combined(row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tupl
     first = np.flatnonzero(np.diff(key, prepend=-1))
     key = key[first]
     total = np.add.reduceat(value, first) if len(first) else value[:0]
-    return Rows(np.searchsorted(key, np.arange(rows + 1) << bits), key & ((1 << bits) - 1), total)
+    return Rows(pointers(np.bincount(key >> bits, minlength=rows)), key & ((1 << bits) - 1), total)
 
 
 def row_of(m: Rows) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,14 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(a, b - a)
 
 
+class Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class ByteLevelTokens:
     """Byte-level BPE of the tokenizers library.
 
@@ -60,23 +68,29 @@ class ByteLevelTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.ids, self.ptr = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, row pointers)."""
         if len(self.known) > MEMO_PIECES or len(self.ids) > MEMO_IDS:  # only a memo: a fresh one costs time, not results
             self.forget()
-        parts = [self.cut(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
+        had, sizes = len(self.known), np.zeros(len(texts), np.int64)
+
+        def parts() -> Iterator[list[str]]:
+            for k, t in enumerate(texts):
+                if t:
+                    found = self.cut(t)
+                    sizes[k] = len(found)
+                    yield found
+        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts())), np.int64)
+        new = list(islice(reversed(self.known), len(self.known) - had))[::-1]
         if new:
             found = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64)])
             self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)])
-        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64)
         ends = pointers((self.ptr[1:] - self.ptr[:-1])[rows])
-        return self.ids[gather(self.ptr, rows)], ends[pointers([len(p) for p in parts])]
+        return self.ids[gather(self.ptr, rows)], ends[pointers(sizes)]
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id: printable Latin-1 characters stand for themselves, the others for U+0100 onwards."""
