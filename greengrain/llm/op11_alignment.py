@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from greengrain.functions.staging import stage
 from greengrain.llm.tokens import ByteLevelTokens, PieceTokens, gather, pointers, read_bytes, slices
 
-CHUNK_BYTES, SLICE_BYTES, EXPAND = 1 << 23, 1 << 21, 1 << 22
+CHUNK_BYTES, SLICE_BYTES, EXPAND = 1 << 23, 1 << 19, 1 << 21
 BITS = 20  # a pair of ids is one number: a << BITS | b
 
 
