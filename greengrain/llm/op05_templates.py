@@ -1,40 +1,44 @@
 """Line dedup by a log-template tree: lines that recur across documents, up to their variable fields, are dropped.
 
 A line falls through a tree of fixed depth: its word count, then its first `lead` words. A word with a digit is a
-variable at any position. In a leaf, another word is fixed at a position if `min_docs` texts have it there, and a second
-time by its share: if a part of `WIDE_PERCENT` of the texts of the leaf has it there, so that months or frequent names stay
-fields however many texts there are. What is left each time, with the fields as wildcards, is a template of the line; it
-must keep enough fixed words among those without a digit.
-Lines are also compared as they stand, short ones (below `min_words`) in no other way.
-
-A template is dropped where enough texts hold it that are pairwise different: each has a sketch of its five-word
-shingles, and two texts whose sketches agree in `SAME_PERCENT` or more are copies of each other. A group of copies counts
-once, whatever its size, and never speaks against a template. So the lines of exact and near copies stay for the
-near-duplicate step, while a licence line goes from all. How many texts are enough follows from the words of the line:
-`EVIDENCE` words over all texts, so 20 texts for one word and `min_docs` for five. A line of 10 words, or a passage of
-consecutive lines with `PASSAGE` words, needs only two texts, but they must be different beyond it: fewer than `min_docs`
-texts count only where their sketches agree in less than `APART_PERCENT`.
-
-All counts are sums over distinct lines per leaf and position, so a line in a third of all documents is one row, and
-a crowded leaf is spread over its positions and words.
+variable at any position. Under its leaf a line has up to three templates: the line as it stands, without variables; a
+narrow one, whose further words stand at their position in `min_docs` texts of the leaf; and a broad one, whose words
+have a share of `WIDE_PERCENT` of the leaf, so that months or frequent names stay fields however many texts there are.
+Templates with variables need `min_words` words and enough fixed ones; a shorter line without a letter stays.
+
+A template is dropped everywhere if enough classes of texts hold it: `EVIDENCE` fixed words over all of them, so 20 for
+one word and 3 for seven; two classes at least, `min_docs` for a template with variables. A passage of consecutive lines
+with `PASSAGE` words is a template of its own and needs two classes.
+
+A class is a group of near copies and counts once, whatever its size, so the lines of copies stay for the near-duplicate
+step while a licence line goes from all. Each text has a sketch, the smallest hash of its five-word shingles in each of
+SKETCH ranges. Texts that share the values of BAND neighbouring ranges are compared with the one of them that has the
+smallest mark, and linked where SAME_PERCENT of their sketches agree; classes are the connected groups. They depend on the
+texts alone, so every order and partitioning of the rows gives the same result.
+
+Counts are taken over distinct (line, class): a line in a third of all documents is one row per class, later one row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
-from greengrain.llm.common import by_batch, byte_words, shingle_hashes, words_of
+from greengrain.llm.common import SPACE_CLASS, by_batch, byte_words, words_of
+from greengrain.operators.network import components
 
-LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT, COPY_PERCENT = 3, 5, 4, 60, 50
-# Sketches of near copies (similarity 0.8) agree in less than this share with probability below 0.0001.
-SKETCH, SAME_PERCENT = 64, 60
-EVIDENCE, PASSAGE, APART_PERCENT, WIDE_PERCENT = 20, 50, 30, 25
+LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT = 3, 5, 4, 50
+EVIDENCE, PASSAGE, WIDE_PERCENT = 20, 50, 25
+SKETCH, BAND, SAME_PERCENT, SHINGLE = 48, 3, 40, 5
+# The field of the shingle hashes and the factor of their polynomial.
+PRIME, FACTOR = 2 ** 31 - 1, 1_000_003
 
 
 def _lines(text: Column) -> Column:
@@ -46,61 +50,65 @@ def _masked(word: Column) -> Column:
 
 
 def needed(words: Column, least: int) -> Column:
-    """Texts that must hold a line with so many words."""
+    """Classes that must hold a template with so many fixed words."""
     return F.greatest(F.ceil(F.lit(EVIDENCE) / words), F.lit(least)).cast("long")
 
 
-def line_rows(docs: DataFrame, lead: int) -> DataFrame:
-    """(mark, line, words, leaf, n): distinct lines of each text that have a word."""
-    split = docs.select("mark", F.array_distinct(_lines(F.col("text"))).alias("lines"))
-    rows = split.select("mark", F.explode(F.transform("lines", lambda x: F.struct(
-        x.alias("line"), words_of(x).alias("words")))).alias("r")).select("mark", "r.line", "r.words")
-    first = F.transform(F.slice("words", 1, lead), _masked)
-    return (rows.withColumn("n", F.size("words")).where(F.col("n") > 0)
-            .withColumn("leaf", F.xxhash64("n", first)))
+def _mark() -> Column:
+    """Texts are told apart by 60 bits of a hash; equal texts share every decision."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def with_mark(docs: DataFrame) -> DataFrame:
-    """Texts are told apart by a hash; equal texts share every decision."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).withColumn("mark", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark().alias("mark"))
 
 
-def templates(rows: DataFrame, lead: int, min_docs: int, fixed_percent: int) -> DataFrame:
-    """(line_hash, template, need): templates that enough documents have, with the lines under them."""
-    busy = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_docs)
-    lines = stage(rows.join(busy, "leaf").groupBy("leaf", "total", "line").agg(F.count(F.lit(1)).alias("docs"))
-                  .select("leaf", "total", "docs", F.xxhash64("line").alias("line_hash"), words_of(F.col("line")).alias("words")),
-                  "leaf_lines")
-    plain = lambda w: ~w.rlike("[0-9]")
-    first = F.size(F.filter(F.slice("words", 1, lead), plain))
-    at = (lines.select("leaf", "total", "docs", "line_hash", first.alias("first"), (F.size(F.filter("words", plain)) - first).alias("free"),
-                       F.posexplode("words").alias("pos", "word"))
-          .where((F.col("pos") >= lead) & plain(F.col("word")))
-          .withColumn("token", F.xxhash64("leaf", "pos", "word")))
-    # a word of the leaf's share is wide; the others that enough documents have are fixed in the narrow template only
-    sums = at.groupBy("token").agg(F.sum("docs").alias("c"), F.max("total").alias("total")).where(F.col("c") >= min_docs)
-    fixed = sums.select("token", (100 * F.col("c") >= WIDE_PERCENT * F.col("total")).alias("wide"))
-    both = (at.select("leaf", "docs", "line_hash", "first", "free", "token").join(fixed, "token")
-            .groupBy("leaf", "docs", "line_hash", "first", "free").agg(
-                F.struct(F.count(F.lit(1)).alias("kept"), F.bit_xor("token").alias("shape")).alias("narrow"),
-                F.struct(F.count_if("wide").alias("kept"), F.bit_xor(F.when(F.col("wide"), F.col("token"))).alias("shape")).alias("broad")))
-    shaped = both.select("*", F.explode(F.array_distinct(F.array("narrow", "broad"))).alias("s")).select("*", "s.kept", "s.shape")
-    # the leading words are fixed by the tree itself, so the share is taken over the others
-    enough = (F.col("kept") > 0) & (100 * F.col("kept") >= fixed_percent * F.col("free"))
-    shaped = stage(shaped.where(enough).select("line_hash", "docs", needed(F.col("kept") + F.col("first"), min_docs).alias("need"),
-                                               F.xxhash64("leaf", "shape").alias("template")), "shapes")
-    often = shaped.groupBy("template").agg(F.sum("docs").alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.col("need"))
-    return shaped.select("line_hash", "template").join(often.select("template", "need"), "template").select("line_hash", "template", "need")
-
-
-def _sketch(text: str | None) -> bytes:
-    """One byte for each of SKETCH ranges of hashes: of the smallest shingle hash in the range, 0 for none."""
-    hashes = shingle_hashes(text, 5)
-    out = np.zeros(SKETCH, np.uint8)
-    ranges, first = np.unique(hashes >> np.uint64(58), return_index=True)
-    out[ranges.astype(np.int64)] = hashes[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+def line_rows(docs: DataFrame, lead: int) -> DataFrame:
+    """(mark, line, line_hash, words, leaf, n): lines of each text that have a word."""
+    rows = docs.select("mark", F.explode(F.transform(F.array_distinct(_lines(F.col("text"))), lambda x: F.struct(
+        x.alias("line"), words_of(x).alias("words")))).alias("r")).select("mark", "r.line", "r.words")
+    first = F.transform(F.slice("words", 1, lead), _masked)
+    return (rows.withColumn("n", F.size("words")).where(F.col("n") > 0)
+            .withColumns({"leaf": F.xxhash64("n", first), "line_hash": F.xxhash64("line")}))
+
+
+class Sketcher:
+    """Smallest shingle hashes per range, for the texts of a batch at once."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def word(self, w: bytes) -> int:
+        h = self.known.get(w)
+        if h is None:
+            h = self.known[w] = int(hashlib.md5(w).hexdigest()[:8], 16) % PRIME
+        return h
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The smallest hash of each range, -1 for none; a text with fewer words is one shingle."""
+        if len(self.known) > 500_000:
+            self.known.clear()
+        words = byte_words(text)
+        out = np.full(SKETCH, PRIME, np.int64)
+        if words:
+            w = np.fromiter(map(self.word, words), np.int64, len(words))
+            size = min(SHINGLE, len(words))
+            acc = np.zeros(len(w) - size + 1, np.int64)
+            for i in range(size):
+                acc = (acc * FACTOR + w[i:i + len(acc)]) % PRIME
+            np.minimum.at(out, acc % SKETCH, acc)
+        out[out == PRIME] = -1
+        return out
+
+
+def _keys(least: np.ndarray) -> np.ndarray:
+    """One key per band of ranges that holds a shingle."""
+    bands = least.reshape(-1, BAND)
+    acc = np.arange(len(bands)).astype(np.uint64)
+    for part in bands.T:
+        acc = (acc ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return acc[(bands >= 0).any(axis=1)].view(np.int64)
 
 
 def _passages(text: str | None) -> tuple[list[int], list[int | None], list[int]]:
@@ -120,140 +128,194 @@ def _passages(text: str | None) -> tuple[list[int], list[int | None], list[int]]
 
 
 def text_facts(texts: DataFrame) -> DataFrame:
-    """(mark, sketch, hashes, runs, sizes) of each text."""
+    """(mark, sketch, keys, hashes, runs, sizes) of each text."""
+    sketcher = []
+
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
+        sketcher or sketcher.append(Sketcher())
         own = b.column("text").to_pylist()
         found = list(zip(*map(_passages, own)))
-        return pa.RecordBatch.from_arrays([b.column("mark"), pa.array(map(_sketch, own), pa.binary()), pa.array(found[0], pa.list_(pa.int64())),
-                                           pa.array(found[1], pa.list_(pa.int64())), pa.array(found[2], pa.list_(pa.int32()))],
-                                          ["mark", "sketch", "hashes", "runs", "sizes"])
-    return by_batch(texts.select("mark", "text"), make, "mark long, sketch binary, hashes array<long>, runs array<long>, sizes array<int>")
-
-
-def passages(facts: DataFrame) -> DataFrame:
-    """(mark, line_hash, template, need) of the lines in passages that two texts have."""
-    each = facts.select("mark", "hashes", "sizes", F.posexplode("runs").alias("i", "template")).where("template is not null")
-    again = facts.select(F.explode("runs").alias("template")).where("template is not null").groupBy("template").agg(
-        F.count(F.lit(1)).alias("c")).where("c > 1").select("template")
-    own = each.select("mark", "template", F.slice("hashes", F.col("i") + 1, F.col("sizes")[F.col("i")]).alias("lines"))
-    return own.join(again, "template", "left_semi").select(
-        "mark", F.explode("lines").alias("line_hash"), "template", F.lit(2).cast("long").alias("need"))
-
-
-def _add(held: np.ndarray, sketch: np.ndarray, same: int) -> np.ndarray:
-    """The pairwise different sketches held, and this one if it is different from each of them."""
-    shared = ((held == sketch) & (sketch > 0)).sum(axis=1)
-    either = ((held > 0) | (sketch > 0)).sum(axis=1)
-    return held if (100 * shared >= same * np.maximum(either, 1)).any() else np.vstack([held, sketch])
-
-
-def _different(rows: DataFrame) -> DataFrame:
-    """(template, need, same, sketches) per task: sketches of a template, at most `need`, that agree in less than `same` percent."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], np.ndarray] = {}
-        for b in batches:
-            for *key, packed in zip(*(b.column(c).to_pylist() for c in ("template", "need", "same", "sketches"))):
-                need, same = key[1:]
-                old = held.get(tuple(key), np.empty((0, SKETCH), np.uint8))
-                for sketch in np.frombuffer(packed, np.uint8).reshape(-1, SKETCH) if len(old) < need else ():
-                    old = _add(old, sketch, same) if len(old) < need else old
-                held[tuple(key)] = old
-        keys = list(held)
-        for i in range(0, len(keys), 10_000):
-            part = keys[i:i + 10_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*part)),
-                                              pa.array([held[k].tobytes() for k in part], pa.binary())], ["template", "need", "same", "sketches"])
-    return rows.select("template", "need", "same", "sketches").mapInArrow(run, "template long, need long, same long, sketches binary")
-
-
-def widespread(held: DataFrame, min_docs: int) -> DataFrame:
-    """Templates with enough pairwise different texts, from (template, need, sketches) per text.
-
-    Each task reduces its rows first, so a template in a third of all texts is one row per task.
-    """
-    rule = lambda need, same: F.struct(need.cast("long").alias("need"), F.lit(same).cast("long").alias("same"))
-    many, few = rule(F.greatest("need", F.lit(min_docs)), SAME_PERCENT), rule(F.col("need"), APART_PERCENT)
-    ways = F.explode(F.when(F.col("need") < min_docs, F.array(many, few)).otherwise(F.array(many)))
-    own = _different(held.select("template", ways.alias("way"), "sketches").select("template", "way.need", "way.same", "sketches"))
-    return _different(own.repartition("template")).where(F.length("sketches") >= F.col("need") * SKETCH).select("template").distinct()
-
-
-def exact_lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """(line_hash, template, need) of lines that enough texts have as they stand; a short one without a letter stays."""
-    told = rows.where((F.col("n") >= min_words) | F.col("line").rlike(r"\p{L}"))
-    counts = told.groupBy(F.xxhash64("line").alias("line_hash"), "n").agg(F.count(F.lit(1)).alias("c"))
-    return counts.withColumn("need", needed(F.col("n"), 2)).where(F.col("c") >= F.col("need")).select(
-        "line_hash", F.xxhash64(F.lit("line"), "line_hash").alias("template"), "need")
-
-
-def dropped_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
-                  fixed_percent: int = FIXED_PERCENT) -> DataFrame:
+        least = list(map(sketcher[0], own))
+        tags = np.where(np.stack(least) < 0, 0, np.stack(least) % 127 + 1).astype(np.int8)
+        return pa.RecordBatch.from_arrays(
+            [b.column("mark"), pa.FixedSizeListArray.from_arrays(pa.array(tags.ravel()), SKETCH).cast(pa.list_(pa.int8())),
+             pa.array(map(_keys, least), pa.list_(pa.int64())), pa.array(found[0], pa.list_(pa.int64())),
+             pa.array(found[1], pa.list_(pa.int64())), pa.array(found[2], pa.list_(pa.int32()))],
+            ["mark", "sketch", "keys", "hashes", "runs", "sizes"])
+    return by_batch(texts.select("mark", "text"), make, "mark long, sketch array<tinyint>, keys array<long>, hashes array<long>, runs array<long>, sizes array<int>")
+
+
+def classes(facts: DataFrame) -> DataFrame:
+    """(mark, class) of the texts that have a near copy; any other text is a class of its own."""
+    each = facts.select("mark", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last")
+    pairs = each.join(shared.select("key", "first"), "key").where("mark <> first").select("mark", "first").distinct()
+    sketch = facts.select("mark", "sketch").dropDuplicates(["mark"])
+    both = pairs.join(sketch, "mark").join(sketch.select(F.col("mark").alias("first"), F.col("sketch").alias("other")), "first")
+    held = F.zip_with("sketch", "other", lambda a, b: F.when((a > 0) & (a == b), 2).when((a > 0) | (b > 0), 1).otherwise(0))
+    count = lambda least: F.size(F.filter(held, lambda x: x >= least))
+    links = stage(both.where(100 * count(2) >= SAME_PERCENT * count(1)).select(F.col("first").alias("source"), F.col("mark").alias("target")), "copies")
+    nodes = links.select(F.explode(F.array("source", "target")).alias("mark")).distinct()
+    return components(links, nodes, "mark").withColumnRenamed("community", "class")
+
+
+def templates(held: DataFrame, docs: DataFrame, lead: int, min_words: int, min_docs: int, fixed_percent: int) -> DataFrame:
+    """(line_hash, template, need, fields): the templates of every line, from distinct (line, class) rows."""
+    lines = stage(held.groupBy("leaf", "line_hash", "n", "letters").agg(F.count(F.lit(1)).alias("docs")), "lines")
+    told = lines.where((F.col("n") >= min_words) | F.col("letters"))
+    exact = told.select("line_hash", F.xxhash64(F.lit("line"), "line_hash").alias("template"), needed(F.col("n"), 2).alias("need"),
+                        F.lit(False).alias("fields"))
+    # a leaf with one line has no other template; a leaf is as large as its distinct lines
+    long_ = lines.where(F.col("n") >= min_words)
+    busy = long_.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1))
+    asked = stage(long_.join(busy.select("leaf", "total"), "leaf").select("leaf", "total", "docs", "line_hash"), "leaf_lines")
+    words = line_rows(docs, lead).select("line_hash", "words").join(asked.select("line_hash"), "line_hash", "left_semi").dropDuplicates(["line_hash"])
+    plain = lambda w: ~w.rlike("[0-9]")
+    first = F.size(F.filter(F.slice("words", 1, lead), plain))
+    at = (asked.join(words, "line_hash")
+          .select("leaf", "total", "docs", "line_hash", first.alias("first"), (F.size(F.filter("words", plain)) - first).alias("free"), F.posexplode("words").alias("pos", "word"))
+          .where((F.col("pos") >= lead) & plain(F.col("word")))
+          .select("leaf", "total", "docs", "line_hash", "first", "free", F.xxhash64("leaf", "pos", "word").alias("token")))
+    at = stage(at, "leaf_words")
+    sums = at.groupBy("token").agg(F.sum("docs").alias("c"), F.max("total").alias("total")).where(F.col("c") >= min_docs)
+    fixed = sums.select("token", (100 * F.col("c") >= WIDE_PERCENT * F.col("total")).alias("wide"))
+    both = at.join(fixed, "token").groupBy("leaf", "line_hash", "first", "free").agg(
+        F.struct(F.count(F.lit(1)).alias("kept"), F.bit_xor("token").alias("shape")).alias("narrow"),
+        F.struct(F.count_if("wide").alias("kept"), F.bit_xor(F.when(F.col("wide"), F.col("token"))).alias("shape")).alias("broad"))
+    shaped = both.select("*", F.explode(F.array_distinct(F.array("narrow", "broad"))).alias("s"))
+    # the leading words are fixed by the tree itself, so the share is taken over the others
+    enough = (F.col("s.kept") > 0) & (100 * F.col("s.kept") >= fixed_percent * F.col("free"))
+    shaped = shaped.where(enough).select("line_hash", F.xxhash64("leaf", "s.shape").alias("template"),
+                                         needed(F.col("s.kept") + F.col("first"), min_docs).alias("need"), F.lit(True).alias("fields"))
+    return exact.unionByName(shaped)
+
+
+def passages(facts: DataFrame, known: DataFrame) -> DataFrame:
+    """(mark, line_hash) of the lines in passages that texts of two classes have."""
+    each = facts.select("mark", F.posexplode("runs").alias("i", "template")).where("template is not null")
+    again = each.groupBy("template").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").select("template")
+    own = stage(each.join(again, "template", "left_semi"), "runs")
+    classed = own.join(known, "mark", "left").select("template", F.coalesce("class", "mark").alias("class"))
+    bad = classed.groupBy("template").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("template")
+    found = own.join(bad, "template", "left_semi").select("mark", "i").distinct()
+    lines = F.slice("hashes", F.col("i") + 1, F.col("sizes")[F.col("i")])
+    held = found.join(facts.select("mark", "hashes", "sizes").dropDuplicates(["mark"]), "mark")
+    return held.select("mark", F.explode(lines).alias("line_hash")).distinct()
+
+
+def judged_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, fixed_percent: int = FIXED_PERCENT
+                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(recurring lines with their templates, (mark, line_hash) of all lines, (mark, line_hash) of passages) for with_mark rows."""
+    rows = line_rows(docs, lead)
+    numbers = stage(rows.select("mark", "leaf", "line_hash", "n", F.col("line").rlike(r"\p{L}").alias("letters")), "line_numbers")
+    facts = stage(text_facts(docs), "facts")
+    known = stage(classes(facts), "classes")
+    held = numbers.join(known, "mark", "left").select("leaf", "line_hash", "n", "letters", F.coalesce("class", "mark").alias("class")).distinct()
+    held = stage(held, "line_classes")
+    shapes = stage(templates(held, docs, lead, min_words, min_docs, fixed_percent), "templates")
+    counted = shapes.join(held.select("line_hash", "class"), "line_hash").select("template", "need", "class").distinct()
+    bad = counted.groupBy("template").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("template")
+    return stage(shapes.join(bad, "template", "left_semi"), "recurring"), numbers.select("mark", "line_hash"), passages(facts, known)
+
+
+def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     """(mark, line_hash) of the lines to drop, for documents from with_mark."""
-    texts = stage(docs.select("mark", "text").dropDuplicates(["mark"]), "texts")  # read four times, shuffled once
-    rows = line_rows(texts, lead)
-    shaped = templates(rows.where(F.col("n") >= min_words), lead, min_docs, fixed_percent)
-    known = stage(shaped.unionByName(exact_lines(rows, min_words)), "templates")
-    facts = stage(text_facts(texts), "facts")
-    found = rows.select("mark", F.xxhash64("line").alias("line_hash")).join(known, "line_hash")
-    found = stage(found.unionByName(passages(facts)), "recurring")
-    holds = found.select("mark", "template", "need").distinct()
-    bad = widespread(holds.join(facts.select("mark", F.col("sketch").alias("sketches")), "mark"), min_docs)
-    return found.join(bad, "template", "left_semi").select("mark", "line_hash").distinct()
+    recurring, lines, runs = judged_lines(docs, **options)
+    return lines.join(recurring.select("line_hash").distinct(), "line_hash", "left_semi").select("mark", "line_hash").unionByName(runs).distinct()
 
 
 def without_templates(docs: DataFrame, **options) -> DataFrame:
-    """Documents (doc_id, text) as (doc_id, text, n_lines, n_dropped) with every line of a dropped template removed.
+    """Documents (doc_id, text) as (doc_id, text, n_lines, n_dropped, mark) with every line of a dropped template removed.
 
-    Lines below `min_words` words go only where they repeat as they stand. Line numbers count \\n-split lines; a NULL text stays NULL with 0 lines.
-    Rows without doc_id and repeated rows take part like others, equal rows once. An empty table gives no rows;
-    further columns are not read.
+    Line numbers count \\n-split lines; a NULL text stays NULL with 0 lines. Rows without doc_id and repeated rows take
+    part like others, equal texts once. A line is looked up in its text's own set, so a text of many lines costs their
+    number. An empty table gives no rows; further columns are not read.
     """
     marked = with_mark(docs)
     drop = dropped_lines(marked, **options).groupBy("mark").agg(F.collect_list("line_hash").alias("gone"))
-    both = marked.join(drop, "mark", "left")
-    lines = _lines(F.col("text"))
-    stays = F.filter(lines, lambda x: ~F.array_contains("gone", F.xxhash64(x)))
-    return both.select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(stays)).cast("long").alias("n_dropped"), "mark")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        for b in batches:
+            gone = b.column("gone")
+            hit = np.flatnonzero(np.asarray(pc.is_valid(gone)))
+            text, n_dropped = b.column("text"), np.zeros(b.num_rows, np.int64)
+            count = pc.add(pc.count_substring(text, "\n"), 1).fill_null(0).cast(pa.int64())
+            if len(hit):
+                texts = []
+                for k in hit.tolist():
+                    bad = {h % 2 ** 64 for h in gone[k].as_py()}
+                    lines = text[k].as_py().split("\n")
+                    stay = [x for x in lines if xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) not in bad]
+                    n_dropped[k] = len(lines) - len(stay)
+                    texts.append("\n".join(stay))
+                mask = np.zeros(b.num_rows, bool)
+                mask[hit] = True
+                text = pc.replace_with_mask(text, pa.array(mask), pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, count, pa.array(n_dropped), b.column("mark")],
+                                             ["doc_id", "text", "n_lines", "n_dropped", "mark"])
+    return marked.join(drop, "mark", "left").select("doc_id", "text", "gone", "mark").mapInArrow(
+        strip, "doc_id long, text string, n_lines long, n_dropped long, mark long")
 
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """Documents with the columns of the input, without the dropped lines; a document left without a word goes."""
     clean = without_templates(docs, **options).where("n_dropped > 0").select(
         "mark", F.col("text").alias("clean_text")).dropDuplicates(["mark"])
-    packed = docs.select(F.struct(*docs.columns).alias("doc_row"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc_row"), _mark().alias("mark"))
     out = packed.join(clean, "mark", "left").where(F.col("clean_text").isNull() | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
     own = lambda c: F.col("doc_row").getField(c)
     return out.select(*[(F.coalesce("clean_text", own(c)) if c == "text" else own(c)).alias(c) for c in docs.columns])
 
 
+# The same rule; hash values of lines and tokens are the lines and tokens themselves.
 SQL = rf"""
-with d as (select distinct coalesce(text, '') as text from documents),
-l as (select text, unnest(list_distinct(string_split(text, chr(10)))) as line from d),
-w as (select *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from l),
-total as (select text, sum(len(words)) as "all" from w group by 1),
-r as (select *, len(words) as n, struct_pack(n := len(words), lead := list_transform(words[1:{LEAD}],
-    lambda x: case when regexp_matches(x, '[0-9]') then '*' else x end)) as leaf from w where len(words) >= {MIN_WORDS}),
-busy as (select leaf from r group by 1 having count(*) >= {MIN_DOCS}),
-lines as (select leaf, n, line, words, count(*) as docs from r where leaf in (select leaf from busy) group by all),
-u as (select leaf, n, line, docs, unnest(range(1, n + 1)) as pos, unnest(words) as word from lines),
-tok as (select leaf, n, line, docs, pos, case when pos <= {LEAD} and regexp_matches(word, '[0-9]') then '*' else word end as token from u),
-fixed as (select leaf, pos, token from tok group by all having sum(docs) >= {MIN_DOCS}),
-shaped as (select leaf, n, line, docs, count(*) as kept, list(struct_pack(pos := pos, token := token) order by pos) as shape
-  from tok join fixed using (leaf, pos, token) group by 1, 2, 3, 4
-  having 100 * (count(*) - {LEAD}) >= {FIXED_PERCENT} * (n - {LEAD})),
-often as (select leaf, shape from shaped group by all having sum(docs) >= {MIN_DOCS}),
-known as (select line, leaf, shape from shaped join often using (leaf, shape)),
-found as (select r.text, r.line, r.n, r.leaf, k.shape from r join known k using (line)),
-sums as (select text, sum(n) as again from found group by 1),
-seen as (select f.*, (t."all" - f.n > 0) and 100 * (s.again - f.n) < {COPY_PERCENT} * (t."all" - f.n) as apart
-  from found f join sums s using (text) join total t using (text)),
-bad as (select leaf, shape from seen group by all having count_if(apart) >= {MIN_DOCS} and 2 * count_if(apart) >= count(*)),
-gone as (select text, list(distinct line) as gone from found join bad using (leaf, shape) group by 1),
+with recursive d as (select distinct coalesce(text, '') as text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as mark from documents),
+sw as (select mark, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE_CLASS}+'), lambda x: x <> '') as w from d),
+sh as (select mark, len(w) as n, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % {PRIME}) as h from sw where len(w) > 0),
+st as (select mark, h, least(n, {SHINGLE}) as size, unnest(range(1, n - least(n, {SHINGLE}) + 2)) as i from sh),
+po as (select mark, list_reduce(h[i:i + size - 1], lambda a, x: (a * {FACTOR} + x) % {PRIME}, 0::bigint) as p from st),
+mn as (select mark, p % {SKETCH} as bucket, min(p) as least_p from po group by 1, 2),
+bd as (select mark, bucket // {BAND} as band, list(struct_pack(b := bucket, p := least_p) order by bucket) as v from mn group by 1, 2),
+fs as (select band, v, min(mark) as first from bd group by 1, 2 having count(*) > 1),
+pr as (select distinct b.mark, f.first from bd b join fs f using (band, v) where b.mark <> f.first),
+eq as (select p.mark, p.first, count_if(a.least_p % 127 = b.least_p % 127) as same, count(*) as both_
+  from pr p join mn a on a.mark = p.mark join mn b on b.mark = p.first and b.bucket = a.bucket group by 1, 2),
+sz as (select mark, count(*) as k from mn group by 1),
+ln as (select e.mark, e.first from eq e join sz a on a.mark = e.mark join sz b on b.mark = e.first where 100 * e.same >= {SAME_PERCENT} * (a.k + b.k - e.both_)),
+walk(a, b) as (select mark, mark from (select mark from ln union select first from ln)
+  union select w.a, case when e.mark = w.b then e.first else e.mark end from walk w join ln e on e.mark = w.b or e.first = w.b),
+cl as (select a as mark, min(b) as class from walk group by 1),
+dc as (select d.text, d.mark, coalesce(cl.class, d.mark) as class from d left join cl on cl.mark = d.mark),
+al as (select mark, class, string_split(text, chr(10)) as lines from dc),
+ap as (select mark, class, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i from al),
+aw as (select *, list_filter(regexp_split_to_array(line, '{SPACE_CLASS}+'), lambda x: x <> '') as words from ap),
+ww as (select *, len(words) as n from aw where len(words) > 0),
+h as (select distinct class, line, words, n, struct_pack(n := n, lead := list_transform(words[1:{LEAD}],
+    lambda x: case when regexp_matches(x, '[0-9]') then '*' else x end)) as leaf from ww),
+lines as (select leaf, line, words, n, count(*) as docs from h group by all),
+busy as (select leaf, sum(docs) as total from lines where n >= {MIN_WORDS} group by 1 having sum(docs) >= {MIN_DOCS} and count(*) > 1),
+u as (select l.leaf, b.total, l.line, l.docs, unnest(range(1, l.n + 1)) as pos, unnest(l.words) as word from lines l join busy b using (leaf) where l.n >= {MIN_WORDS}),
+pl as (select * from u where not regexp_matches(word, '[0-9]')),
+fr as (select leaf, line, count_if(pos <= {LEAD}) as first, count_if(pos > {LEAD}) as free from pl group by 1, 2),
+fx as (select leaf, pos, word, 100 * sum(docs) >= {WIDE_PERCENT} * any_value(total) as wide from pl where pos > {LEAD} group by 1, 2, 3 having sum(docs) >= {MIN_DOCS}),
+bo as (select p.leaf, p.line, count(*) as kept, list(struct_pack(pos := p.pos, word := p.word) order by p.pos) as shape,
+    count_if(wide) as wide_kept, coalesce(list(struct_pack(pos := p.pos, word := p.word) order by p.pos) filter (wide), []) as wide_shape
+  from pl p join fx using (leaf, pos, word) group by 1, 2),
+te as (select line, cast(null as varchar) as own, leaf, shape, kept, first from bo join fr using (leaf, line) where 100 * kept >= {FIXED_PERCENT} * free
+  union select line, null, leaf, wide_shape, wide_kept, first from bo join fr using (leaf, line) where wide_kept > 0 and 100 * wide_kept >= {FIXED_PERCENT} * free),
+bt as (select leaf, shape from te join h using (leaf, line) group by 1, 2
+  having count(distinct class) >= greatest(ceil({EVIDENCE} / max(kept + first)), {MIN_DOCS})),
+gone_lines as (select line from te join bt using (leaf, shape)
+  union select line from h where n >= {MIN_WORDS} or regexp_matches(line, '\p{{L}}') group by line, n having count(distinct class) >= greatest(ceil({EVIDENCE} / n), 2)),
+nu as (select mark, class, line, n, row_number() over (partition by mark order by i) as k, sum(n) over (partition by mark order by i) as upto from ww),
+ru as (select a.mark, a.class, a.k, min(b.k) as z from nu a join nu b on b.mark = a.mark and b.k >= a.k and b.upto - a.upto + a.n >= {PASSAGE} group by 1, 2, 3),
+rl as (select r.mark, r.class, r.k, list(n.line order by n.k) as run from ru r join nu n on n.mark = r.mark and n.k between r.k and r.z where r.z > r.k group by 1, 2, 3),
+br as (select run from rl group by 1 having count(distinct class) > 1),
+gone as (select mark, list(distinct line) as gone from (
+    select mark, line from ww where line in (select line from gone_lines) union select mark, unnest(run) from rl where run in (select run from br)) group by 1),
 o as (select x.doc_id, x.text as original, string_split(coalesce(x.text, ''), chr(10)) as lines, g.gone
-  from documents x left join gone g on coalesce(x.text, '') = g.text)
+  from documents x left join gone g on g.mark = ('0x' || substr(md5(coalesce(x.text, '')), 1, 15))::bigint)
 select doc_id, case when original is null then 0 else len(lines) end::BIGINT as n_lines,
   case when gone is null then 0 else len(list_filter(lines, lambda x: list_contains(gone, x))) end::BIGINT as n_dropped,
   md5(case when gone is null then original else array_to_string(list_filter(lines, lambda x: not list_contains(gone, x)), chr(10)) end) as text_md5
