@@ -78,8 +78,8 @@ def log_price(c: Column | str) -> Column:
 
 
 def level_from_log(c: Column | str) -> Column:
-    """Back from log1p to a quantity, floored at 0; the clip only keeps a double from overflowing."""
-    return F.greatest(F.lit(0.0), F.expm1(clip(c, -LOG_LIMIT, LOG_LIMIT)))
+    """Back from log1p to a quantity, floored at 0; unknown stays unknown. The clip only keeps a double from overflowing."""
+    return at_least(F.expm1(clip(c, -LOG_LIMIT, LOG_LIMIT)), 0.0)
 
 
 def markup(price: Column | str, cost: Column | str) -> Column:

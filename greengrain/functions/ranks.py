@@ -1,4 +1,4 @@
-"""Small numpy helpers for one pair of daily series, used inside Arrow batches."""
+"""Small numpy helpers for daily series, used inside Arrow batches."""
 
 from __future__ import annotations
 
@@ -17,31 +17,83 @@ def average_ranks(values: np.ndarray) -> np.ndarray:
     return (np.cumsum(counts) - (counts - 1) / 2.0)[where]
 
 
-def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """Spearman's rho; 0 where a side is constant."""
-    if len(x) < 2:
-        return 0.0
-    a, b = average_ranks(x), average_ranks(y)
-    a, b = a - a.mean(), b - b.mean()
-    scale = math.sqrt(float(a @ a) * float(b @ b))
-    return float(a @ b) / scale if scale > 0 else 0.0
+def centered_ranks(rows: np.ndarray) -> np.ndarray:
+    """Twice the rank minus its mean for every row of a matrix; equal values share their mean rank.
+
+    The values are whole numbers, so sums of their products are exact in any order.
+    """
+    n = rows.shape[1]
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, axis=1)
+    place = np.arange(n)
+    opens = np.ones(rows.shape, bool)
+    opens[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    closes = np.ones(rows.shape, bool)
+    closes[:, :-1] = opens[:, 1:]
+    first = np.maximum.accumulate(np.where(opens, place, 0), axis=1)
+    last = np.minimum.accumulate(np.where(closes, place, n)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(rows.shape)
+    np.put_along_axis(out, order, first + last - (n - 1.0), axis=1)
+    return out
+
+
+def rank_products(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Spearman's rho of every row of u with every row of v, both as centered ranks; 0 where a side is constant."""
+    scale = np.sqrt(np.outer((u * u).sum(axis=1), (v * v).sum(axis=1)))
+    return np.divide(u @ v.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+
+
+def common_days(x: np.ndarray, y: np.ndarray):
+    """(rows of x, rows of y, days) for each combination of observed days in two blocks of series."""
+    def patterns(block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        seen, which = np.unique(np.isfinite(block), axis=0, return_inverse=True)
+        return [(np.flatnonzero(which.ravel() == k), mask) for k, mask in enumerate(seen)]
+    left, right = patterns(x), patterns(y)
+    for rows, a in left:
+        for columns, b in right:
+            yield rows, columns, np.flatnonzero(a & b)
+
+
+def resampled(x: np.ndarray, y: np.ndarray, days: np.ndarray) -> np.ndarray:
+    """[draw, row of x, row of y] rank correlations on drawn days; every draw ranks a block of series at once.
+
+    Drawn values are ranked by counting how often each distinct value was drawn, without sorting.
+    """
+    def codes(block: np.ndarray) -> np.ndarray:
+        return np.stack([np.unique(row, return_inverse=True)[1] for row in block])
+
+    def ranked(code: np.ndarray, base: np.ndarray, width: int, drawn: np.ndarray) -> np.ndarray:
+        at = code[:, drawn] + base
+        counts = np.bincount(at.ravel(), minlength=len(code) * width).reshape(len(code), width)
+        twice = (2 * np.cumsum(counts, axis=1) - counts).astype(float)
+        return twice.ravel()[at] - len(drawn)
+    sides = []
+    for block in (x, y):
+        code = codes(block)
+        width = int(code.max()) + 1
+        sides.append((code, (np.arange(len(code)) * width)[:, None], width))
+    return np.stack([rank_products(*(ranked(*side, drawn) for side in sides)) for drawn in days])
 
 
 def student_p(r: float, n: int) -> float:
-    """Two-sided p of a correlation from Student's t, as the incomplete beta I(1 - r^2; (n-2)/2, 1/2)."""
+    """Two-sided p of one correlation from Student's t."""
+    return float(student_ps(np.array([r]), n)[0])
+
+
+def student_ps(r: np.ndarray, n: int) -> np.ndarray:
+    """Two-sided p of correlations over n days from Student's t, as the incomplete beta I(1 - r^2; (n-2)/2, 1/2)."""
+    size = np.abs(r)
     if n < 3:
-        return 1.0
-    if abs(r) >= 1.0:
-        return 0.0
+        return np.ones(r.shape)
     # I(x) = integral of u^(a-1) (1-u)^(-1/2) / B; with u = 1 - s^2 the end point singularity goes away
     a = (n - 2) / 2.0
     log_scale = math.lgamma(a + 0.5) - math.lgamma(a) - math.lgamma(0.5)
-    low, high = abs(r), min(1.0, abs(r) + 14.0 / math.sqrt(2.0 * a + 1.0))
-    s = low + (high - low) * (NODES + 1.0) / 2.0
+    low, high = np.minimum(size, 1.0), np.minimum(1.0, size + 14.0 / math.sqrt(2.0 * a + 1.0))
+    s = low[..., None] + (high - low)[..., None] * (NODES + 1.0) / 2.0
     inner = np.maximum(1.0 - s * s, 1e-300)
     density = np.exp(log_scale + (a - 1.0) * np.log(inner))
     # two tails of (high - low) / 2 each
-    return float(min(1.0, (high - low) * float(WEIGHTS @ density)))
+    return np.where(size >= 1.0, 0.0, np.minimum(1.0, (high - low) * (density @ WEIGHTS)))
 
 
 def block_starts(seed: int, reps: int, blocks: int) -> np.ndarray:

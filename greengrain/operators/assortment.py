@@ -229,6 +229,22 @@ def top_sellers(cand: DataFrame, k: int, by: list[Column]) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by, SKU)))
 
 
+def fill_band(plan: DataFrame, keys: list[str], minimum: float = MIN_ORDER) -> DataFrame:
+    """Orders in proportion to base_order that add up to `total`, none below the minimum.
+
+    Small orders take the minimum and the rest is shared by the others: in rising order, the first row whose scaled
+    order reaches the minimum starts those that are scaled. A plan has at most as many rows as products. Where even
+    minimum orders exceed the total, all of them stay at the minimum.
+    """
+    rising = Window.partitionBy(*keys).orderBy("base_order", SKU)
+    rest = F.sum("base_order").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = plan.withColumn("_rn", F.row_number().over(rising)).withColumn(
+        "_s", (F.col("total") - F.lit(minimum) * (F.col("_rn") - 1)) / rest)
+    reaches = F.when(F.col("_s") * F.col("base_order") >= minimum, F.col("_rn"))
+    scale = F.coalesce(F.min_by("_s", reaches).over(Window.partitionBy(*keys)), F.lit(0.0))
+    return rows.withColumn("order_qty", F.greatest(F.lit(minimum), scale * F.col("base_order"))).drop("_rn", "_s")
+
+
 def plan_facts(demand: DataFrame) -> DataFrame:
     """Sales and profit of scenario rows with demand, cost, price, order_qty and loss_rate."""
     out = demand.withColumn("available", F.col("order_qty") * (1 - F.col("loss_rate")))

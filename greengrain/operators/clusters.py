@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +31,6 @@ def seasonal_label(monthly: DataFrame, entity: str) -> DataFrame:
     return sums.select(entity, F.array_min(options)["label"].alias("label"))
 
 
-def kmeans(features: DataFrame, entity: str, names: list[str], k: int, seeds: list[int]) -> tuple[DataFrame, float]:
-    """Best of several starts by the sum of squared distances."""
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(features).select(entity, "features").cache()
-    best = None
-    for s in seeds:
-        model = KMeans(k=k, seed=s, maxIter=50).fit(ready)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    out = best.transform(ready).select(entity, F.col("prediction").alias("cluster_id"))
-    return out, best.summary.trainingCost
-
-
-def balanced_kmeans(features: DataFrame, entity: str, names: list[str], k: int, seeds: list[int], min_size: int = 5) -> DataFrame:
-    """First start whose smallest cluster is large enough, else the one with the largest smallest cluster."""
-    best, best_size = None, -1
-    for s in seeds:
-        labels = stage(kmeans(features, entity, names, k, [s])[0], "labels")
-        size = labels.groupBy("cluster_id").count().agg(F.min("count")).first()[0]
-        if size > best_size:
-            best, best_size = labels, size
-        if size >= min_size:
-            break
-    return best.withColumn("smallest_cluster", F.lit(best_size))
-
-
 def quality(features: DataFrame, labels: DataFrame, entity: str, names: list[str], label: str) -> DataFrame:
     """Silhouette, Calinski-Harabasz, Davies-Bouldin and the smallest cluster of a labelling."""
     rows = features.join(labels.select(entity, label), entity).select(entity, label, F.array(*names).alias("v"))
@@ -87,29 +60,31 @@ def quality(features: DataFrame, labels: DataFrame, entity: str, names: list[str
                       worst.agg(F.avg("r")).scalar().alias("davies_bouldin"))
 
 
-def rand_index(left: DataFrame, right: DataFrame, entity: str, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index of two labellings from their contingency counts."""
-    cells = left.select(entity, F.col(a).alias("_a")).join(right.select(entity, F.col(b).alias("_b")), entity)
-    counts = cells.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
-    choose = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2.0)
-    side = lambda k: counts.groupBy(k).agg(F.sum("n").alias("n")).agg(choose("n")).scalar()
-    out = counts.agg(choose("n").alias("both"), F.sum("n").alias("total")).withColumn("l", side("_a")).withColumn("r", side("_b"))
-    expected = F.col("l") * F.col("r") / (F.col("total") * (F.col("total") - 1) / 2.0)
-    return out.select(F.coalesce(ratio(F.col("both") - expected, (F.col("l") + F.col("r")) / 2 - expected), F.lit(1.0)).alias("ari"))
+def rand_index(left: DataFrame, right: DataFrame, entity: str, a: str, b: str, group: list[str] = ()) -> DataFrame:
+    """Adjusted Rand index of two labellings from their contingency counts, per group of the right one."""
+    cells = left.select(entity, F.col(a).alias("_a")).join(right.select(*group, entity, F.col(b).alias("_b")), entity)
+    counts = cells.groupBy(*group, "_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    choose = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
+    one = F.lit(0).alias("_one")
+    side = lambda k, name: counts.groupBy(*group, k).agg(F.sum("n").alias("n")).groupBy(*group, one).agg(F.sum(choose("n")).alias(name))
+    both = counts.groupBy(*group, one).agg(F.sum(choose("n")).alias("both"), F.sum("n").alias("total"))
+    out = both.join(side("_a", "l"), [*group, "_one"]).join(side("_b", "r"), [*group, "_one"])
+    expected = F.col("l") * F.col("r") / choose("total")
+    return out.select(*group, F.coalesce(ratio(F.col("both") - expected, (F.col("l") + F.col("r")) / 2 - expected), F.lit(1.0)).alias("ari"))
 
 
-def year_sample(month_totals: DataFrame, entity: str, rep: int, seed: int = 20230907) -> DataFrame:
-    """Month shares and active rates of whole complete sales years drawn with replacement."""
+def year_samples(month_totals: DataFrame, entity: str, reps: int, seed: int = 20230907) -> DataFrame:
+    """Month shares and active rates of whole complete sales years drawn with replacement, for every replicate `grp`."""
     years = month_totals.groupBy("sales_year").agg(F.count_distinct("month").alias("m"), (F.sum("days") / F.count_distinct(entity)).alias("d"))
     whole = years.where((F.col("m") == 12) & (F.col("d") >= 365)).select("sales_year")
     packed = whole.agg(F.array_sort(F.collect_list("sales_year"))).scalar()  # one number per complete year
-    drawn = whole.sparkSession.range(1).select(F.posexplode(packed).alias("i", "_y"), packed.alias("all"))
-    drawn = drawn.select(F.col("all")[(draw(seed, F.lit(rep), F.col("i")) % F.size("all")).cast("int")].alias("sales_year"))
-    picked = drawn.groupBy("sales_year").agg(F.count(F.lit(1)).alias("copies"))
+    drawn = whole.sparkSession.range(reps).select(F.col("id").cast("int").alias("grp"), F.posexplode(packed).alias("i", "_y"), packed.alias("all"))
+    drawn = drawn.select("grp", F.col("all")[(draw(seed, F.col("grp"), F.col("i")) % F.size("all")).cast("int")].alias("sales_year"))
+    picked = drawn.groupBy("grp", "sales_year").agg(F.count(F.lit(1)).alias("copies"))
     totals = month_totals.groupBy(entity, "sales_year").agg(F.sum("qty").alias("year_qty"))
-    rows = month_totals.join(picked, "sales_year").join(totals, [entity, "sales_year"])
+    rows = month_totals.join(totals, [entity, "sales_year"]).join(picked, "sales_year")
     share = F.coalesce(F.col("qty") / F.nullif(F.col("year_qty"), F.lit(0.0)), F.lit(0.0))
-    return rows.groupBy(entity, "month").agg(
+    return rows.groupBy("grp", entity, "month").agg(
         (F.sum(share * F.col("copies")) / F.sum("copies")).alias("sales_proportion"),
         (F.sum(F.col("active_days") / F.col("days") * F.col("copies")) / F.sum("copies")).alias("active_rate"))
 

@@ -1,51 +1,58 @@
-"""Cross-fitted tree models of the daily category series, fitted by MLlib."""
+"""Boosted tree models of the daily category series, one fit per (category, target, fold), all in one job.
+
+A fit sees the days of one category, so a group is bounded by the calendar; more categories are more groups.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from greengrain.functions.boosting import Trees
 from greengrain.functions.staging import stage
 from greengrain.operators.elasticity import CAT
 
 
-def _with_category(df: DataFrame, categories: list[str], features: list[str]) -> DataFrame:
-    flags = [f"is_{i}" for i in range(len(categories))]
-    out = df.select("*", *[(F.col(CAT) == c).cast("double").alias(n) for c, n in zip(categories, flags)])
-    return VectorAssembler(inputCols=[*features, *flags], outputCol="features").transform(out)
+def _fitter(**rules):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        train, test = rows[rows["train"]], rows[~rows["train"]]
+        out = test[[CAT, "date", "fold", "target"]].copy()
+        out["hat"] = np.nan
+        if len(train) and len(test):
+            model = Trees(**rules).fit(np.stack(train["x"].to_numpy()).astype(float), train["y"].to_numpy(float))
+            out["hat"] = model.predict(np.stack(test["x"].to_numpy()).astype(float))
+        return out
+    return run
+
+
+def _long(df: DataFrame, features: list[str], targets: list[str], *keep) -> DataFrame:
+    """A row per target with packed features."""
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets]))
+    return df.select(CAT, "date", *keep, x.alias("x"), each.alias("t")).select(CAT, "date", *keep, "x", "t.target", "t.y")
 
 
-def crossfit(folded: DataFrame, features: list[str], targets: list[str], categories: list[str],
-             rounds: int = 10, depth: int = 3, seed: int = 2023) -> DataFrame:
-    """Out-of-fold predictions `<target>_hat`: fold k is predicted from all earlier rows.
+def crossfit(folded: DataFrame, features: list[str], targets: list[str], **rules) -> DataFrame:
+    """Out-of-fold predictions `<target>_hat`: the rows of fold k from a fit on all rows of earlier folds.
 
-    One boosted model per fold and target learns all categories together, told apart by
-    indicator columns, so the number of fits does not grow with the categories.
+    `rules` are the arguments of Trees (rounds, step, leaves, ...).
     """
-    ready = stage(_with_category(folded, categories, features).select(
-        CAT, "date", "fold", *targets, "features"), "crossfit").cache()
-    last = ready.agg(F.max("fold")).first()[0]
-    parts = None
-    for fold in range(1, last + 1):
-        test = ready.where(F.col("fold") == fold)
-        for t in targets:
-            model = GBTRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_hat", maxIter=rounds,
-                                 maxDepth=depth, stepSize=0.1, seed=seed + fold)
-            test = model.fit(ready.where(F.col("fold") < fold)).transform(test)
-        test = test.drop("features")
-        parts = test if parts is None else parts.unionByName(test)
-    out = stage(parts, "predictions")
-    ready.unpersist()
-    return out
-
-
-def fit_predict(train: DataFrame, future: DataFrame, features: list[str], target: str, categories: list[str],
-                rounds: int = 10, depth: int = 3, seed: int = 2023) -> DataFrame:
-    """Fit on all history and predict the future rows."""
-    model = GBTRegressor(featuresCol="features", labelCol=target, predictionCol=f"{target}_hat", maxIter=rounds,
-                         maxDepth=depth, stepSize=0.1, seed=seed)
-    ready = _with_category(train.na.drop(subset=[*features, target]), categories, features)
-    return model.fit(ready).transform(_with_category(future, categories, features)).select(
-        CAT, "date", f"{target}_hat")
+    rows = _long(folded, features, targets, "fold")
+    last = F.lit(folded.agg(F.max("fold")).first()[0] or 0)
+    # a row is tested in its own fold and trains all later ones
+    tasks = rows.withColumn("task", F.explode(F.sequence(F.greatest("fold", F.lit(1)), F.greatest(last, F.lit(1)))))
+    tasks = tasks.withColumn("train", F.col("fold") < F.col("task"))
+    hats = tasks.groupBy(CAT, "target", "task").applyInPandas(_fitter(**rules), f"{CAT} string, date date, fold int, target string, hat double")
+    wide = hats.groupBy(CAT, "date", "fold").agg(*[F.max(F.when(F.col("target") == t, F.col("hat"))).alias(f"{t}_hat") for t in targets])
+    return stage(folded.select(CAT, "date", "fold", *targets).join(wide, [CAT, "date", "fold"]), "predictions")
+
+
+def fit_predict(train: DataFrame, future: DataFrame, features: list[str], target: str, **rules) -> DataFrame:
+    """Fit on all history of each category and predict its future rows."""
+    both = _long(train.na.drop(subset=[*features, target]), features, [target]).withColumn("train", F.lit(True)).unionByName(
+        _long(future, features, [target]).withColumn("train", F.lit(False))).withColumn("fold", F.lit(0))
+    out = both.groupBy(CAT).applyInPandas(_fitter(**rules), f"{CAT} string, date date, fold int, target string, hat double")
+    return out.select(CAT, "date", F.col("hat").alias(f"{target}_hat"))

@@ -73,22 +73,19 @@ def category_edges(edges: DataFrame, weight: str, stability: str) -> DataFrame:
         F.avg(stability).alias("mean_stability"))
 
 
-def overlap_by_cutoff(pairs: DataFrame, score: Column, base: Column, cutoffs: dict[str, Column | float]) -> DataFrame:
-    """Edge count of every cutoff and its Jaccard with the base edges; two empty sets count as 1.
+def sensitivity(pairs: DataFrame, base: Column, options: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """(parameter, value, threshold, edge_count, jaccard with the base edges) of each (parameter, value, threshold, edges).
 
-    All cutoffs are counted in one pass over the pairs.
+    All options are counted in one pass over the pairs; two empty sets have Jaccard 1.
     """
     aggs = []
-    for name, cut in cutoffs.items():
-        chosen = score >= cut
-        aggs += [F.count_if(chosen).alias(f"{name}.n"), F.count_if(chosen & base).alias(f"{name}.both"),
-                 F.count_if(chosen | base).alias(f"{name}.either")]
-    one = pairs.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(name).alias("cutoff"), F.col(f"`{name}.n`").alias("edge_count"),
-                              F.when(F.col(f"`{name}.either`") == 0, 1.0)
-                              .otherwise(F.col(f"`{name}.both`") / F.nullif(F.col(f"`{name}.either`"), F.lit(0)))
-                              .alias("jaccard")) for name in cutoffs])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    for i, (_, _, _, chosen) in enumerate(options):
+        aggs += [F.count_if(chosen).alias(f"n{i}"), F.count_if(chosen & base).alias(f"both{i}"), F.count_if(chosen | base).alias(f"either{i}")]
+    rows = F.array(*[F.struct(
+        F.lit(parameter).alias("parameter"), F.lit(value).alias("value"), threshold.cast("double").alias("threshold"), F.col(f"n{i}").alias("edge_count"),
+        F.when(F.col(f"either{i}") == 0, 1.0).otherwise(F.col(f"both{i}") / F.nullif(F.col(f"either{i}"), F.lit(0))).alias("jaccard"))
+        for i, (parameter, value, threshold, _) in enumerate(options)])
+    return pairs.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def set_overlap(left: DataFrame, right: DataFrame, keys: list[str], group: list[str] = ()) -> DataFrame:

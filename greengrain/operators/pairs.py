@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from greengrain.functions import ranks
 from greengrain.functions.exprs import clip, draw, normal_quantile, ratio, season_of
 from greengrain.functions.ordered import following_minimum, row_numbers, running_total
+from greengrain.functions.staging import stage
 
 WHOLE = "all"
 SEED = 20230907
@@ -72,36 +74,59 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def pearson(df: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
+def pearson(df: DataFrame, entity: str, order: list[str], value: str, within: list[str] = ()) -> DataFrame:
     """Pearson r between entities that share the same index; 0 where one side is constant.
 
     Each series is standardized once before pairing, so a pair costs one dot product.
     """
-    stats = df.groupBy(entity).agg(
+    stats = df.groupBy(*within, entity).agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"),
         F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))),
                     lambda r: r["v"]).alias("_v"))
-    unit = stats.select(entity, F.transform("_v", lambda v: F.coalesce(
+    unit = stats.select(*within, entity, F.transform("_v", lambda v: F.coalesce(
         ratio(v - F.col("_mean"), F.col("_std")), F.lit(0.0))).alias("_unit"))
-    return entity_pairs(unit, entity, "_unit").select(
-        "source", "target", (_dot(F.col("x"), F.col("y")) / F.size("x")).alias("r"))
+    return entity_pairs(unit, entity, "_unit", within).select(
+        *within, "source", "target", (_dot(F.col("x"), F.col("y")) / F.size("x")).alias("r"))
 
 
-def index_correlation(monthly: DataFrame, entity: str, value: str = "seasonal_index") -> DataFrame:
+def index_correlation(monthly: DataFrame, entity: str, value: str = "seasonal_index", within: list[str] = ()) -> DataFrame:
     """Pearson r between 12-month index vectors."""
-    return pearson(monthly, entity, ["month"], value)
+    return pearson(monthly, entity, ["month"], value, within)
 
 
-def active_overlap(series: DataFrame, entity: str) -> DataFrame:
+def day_bits(series: DataFrame, entity: str, within: list[str] = ()) -> tuple[DataFrame, int]:
+    """(entity, flags) with one bit per day, packed 63 to a number: active days and observed days; and the count of numbers."""
+    longest = series.agg(F.max(F.size("series"))).first()[0] or 0
+    words = -(-longest // 63)
+    bits = lambda test: F.array(*[F.aggregate(
+        F.slice("series", 1 + 63 * w, 63), F.lit(0).cast("long"),
+        lambda s, v: F.shiftleft(s, 1).bitwiseOR(F.coalesce(test(v), F.lit(False)).cast("long"))) for w in range(words)])
+    flags = F.struct(bits(lambda v: v > 0).alias("active"), bits(lambda v: v.isNotNull()).alias("seen"))
+    return series.select(*within, entity, flags.alias("flags")), words
+
+
+def overlap(x: str, y: str, words: int) -> list[Column]:
+    """both_days, either_days and jaccard of two `flags`; every number is a bit count in generated code."""
+    a, b, seen_a, seen_b = (F.col(f"{c}.{f}") for f in ("active", "seen") for c in (x, y))
+    total = lambda parts: sum(parts, F.lit(0)).cast("int")
+    both = total([F.bit_count(a[w].bitwiseAND(b[w])) for w in range(words)])
+    either = total([F.bit_count(a[w].bitwiseOR(b[w]).bitwiseAND(seen_a[w]).bitwiseAND(seen_b[w])) for w in range(words)])
+    return [both.alias("both_days"), either.alias("either_days"), F.coalesce(ratio(both, either), F.lit(0.0)).alias("jaccard")]
+
+
+def active_overlap(series: DataFrame, entity: str, within: list[str] = ()) -> DataFrame:
     """Days with sales on both sides over days with sales on either, on days both are observed."""
-    # 1 active, 0 idle, NULL unobserved; a byte per day keeps the copies small
-    flags = series.withColumn("series", F.transform("series", lambda v: (v > 0).cast("byte")))
-    both = F.zip_with("x", "y", lambda a, b: a * b)
-    either = F.zip_with("x", "y", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)))
-    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + F.coalesce(v.cast("int"), F.lit(0)))
-    return entity_pairs(flags, entity).select(
-        "source", "target", total(both).alias("both_days"), total(either).alias("either_days")
-    ).withColumn("jaccard", F.coalesce(ratio("both_days", "either_days"), F.lit(0.0)))
+    flags, words = day_bits(series, entity, within)
+    return entity_pairs(flags, entity, "flags", within).select(*within, "source", "target", *overlap("x", "y", words))
+
+
+def overlap_of(pairs: DataFrame, series: DataFrame, entity: str) -> DataFrame:
+    """The overlap of the given pairs (source, target, ...) alone."""
+    flags, words = day_bits(series, entity)
+    flags = stage(flags, "day_bits")
+    side = lambda end, name: flags.select(F.col(entity).alias(end), F.col("flags").alias(name))
+    both = pairs.join(side("source", "_x"), "source").join(side("target", "_y"), "target")
+    return both.select(*pairs.columns, *overlap("_x", "_y", words))
 
 
 def _common(x, y) -> tuple[np.ndarray, np.ndarray]:
@@ -110,63 +135,108 @@ def _common(x, y) -> tuple[np.ndarray, np.ndarray]:
     return x[seen], y[seen]
 
 
-def rank_correlation(pairs: DataFrame, keys: list[str], min_days: int = 30) -> DataFrame:
-    """Spearman r and its p per pair row, ranked on the pair's common days only.
+def series_blocks(series: DataFrame, entity: str, within: list[str] = (), block: int = 64) -> DataFrame:
+    """Cells of the pair matrix: each block of about `block` series meets itself and every later block of its group.
 
-    Ranks depend on both sides, so they are taken per pair on the packed arrays in Arrow
-    batches; the long form would shuffle pairs x days rows for the same numbers.
+    One row per cell with two packed blocks. A group's number of blocks follows from its count of entities, entities
+    are dealt to blocks by a hash of their name, and a block travels once per block of its group; the pairs
+    themselves are only formed inside a cell.
     """
-    schema = ", ".join(f"{k} string" for k in keys) + ", n_days int, r double, p_value double"
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                x, y = _common(row.x, row.y)
-                if len(x) >= min_days:
-                    r = ranks.rank_correlation(x, y)
-                    rows.append((*[getattr(row, k) for k in keys], len(x), r, ranks.student_p(r, len(x))))
-            yield pd.DataFrame(rows, columns=[*keys, "n_days", "r", "p_value"])
-
-    return pairs.select(*keys, "x", "y").mapInPandas(score, schema)
-
-
-def bootstrap_interval(pairs: DataFrame, keys: list[str], reps: int = 200, block: int = 7,
-                       min_days: int = 30, min_abs_r: float | None = 0.30, level: float = 0.95,
-                       seed: int = SEED) -> DataFrame:
-    """Moving-block bootstrap interval of the rank correlation.
-
-    Pairs below the gate keep a NULL interval; pairs with fewer than two blocks, or with
-    fewer than 50 draws, get the point value.
+    keys = [*within, "_all"]
+    named = series.select(*within, F.lit(0).alias("_all"), F.col(entity).cast("string").alias("_e"), F.col("series"))
+    counts = named.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("_blocks"))
+    dealt = named.join(counts, keys).withColumn("_b", F.pmod(F.xxhash64("_e"), F.col("_blocks")).cast("int"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*keys, "_blocks", "_b").schema)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_e")
+        values = np.stack([np.asarray(v, dtype=float) for v in rows["series"]])
+        head = rows.iloc[:1][[*keys, "_blocks", "_b"]].reset_index(drop=True)
+        head["_count"], head["_days"], head["_names"] = len(rows), values.shape[1], [list(rows["_e"])]
+        head["_series"] = [values.tobytes()]
+        return head
+
+    packed_ = dealt.groupBy(*keys, "_blocks", "_b").applyInPandas(pack, f"{types}, _count int, _days int, _names array<string>, _series binary")
+    packed_ = stage(packed_, "series_blocks")
+    side = lambda df, n: df.select(*keys, "_i", "_j", F.struct("_count", "_days", "_names", "_series").alias(n))
+    left = packed_.withColumns({"_i": F.col("_b"), "_j": F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1))})
+    right = packed_.withColumns({"_j": F.col("_b"), "_i": F.explode(F.sequence(F.lit(0), F.col("_b")))})
+    cells = side(left, "left").join(side(right, "right"), [*keys, "_i", "_j"])
+    # few large rows: spread the cells, each is a task's work
+    return cells.repartition(series.sparkSession.sparkContext.defaultParallelism * 2, *keys, "_i", "_j")
+
+
+def rank_correlation(series: DataFrame, entity: str, within: list[str] = (), min_days: int = 30, p_values: bool = False,
+                     interval: dict | None = None, block: int = 64) -> DataFrame:
+    """Spearman r of all pairs source < target inside each `within` key, ranked on the pair's common days only.
+
+    `series` holds one packed array per entity and key, all of a key over the same days, NULL where not observed. Blocks
+    of series meet in cells: series with the same observed days are ranked once per cell, and their correlations are one
+    matrix product of whole numbers. With `p_values`, Student p. With `interval` (arguments of `block_draws` and
+    `min_abs_r`), a moving-block bootstrap interval: the days of all draws are the same for a block, whose series are
+    ranked together; pairs below `min_abs_r` have none. `same_sign` is the share of draws with the sign of r.
     """
-    schema = ", ".join(f"{k} string" for k in keys) + ", r double, ci_lower double, ci_upper double"
-    tail = 100 * (1 - level) / 2
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cells, keys = series_blocks(series, entity, within, block), list(within)
+    types = [(f.name, f.dataType.simpleString()) for f in cells.schema if f.name in keys]
+    extra = (["p_value"] if p_values else []) + (["ci_lower", "ci_upper", "same_sign"] if interval is not None else [])
+    schema = ", ".join([*(f"{n} {t}" for n, t in types), "source string", "target string", "n_days int", "r double",
+                        *(f"{c} double" for c in extra)])
+    rule = dict(interval or {})
+    gate = rule.pop("min_abs_r", 0.30) if interval is not None else None
+
+    def read(b) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(b["_names"], dtype=object), np.frombuffer(b["_series"]).reshape(b["_count"], b["_days"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                x, y = _common(row.x, row.y)
-                n = len(x)
-                if n < min_days:
-                    continue
-                r = ranks.rank_correlation(x, y)
-                low = high = None
-                if min_abs_r is None or abs(r) >= min_abs_r:
-                    low = high = r
-                    if n >= 2 * block and reps >= 50:
-                        blocks = -(-n // block)
-                        if blocks not in drawn:
-                            drawn[blocks] = ranks.block_starts(seed, reps, blocks)
-                        starts = drawn[blocks] % (n - block + 1)
-                        days = (starts[:, :, None] + np.arange(block)).reshape(reps, -1)[:, :n]
-                        values = [ranks.rank_correlation(x[d], y[d]) for d in days]
-                        low, high = np.percentile(values, [tail, 100 - tail])
-                rows.append((*[getattr(row, k) for k in keys], r, low, high))
-            yield pd.DataFrame(rows, columns=[*keys, "r", "ci_lower", "ci_upper"])
-
-    return pairs.select(*keys, "x", "y").mapInPandas(resample, schema)
+            for cell in batch.to_pylist():
+                (a, x), (b, y) = read(cell["left"]), read(cell["right"])
+                own = cell["_i"] == cell["_j"]
+                for i, j, days in ranks.common_days(x, y):
+                    if len(days) < min_days:
+                        continue
+                    wanted = a[i][:, None] < b[j] if own else np.ones((len(i), len(j)), bool)
+                    if not wanted.any():
+                        continue
+                    u, v = x[np.ix_(i, days)], y[np.ix_(j, days)]
+                    r = ranks.rank_products(ranks.centered_ranks(u), ranks.centered_ranks(v))
+                    one, two = a[i][np.nonzero(wanted)[0]], b[j][np.nonzero(wanted)[1]]
+                    swap = one > two
+                    out = {k: cell[k] for k in keys} | {
+                        "source": np.where(swap, two, one), "target": np.where(swap, one, two), "n_days": np.int32(len(days)), "r": r[wanted]}
+                    if p_values:
+                        out["p_value"] = ranks.student_ps(r[wanted], len(days))
+                    if interval is not None:
+                        asked = wanted if gate is None else wanted & (np.abs(r) >= gate)
+                        bounds = block_interval(u, v, r, asked, drawn, **rule)
+                        out |= {c: bound[wanted] for c, bound in zip(("ci_lower", "ci_upper", "same_sign"), bounds)}
+                    frame = pd.DataFrame(out)[[*keys, "source", "target", "n_days", "r", *extra]]
+                    yield from pa.Table.from_pandas(frame, preserve_index=False).to_batches()
+
+    return cells.mapInArrow(score, schema)
+
+
+def block_interval(x: np.ndarray, y: np.ndarray, r: np.ndarray, wanted: np.ndarray, drawn: dict, reps: int = 200, block: int = 7,
+                   level: float = 0.95, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interval bounds of the wanted pairs of two blocks and the share of draws with the sign of r, NaN for other pairs.
+
+    Fewer than two blocks of days, or fewer than 50 draws, give the point value and the share 1.
+    """
+    low, high, same = (np.where(wanted, v, np.nan) for v in (r, r, 1.0))
+    n, tail = x.shape[1], 100 * (1 - level) / 2
+    if wanted.any() and n >= 2 * block and reps >= 50:
+        blocks = -(-n // block)
+        if blocks not in drawn:
+            drawn[blocks] = ranks.block_starts(seed, reps, blocks)
+        starts = drawn[blocks] % (n - block + 1)
+        days = (starts[:, :, None] + np.arange(block)).reshape(reps, -1)[:, :n]
+        place = np.ix_(np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0)))
+        values = ranks.resampled(x[place[0].ravel()], y[place[1].ravel()], days)
+        agree = (np.sign(values) == np.sign(r[place])).mean(axis=0)
+        for side, bound in zip((low, high, same), (*np.percentile(values, [tail, 100 - tail], axis=0), agree)):
+            side[place] = np.where(wanted[place], bound, np.nan)
+    return low, high, same
 
 
 def strength(r: Column | str, low: Column | str, high: Column | str) -> Column:

@@ -151,17 +151,15 @@ def box_stats(df: DataFrame, entity: str, value: str) -> DataFrame:
                  F.count_if(~inside).alias("outliers")))
 
 
-def cluster_features(monthly: DataFrame, entity: str) -> DataFrame:
-    """12 month shares and 12 active rates, each standardized over entities; constant columns are 0."""
+def cluster_features(monthly: DataFrame, entity: str, group: list[str] = ()) -> DataFrame:
+    """12 month shares and 12 active rates, each standardized over the entities of a group; constant columns are 0."""
     names = [f"prop_month_{m}" for m in MONTHS] + [f"active_month_{m}" for m in MONTHS]
-    wide = monthly.groupBy(entity).agg(
+    wide = monthly.groupBy(*group, entity).agg(
         *[F.max(F.when(F.col("month") == m, F.col("sales_proportion"))).alias(f"prop_month_{m}") for m in MONTHS],
         *[F.max(F.when(F.col("month") == m, F.col("active_rate"))).alias(f"active_month_{m}") for m in MONTHS])
-    # one row of means and deviations, read as a scalar subquery
-    spread = wide.agg(F.struct(
-        *[F.avg(n).alias(f"mean_{n}") for n in names],
-        *[F.stddev_pop(n).alias(f"std_{n}") for n in names]).alias("s")).scalar()
-    out = wide.withColumn("_s", spread)
-    return out.select(entity, *[
+    # one row of means and deviations per group, a scalar subquery where there is one group
+    spread = F.struct(*[F.avg(n).alias(f"mean_{n}") for n in names], *[F.stddev_pop(n).alias(f"std_{n}") for n in names]).alias("_s")
+    out = wide.join(wide.groupBy(*group).agg(spread), [*group]) if group else wide.withColumn("_s", wide.agg(spread).scalar())
+    return out.select(*group, entity, *[
         F.coalesce(ratio(F.col(n) - F.col(f"_s.mean_{n}"), F.col(f"_s.std_{n}")), F.lit(0.0)).alias(n)
         for n in names])

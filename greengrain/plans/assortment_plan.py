@@ -21,7 +21,7 @@ from greengrain.sources import tables
 
 CAT, SKU, QTY = so.CAT, so.SKU, so.QTY
 SIZES = list(range(27, 34))
-FINAL = 30
+SIZE_SQL = "(select k from chosen_size)"
 
 part("tgt", "select cast(max(date) + 1 as date) as target from product_day")
 part("cand", """
@@ -384,29 +384,52 @@ def evaluated(spark, sf, sizes=SIZES, chain: Assortment | None = None) -> Evalua
     return Evaluated(a, plans, facts, outcomes)
 
 
-@query("k10_plan_outcomes", f"select k, scenario, {fx('profit', 3)} as profit, {fx('service_loss', 5)} as service_loss from k_outcomes where k = {FINAL}")
+part("chosen_size", """
+    select k from k_eval where service_loss <= (select min(service_loss) from k_eval) + 1e-8
+    order by 0.75 * expected_profit + 0.25 * lower_tail desc, k limit 1""")
+
+
+def chosen_size(frontier):
+    """The size with the best risk-adjusted profit among those of the lowest service loss, the smallest one on a tie."""
+    lowest = frontier.select(F.min("service_loss")).scalar()
+    return frontier.where(F.col("service_loss") <= lowest + 1e-8).select(
+        F.max_by("k", F.struct("risk_adjusted", -F.col("k")))).scalar()
+
+
+def frontier(spark, sf, chain: Assortment | None = None):
+    """All sizes, their scores written once, and the chosen size as a scalar."""
+    e = evaluated(spark, sf, SIZES, chain)
+    table = stage(so.evaluate(e.outcomes, ["k"]), "frontier")
+    return e, table, chosen_size(table)
+
+
+def final(spark, sf, chain: Assortment | None = None) -> Evaluated:
+    """The plan of the chosen size."""
+    e, _, best = frontier(spark, sf, chain)
+    only = lambda df: df.where(F.col("k") == best)
+    return Evaluated(e.chain, only(e.plans), only(e.facts), only(e.outcomes))
+
+
+@query("k10_plan_outcomes", f"select k, scenario, {fx('profit', 3)} as profit, {fx('service_loss', 5)} as service_loss from k_outcomes where k = {SIZE_SQL}")
 def k10(spark, sf):
-    return evaluated(spark, sf, [FINAL]).outcomes.select("k", "scenario", fixed("profit", 3).alias("profit"), fixed("service_loss", 5).alias("service_loss"))
+    return final(spark, sf).outcomes.select("k", "scenario", fixed("profit", 3).alias("profit"), fixed("service_loss", 5).alias("service_loss"))
 
 
 @query("k11_baseline_plan", f"""
-    select sku_code, category_name, place, {fx('price', 4)} as price, {fx('base_order', 4)} as order_qty from ranked where place <= {FINAL}""")
+    select sku_code, category_name, place, {fx('price', 4)} as price, {fx('base_order', 4)} as order_qty from ranked where place <= {SIZE_SQL}""")
 def k11(spark, sf):
-    a = build(spark, sf)
-    return ranked_candidates(a, so.nearest_price(grid_of(a)), FINAL).select(
+    e, _, best = frontier(spark, sf)
+    a = e.chain
+    return ranked_candidates(a, so.nearest_price(grid_of(a)), max(SIZES)).where(F.col("place") <= best).select(
         SKU, CAT, "place", fixed("price", 4).alias("price"), fixed("base_order", 4).alias("order_qty"))
 
 
 @query("k12_size_frontier", f"""
     select k, {fx('service_loss', 5)} as service_loss, {fx_cols('expected_profit', 'lower_tail', digits=3)}, {fx('0.75 * expected_profit + 0.25 * lower_tail', 3)} as risk_adjusted,
-      k = (select k from k_eval where service_loss <= (select min(service_loss) from k_eval) + 1e-8
-           order by 0.75 * expected_profit + 0.25 * lower_tail desc, k limit 1) as chosen
+      k = (select k from chosen_size) as chosen
     from k_eval""")
 def k12(spark, sf):
-    table = stage(so.evaluate(evaluated(spark, sf).outcomes, ["k"]), "frontier")
-    lowest = table.select(F.min("service_loss")).scalar()
-    best = table.where(F.col("service_loss") <= lowest + 1e-8).select(
-        F.max_by("k", F.struct("risk_adjusted", -F.col("k")))).scalar()
+    _, table, best = frontier(spark, sf)
     return table.select("k", fixed("service_loss", 5).alias("service_loss"), *fixed_cols("expected_profit", "lower_tail", "risk_adjusted", digits=3),
                         (F.col("k") == best).alias("chosen"))
 
@@ -421,6 +444,7 @@ def a12(spark, sf):
     return cand.groupBy(CAT).agg(first).select(CAT, f"b.{SKU}", fixed(-F.col("b.less")).alias("recent_revenue"))
 
 
+# The variants as (name, risk weight, elasticity scale, weight of observed days, order factor).
 VARIANTS = [("baseline", 0.25, 1.0, 0.5, 1.0), ("risk_weight_0.00", 0.0, 1.0, 0.5, 1.0), ("risk_weight_0.50", 0.5, 1.0, 0.5, 1.0),
             ("elasticity_scale_0.80", 0.25, 0.8, 0.5, 1.0), ("elasticity_scale_1.20", 0.25, 1.2, 0.5, 1.0),
             ("history_weight_0.25", 0.25, 1.0, 0.25, 1.0), ("history_weight_0.75", 0.25, 1.0, 0.75, 1.0),
@@ -433,11 +457,20 @@ part("v_demand", """
       c.predicted_cost * exp(d.u) as cost
     from variants v join share_scen s on s.h = v.hist join cand_cost c on c.sku_code = s.sku_code join near n on n.sku_code = s.sku_code
     join cat_dem d on d.scenario = s.scenario and d.category_name = s.category_name join theta t on t.category_name = s.category_name""")
-part("v_plan", f"""
-    select variant, sku_code, factor * mean_demand / (1 - loss_rate) as order_qty
+part("v_pick", f"""
+    select variant, sku_code, factor, mean_demand / (1 - loss_rate) as base_order
     from (select *, row_number() over (partition by variant order by floor(mean_demand * 1e6 + 0.5) desc, sku_code) as place
           from (select variant, sku_code, any_value(factor) as factor, any_value(loss_rate) as loss_rate, avg(demand) as mean_demand from v_demand group by 1, 2))
-    where place <= {FINAL}""")
+    where place <= {SIZE_SQL}""")
+part("v_scale", f"""
+    select variant, min_by(s, rn) filter (s * base_order >= {so.MIN_ORDER}) as scale
+    from (select *, (nominal * factor - {so.MIN_ORDER} * (rn - 1)) / rest as s
+          from (select variant, base_order, factor, (select sum(order_qty) from base_plan where day = 0) as nominal,
+                  row_number() over (partition by variant order by base_order, sku_code) as rn,
+                  sum(base_order) over (partition by variant order by base_order, sku_code rows between current row and unbounded following) as rest from v_pick))
+    group by 1""")
+part("v_plan", f"""
+    select p.variant, p.sku_code, p.factor, greatest({so.MIN_ORDER}, coalesce(s.scale, 0) * p.base_order) as order_qty from v_pick p join v_scale s using (variant)""")
 part("v_outcomes", """
     select variant, scenario, any_value(risk) as risk, sum(profit) as profit,
       1 - sum(1 - greatest(0, category_demand - served) / greatest(category_demand, 1e-9)) / (select count(distinct category_name) from cat_dem) as service_loss
@@ -452,14 +485,19 @@ part("v_eval", """
 
 @query("k13_plan_sensitivity", f"""
     select e.variant, {fx('e.service_loss', 5)} as service_loss, {fx_cols('expected_profit', 'lower_tail', digits=3)},
-      {fx('(1 - risk) * expected_profit + risk * lower_tail', 3)} as risk_adjusted, {fx('j.jaccard', 5)} as jaccard
-    from v_eval e join (select v.variant, count(b.sku_code) / cast(2 * {FINAL} - count(b.sku_code) as double) as jaccard
+      {fx('(1 - risk) * expected_profit + risk * lower_tail', 3)} as risk_adjusted, {fx('j.jaccard', 5)} as jaccard, {fx('j.total', 4)} as total_order,
+      {fx('j.nominal * (1 - 0.0005)', 4)} as band_low, {fx('j.nominal * (1 + 0.0005)', 4)} as band_high,
+      j.total between j.nominal * (1 - 0.0005) and j.nominal * (1 + 0.0005) as inside
+    from v_eval e join (select v.variant, sum(v.order_qty) as total, any_value(v.factor) * (select sum(order_qty) from base_plan where day = 0) as nominal,
+        count(b.sku_code) / cast(count(*) + (select count(*) from v_plan where variant = 'baseline') - count(b.sku_code) as double) as jaccard
       from v_plan v left join (select sku_code from v_plan where variant = 'baseline') b on b.sku_code = v.sku_code group by 1) j on j.variant = e.variant""")
 def k13(spark, sf):
-    return sensitivity(build(spark, sf))
+    e, _, best = frontier(spark, sf)
+    return sensitivity(e.chain, best)
 
 
-def sensitivity(a: Assortment) -> DataFrame:
+def sensitivity(a: Assortment, size) -> DataFrame:
+    """Every variant plans `size` products and orders inside its own band around factor x the nominal order."""
     prices = so.nearest_price(grid_of(a))
     shares = so.share_scenarios(a.daily, a.cand, a.target, sc.SCENARIOS, weights=[0.25, 0.5, 0.75])
     table = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(r).alias("risk"), F.lit(e).alias("scale"), F.lit(h).alias("h"),
@@ -470,17 +508,22 @@ def sensitivity(a: Assortment) -> DataFrame:
         "cost", F.col("predicted_cost") * F.exp("u")), "variant_demand")
     means = demand.groupBy("variant", "risk", "factor", SKU, "loss_rate").agg(F.avg("demand").alias("mean_demand"))
     place = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc(fixed("mean_demand")), SKU))
-    plan = stage(means.withColumn("place", place).where(F.col("place") <= FINAL).select(
-        "variant", SKU, (F.col("factor") * F.col("mean_demand") / (1 - F.col("loss_rate"))).alias("order_qty")), "variant_plan")
-    facts = so.plan_facts(demand.join(plan, ["variant", SKU]))
+    nominal = a.nominal_order.select("nominal").scalar()
+    picked = means.withColumn("place", place).where(F.col("place") <= size).select(
+        "variant", SKU, "factor", (F.col("mean_demand") / (1 - F.col("loss_rate"))).alias("base_order"), (nominal * F.col("factor")).alias("total"))
+    plan = stage(so.fill_band(picked, ["variant"]), "variant_plan")
+    facts = so.plan_facts(demand.join(plan.select("variant", SKU, "order_qty"), ["variant", SKU]))
     outcomes = so.scenario_outcomes(facts, a.category_demand.select("scenario", CAT, "category_demand"), ["variant", "risk"])
     scored = so.evaluate(outcomes, ["variant", "risk"], F.col("risk"))
     base = plan.where(F.col("variant") == "baseline").select(SKU)
     copies = base.withColumn("variant", F.explode(F.array(*[F.lit(v[0]) for v in VARIANTS])))
     overlap = network.set_overlap(plan, copies, [SKU], ["variant"])
-    return scored.join(overlap.select("variant", "jaccard"), "variant").select(
+    orders = plan.groupBy("variant").agg(F.sum("order_qty").alias("total_order"), F.first("total").alias("total"))
+    orders = orders.withColumns({"band_low": F.col("total") * (1 - so.BAND), "band_high": F.col("total") * (1 + so.BAND)})
+    return scored.join(overlap.select("variant", "jaccard"), "variant").join(orders, "variant").select(
         "variant", fixed("service_loss", 5).alias("service_loss"), *fixed_cols("expected_profit", "lower_tail", "risk_adjusted", digits=3),
-        fixed("jaccard", 5).alias("jaccard"))
+        fixed("jaccard", 5).alias("jaccard"), *fixed_cols("total_order", "band_low", "band_high", digits=4),
+        F.col("total_order").between(F.col("band_low"), F.col("band_high")).alias("inside"))
 
 
 part("reps", """
@@ -497,7 +540,7 @@ def w15(spark, sf):
 
 part("folds6", f"""
     select scenario, profit, service_loss, cast(i // 100 + 1 as bigint) as fold
-    from (select *, row_number() over (order by scenario) - 1 as i from k_outcomes where k = {FINAL})""")
+    from (select *, row_number() over (order by scenario) - 1 as i from k_outcomes where k = {SIZE_SQL})""")
 
 
 @query("w14_scenario_folds", f"""
@@ -505,7 +548,7 @@ part("folds6", f"""
       {fx('avg(case when rn <= ceil(0.1 * n) then profit end)', 3)} as lower_tail
     from (select *, row_number() over (partition by fold order by profit) as rn, count(*) over (partition by fold) as n from folds6) group by 1""")
 def w14(spark, sf):
-    folded = so.contiguous_folds(evaluated(spark, sf, [FINAL]).outcomes, "scenario")
+    folded = so.contiguous_folds(final(spark, sf).outcomes, "scenario")
     return so.evaluate(folded, ["fold"]).join(folded.groupBy("fold").agg(F.count(F.lit(1)).alias("scenario_count")), "fold").select(
         "fold", "scenario_count", fixed(1 - F.col("service_loss"), 5).alias("satisfaction"),
         *fixed_cols("expected_profit", "lower_tail", digits=3))
@@ -514,11 +557,11 @@ def w14(spark, sf):
 @query("k14_generalization", f"""
     select {fx('f.l', 5)} as full_loss, {fx('r.l', 5)} as representative_loss, {fx('abs(f.l - r.l)', 5)} as gap, abs(f.l - r.l) <= 0.03 as gap_passed,
       {fx('s.sd', 5)} as fold_std, s.sd <= 0.05 as fold_passed
-    from (select avg(service_loss) as l from k_outcomes where k = {FINAL}) f,
-      (select avg(service_loss) as l from k_outcomes where k = {FINAL} and scenario in (select scenario from reps)) r,
+    from (select avg(service_loss) as l from k_outcomes where k = {SIZE_SQL}) f,
+      (select avg(service_loss) as l from k_outcomes where k = {SIZE_SQL} and scenario in (select scenario from reps)) r,
       (select stddev_samp(m) as sd from (select fold, 1 - avg(service_loss) as m from folds6 group by 1)) s""")
 def k14(spark, sf):
-    e = evaluated(spark, sf, [FINAL])
+    e = final(spark, sf)
     chosen = so.representatives(e.chain.category_demand, 60).withColumn("_rep", F.lit(True))
     base = so.contiguous_folds(e.outcomes, "scenario").join(chosen.select("scenario", "_rep"), "scenario", "left")
     folds = base.groupBy("fold").agg(F.avg("service_loss").alias("m"))
@@ -533,9 +576,9 @@ def k14(spark, sf):
       {fx('avg(demand)', 4)} as expected_demand, {fx('avg(sales)', 4)} as expected_sales, {fx('avg(profit)', 4)} as expected_profit,
       {fx('avg(case when rn <= ceil(0.1 * n) then profit end)', 4)} as lower_tail,
       {fx('avg(case when demand > order_qty * (1 - loss_rate) + 1e-9 then 1.0 else 0.0 end)', 4)} as stockout_probability
-    from (select *, row_number() over (partition by sku_code order by profit) as rn, count(*) over (partition by sku_code) as n from k_facts where k = {FINAL}) group by 1""")
+    from (select *, row_number() over (partition by sku_code order by profit) as rn, count(*) over (partition by sku_code) as n from k_facts where k = {SIZE_SQL}) group by 1""")
 def k15(spark, sf):
-    facts = evaluated(spark, sf, [FINAL]).facts
+    facts = final(spark, sf).facts
     names = ["price", "order_qty", "expected_demand", "expected_sales", "expected_profit", "lower_tail", "stockout_probability"]
     return facts.groupBy(SKU).agg(
         F.first(CAT).alias(CAT), F.first("price").alias("price"), F.first("order_qty").alias("order_qty"),
@@ -565,9 +608,9 @@ def p13(spark, sf):
       {fx('1 - avg(greatest(0, d.category_demand - coalesce(f.sales, 0)) / greatest(d.category_demand, 1e-9))', 5)} as satisfaction,
       {fx('coalesce(max(f.orders), 0)', 4)} as order_qty, {fx('avg(coalesce(f.profit, 0))', 4)} as expected_profit
     from cat_dem d left join (select scenario, category_name, count(*) as n, sum(sales) as sales, sum(order_qty) as orders, sum(profit) as profit
-      from k_facts where k = {FINAL} group by 1, 2) f on f.scenario = d.scenario and f.category_name = d.category_name group by 1""")
+      from k_facts where k = {SIZE_SQL} group by 1, 2) f on f.scenario = d.scenario and f.category_name = d.category_name group by 1""")
 def a13(spark, sf):
-    e = evaluated(spark, sf, [FINAL])
+    e = final(spark, sf)
     per = e.facts.groupBy("scenario", CAT).agg(F.count(F.lit(1)).alias("n"), F.sum("sales").alias("sales"),
                                                F.sum("order_qty").alias("orders"), F.sum("profit").alias("profit"))
     full = e.chain.category_demand.join(per, ["scenario", CAT], "left").na.fill(0)

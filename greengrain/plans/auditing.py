@@ -79,12 +79,12 @@ def q01(spark, sf):
     levels = forecasts.select("actual", cp.to_level(F.col("model")).alias("forecast"))
     scored = item_scores(spark, sf)
     sweep = sc.grid_plan(m.drawn, m.model, m.bounds, goodwill=[0.0, 0.05, 0.10, 0.20]).groupBy("goodwill_ratio").agg(F.sum("order_qty").alias("q"))
-    variants = stage(ap.sensitivity(a), "variants")
-    outcomes = ap.evaluated(spark, sf, [ap.FINAL], a).outcomes
+    e, _, best = ap.frontier(spark, sf, a)
+    variants = stage(ap.sensitivity(a, best), "variants")
+    outcomes = e.outcomes.where(F.col("k") == best)
     fits = fitting.d04(spark, sf).where("best_distribution <> 'insufficient'")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    half = F.lit(1.96) / F.sqrt("n_days")
-    clear = pairs.strength(F.col("r"), F.col("r") - half, F.col("r") + half) == "clear"
+    clear = pairs.strength("r", "ci_lower", "ci_upper") == "clear"
     active = a.daily.groupBy("sku_code").agg(F.count_if(F.col("gross_sales_qty") > 0).alias("d"))
     covered = a.cand.select("sku_code").join(active, "sku_code", "left")
     w = F.sum(F.abs(F.col("actual") - F.col("forecast"))) / F.sum("actual")

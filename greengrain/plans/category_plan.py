@@ -112,8 +112,7 @@ def e04(spark, sf):
 def response_hats(spark, sf):
     base = el.features(prepared(spark, sf))
     folded = el.folds(base, el.RESPONSE_FEATURES + ["logq", "logp"])
-    names = [r[0] for r in base.select(CAT).distinct().orderBy(CAT).toLocalIterator()]
-    return learners.crossfit(folded, el.RESPONSE_FEATURES, ["logq", "logp"], names)
+    return learners.crossfit(folded, el.RESPONSE_FEATURES, ["logq", "logp"])
 
 
 part("resid", """
@@ -200,20 +199,68 @@ def e08(spark, sf):
         CAT, day(), *fixed_cols("alpha", "alpha_lag7", "demand_residual", "cost_residual", digits=5))
 
 
+def forecast_state(spark, sf):
+    """Model features with the price-free demand state."""
+    prep = prepared(spark, sf)
+    return stage(el.demand_state(el.features(prep), stage(estimate_theta(prep), "theta")), "state")
+
+
+def cost_level(logw):
+    return F.exp(logw)
+
+
+def out_of_fold(state):
+    """Out-of-fold forecasts of demand state and log cost next to the naive ones, with the blend weight of each category.
+
+    Demand: (category, date, actual, model, naive, price_part, blend_weight); cost the same without the price part.
+    """
+    demand = learners.crossfit(el.folds(state, [*el.DEMAND_FEATURES, "alpha", "alpha_lag7", "logp", "logq"]), el.DEMAND_FEATURES, ["alpha"])
+    known = state.select(CAT, "date", F.expm1("logq").alias("actual"), F.col("alpha_lag7").alias("naive"),
+                         (F.col("logp") * F.col("elasticity_used")).alias("price_part"))
+    demand = stage(demand.join(known, [CAT, "date"]).withColumnRenamed("alpha_hat", "model"), "demand_folds")
+    cost = learners.crossfit(el.folds(state, [*el.COST_FEATURES, "logw", "logw_lag7"]), el.COST_FEATURES, ["logw"])
+    known = state.select(CAT, "date", F.exp("logw").alias("actual"), F.col("logw_lag7").alias("naive"))
+    cost = stage(cost.join(known, [CAT, "date"]).withColumnRenamed("logw_hat", "model"), "cost_folds")
+    return (demand.join(el.blend_weight(demand, "actual", "model", "naive", to_level).select(CAT, "blend_weight"), CAT),
+            cost.join(el.blend_weight(cost, "actual", "model", "naive", cost_level).select(CAT, "blend_weight"), CAT))
+
+
+def blend(weight, model, naive):
+    return F.col(weight) * F.col(model) + (1 - F.col(weight)) * F.col(naive)
+
+
 @query("e09_forecasts")
 def e09(spark, sf):
-    prep = prepared(spark, sf)
-    theta = stage(estimate_theta(prep), "theta")
-    state = stage(el.demand_state(el.features(prep), theta), "state")
-    names = [r[0] for r in theta.select(CAT).orderBy(CAT).toLocalIterator()]
-    future = state.where(~F.col("is_history"))
-    history = state.where(F.col("is_history"))
-    alpha = learners.fit_predict(history, future, el.DEMAND_FEATURES, "alpha", names)
-    cost = learners.fit_predict(history, future, el.COST_FEATURES, "logw", names)
-    out = future.join(alpha, [CAT, "date"]).join(cost, [CAT, "date"])
-    half = lambda a, b: 0.5 * F.col(a) + 0.5 * F.col(b)
-    return out.select(CAT, day(), fixed(half("alpha_hat", "alpha_lag7")).alias("alpha_forecast"),
-                      fixed(F.exp(half("logw_hat", "logw_lag7"))).alias("cost_forecast"))
+    """Seven days ahead: fits on all history, blended by the weights that were best out of fold."""
+    state = forecast_state(spark, sf)
+    weights = [df.select(CAT, F.col("blend_weight").alias(name)).distinct() for df, name in zip(out_of_fold(state), ("demand_weight", "cost_weight"))]
+    future, history = state.where(~F.col("is_history")), state.where(F.col("is_history"))
+    alpha = learners.fit_predict(history, future, el.DEMAND_FEATURES, "alpha")
+    cost = learners.fit_predict(history, future, el.COST_FEATURES, "logw")
+    out = future.join(alpha, [CAT, "date"]).join(cost, [CAT, "date"]).join(weights[0], CAT).join(weights[1], CAT)
+    return out.select(CAT, day(), fixed(blend("demand_weight", "alpha_hat", "alpha_lag7")).alias("alpha_forecast"),
+                      fixed(F.exp(blend("cost_weight", "logw_hat", "logw_lag7"))).alias("cost_forecast"), "demand_weight", "cost_weight")
+
+
+@query("e11_blend_accuracy")
+def e11_blend(spark, sf):
+    """Accuracy of the blended demand and cost forecasts out of fold, per category and over all."""
+    demand, cost = out_of_fold(forecast_state(spark, sf))
+    out = None
+    for name, rows, level in (("demand", demand, to_level), ("cost", cost, cost_level)):
+        seen = rows.select(CAT, "actual", level(blend("blend_weight", "model", "naive")).alias("forecast"), level(F.col("naive")).alias("naive"))
+        one = el.with_overall(el.accuracy(seen, "actual", "forecast", "naive")).withColumn("series", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("series", CAT, "n", *fixed_cols("wape", "rmse", "r2", "naive_wape"))
+
+
+@query("z01_blend_residuals")
+def z01_blend(spark, sf):
+    """The joint pool of the blend's out-of-fold residuals: winsorized and centered, days that all categories have."""
+    demand, cost = out_of_fold(forecast_state(spark, sf))
+    logq = demand.select(CAT, "date", (F.col("alpha") - blend("blend_weight", "model", "naive")).alias("demand_residual"))
+    logw = cost.select(CAT, "date", (F.col("logw") - blend("blend_weight", "model", "naive")).alias("cost_residual"))
+    return sc.residual_pool(logq.join(logw, [CAT, "date"])).select(CAT, day(), *fixed_cols("e", "u"))
 
 
 part("two_forecasts", """
@@ -234,7 +281,7 @@ def two_forecasts(spark, sf):
                         F.col("alpha_lag7").alias("naive"))
 
 
-SQL_LEVEL = "greatest(0, exp(least(greatest({0}, -700), 700)) - 1)"
+SQL_LEVEL = "case when ({0}) is not null then greatest(0, exp(least(greatest({0}, -700), 700)) - 1) end"
 
 
 def to_level(alpha):
@@ -259,11 +306,14 @@ part("levels", f"""
 @query("e11_accuracy", f"""
     select category_name, count(*) as n, {fx('sum(abs(actual - forecast)) / sum(abs(actual))')} as wape,
       {fx('sqrt(avg(pow(actual - forecast, 2)))')} as rmse, {fx('1 - sum(pow(actual - forecast, 2)) / (count(*) * var_pop(actual))')} as r2,
-      {fx('sum(abs(actual - naive)) / sum(abs(actual))')} as naive_wape from levels group by 1""")
+      {fx('sum(abs(actual - naive)) / sum(abs(actual))')} as naive_wape from levels group by 1
+    union all select 'overall', cast(sum(n) as bigint), {fx('sum(wape * n) / sum(n)')}, {fx('sqrt(sum(mse * n) / sum(n))')}, null, {fx('sum(naive_wape * n) / sum(n)')}
+    from (select category_name, count(*) as n, sum(abs(actual - forecast)) / sum(abs(actual)) as wape, avg(pow(actual - forecast, 2)) as mse,
+            sum(abs(actual - naive)) / sum(abs(actual)) as naive_wape from levels group by 1)""")
 def e11(spark, sf):
     rows = two_forecasts(spark, sf).where(F.col("model").isNotNull() & F.col("naive").isNotNull()).select(
         CAT, "actual", to_level(F.col("model")).alias("forecast"), to_level(F.col("naive")).alias("naive"))
-    return el.accuracy(rows, "actual", "forecast", "naive").select(
+    return el.with_overall(el.accuracy(rows, "actual", "forecast", "naive")).select(
         CAT, "n", *fixed_cols("wape", "rmse", "r2", "naive_wape"))
 
 

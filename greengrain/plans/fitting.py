@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from greengrain.functions.exprs import fixed
 from greengrain.functions.staging import stage
-from greengrain.operators import calendar, clusters, distributions, profile
+from greengrain.operators import calendar, clusters, distributions, kmeans, profile
 from greengrain.plans.profiling import FEATURES, QTY, fixed_cols, fx_cols
 from greengrain.plans.registry import fx, part, query
 from greengrain.sources import tables
@@ -68,11 +68,28 @@ def c06(spark, sf):
     return clusters.seasonal_label(monthly(spark, sf), "sku_code")
 
 
+# Numbers of clusters, starts per fit and replicates of the year bootstrap.
+CLUSTER_SIZES, STARTS, YEAR_DRAWS, CLUSTERS = list(range(2, 9)), 100, 100, 5
+
+
+def numbered(spark, sizes):
+    """(grp, k) of groups 0.. with the given numbers of clusters."""
+    return spark.createDataFrame(list(enumerate(sizes)), "grp int, k int")
+
+
+def fitted(features, sizes, starts=STARTS):
+    """Blocks and final state of k-means for every (grp, k)."""
+    blocks = kmeans.blocks_of(features, "sku_code", FEATURES, sizes)
+    return blocks, kmeans.fit(blocks, starts)
+
+
 @query("c02_kmeans_by_size")
 def c02(spark, sf):
     features = stage(profile.cluster_features(monthly(spark, sf), "sku_code"), "features")
-    rows = [(k, float(clusters.kmeans(features, "sku_code", FEATURES, k, [1, 2])[1])) for k in range(2, 9)]
-    return spark.createDataFrame(rows, "k int, cost double").select("k", *fixed_cols("cost"))
+    groups = numbered(spark, CLUSTER_SIZES)
+    each = features.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(len(CLUSTER_SIZES) - 1))))
+    _, state = fitted(each, groups)
+    return kmeans.best_start(state, STARTS).select("k", *fixed_cols("cost"))
 
 
 part("labels_s", f"""
@@ -116,23 +133,25 @@ def c04(spark, sf):
 
 @query("c04_year_bootstrap")
 def c04_boot(spark, sf):
+    """Replicates 0.. of the year bootstrap against the labels of all years, all in the same jobs."""
     daily = tables.product_day(spark, sf)
     totals = stage(profile.month_totals(daily, "sku_code", QTY), "month_totals")
-    base = profile.cluster_features(profile.monthly_profile(daily, "sku_code", QTY), "sku_code")
-    labels = stage(clusters.kmeans(base, "sku_code", FEATURES, 5, [1])[0], "labels")
-    out = None
-    for rep in range(3):
-        again = profile.cluster_features(clusters.year_sample(totals, "sku_code", rep), "sku_code")
-        found = clusters.kmeans(again, "sku_code", FEATURES, 5, [rep + 1])[0].withColumnRenamed("cluster_id", "other")
-        row = clusters.rand_index(labels, found, "sku_code", "cluster_id", "other").withColumn("rep", F.lit(rep))
-        out = row if out is None else out.unionByName(row)
-    return out.select("rep", *fixed_cols("ari"))
+    base = profile.cluster_features(monthly(spark, sf), "sku_code").withColumn("grp", F.lit(YEAR_DRAWS))
+    again = profile.cluster_features(clusters.year_samples(totals, "sku_code", YEAR_DRAWS), "sku_code", ["grp"])
+    blocks, state = fitted(stage(again.unionByName(base), "features"), numbered(spark, [CLUSTERS] * (YEAR_DRAWS + 1)))
+    found = stage(kmeans.labels(blocks, kmeans.best_start(state, STARTS), "sku_code"), "labels")
+    whole = F.col("grp") == YEAR_DRAWS
+    rows = clusters.rand_index(found.where(whole), found.where(~whole), "sku_code", "cluster_id", "cluster_id", ["grp"])
+    return rows.select(F.col("grp").alias("rep"), *fixed_cols("ari"))
 
 
 @query("c05_balanced_clusters")
 def c05(spark, sf):
-    features = stage(profile.cluster_features(monthly(spark, sf), "sku_code"), "features")
-    return clusters.balanced_kmeans(features, "sku_code", FEATURES, 5, [1, 2, 3])
+    features = profile.cluster_features(monthly(spark, sf), "sku_code").withColumn("grp", F.lit(0))
+    blocks, state = fitted(stage(features, "features"), numbered(spark, [CLUSTERS]))
+    best = kmeans.best_start(state, STARTS, min_size=5)
+    return kmeans.labels(blocks, best, "sku_code").join(best.select("grp", "smallest"), "grp").select(
+        "sku_code", "cluster_id", F.col("smallest").alias("smallest_cluster"))
 
 
 SHARES = [f"{s}_share" for s in ("spring", "summer", "autumn", "winter")] + [f"share_month_{m}" for m in range(1, 13)]

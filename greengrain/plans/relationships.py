@@ -27,13 +27,14 @@ def shares(spark, sf, level):
     return calendar.daily_share(dense(spark, sf, level), QTY).withColumn("x", F.col("share"))
 
 
-def period_pairs(df, entity, value="x"):
+def period_ranks(df, entity, value="x", **how):
+    """Rank correlations of all pairs in the whole range and in each season."""
     series = pairs.packed(pairs.by_period(df), [entity, "period"], value)
-    return pairs.entity_pairs(series, entity, within=["period"])
+    return pairs.rank_correlation(series, entity, ["period"], **how)
 
 
-def whole_pairs(df, entity, value="x"):
-    return pairs.entity_pairs(pairs.packed(df, [entity], value), entity)
+def whole_ranks(df, entity, value="x", **how):
+    return pairs.rank_correlation(pairs.packed(df, [entity], value), entity, **how)
 
 
 def pair_scores(found):
@@ -104,23 +105,18 @@ def r01(spark, sf):
 
 @query("r02_detrended_spearman", f"select source, target, period, n_days, {fx('r')} as r from item_spearman")
 def r02(spark, sf):
-    found = pairs.rank_correlation(period_pairs(detrended(spark, sf, "item_name"), "item_name"),
-                                   ["source", "target", "period"])
-    return pair_scores(found)
+    return pair_scores(period_ranks(detrended(spark, sf, "item_name"), "item_name"))
 
 
 @query("r02_student_p")
 def r02_p(spark, sf):
-    found = pairs.rank_correlation(period_pairs(detrended(spark, sf, "item_name"), "item_name"),
-                                   ["source", "target", "period"])
+    found = period_ranks(detrended(spark, sf, "item_name"), "item_name", p_values=True)
     return found.select("source", "target", "period", fixed("p_value").alias("p_value"))
 
 
 @query("r03_share_spearman", f"select source, target, period, n_days, {fx('r')} as r from item_share_spearman")
 def r03(spark, sf):
-    found = pairs.rank_correlation(period_pairs(shares(spark, sf, "item_name"), "item_name"),
-                                   ["source", "target", "period"])
-    return pair_scores(found)
+    return pair_scores(period_ranks(shares(spark, sf, "item_name"), "item_name"))
 
 
 part("product_overlap", """
@@ -142,31 +138,40 @@ def r04(spark, sf):
     return product_overlap(spark, sf).select("source", "target", "both_days", "either_days", *fixed_cols("jaccard"))
 
 
-part("cat_boot", """
-    with series as (select a.e as source, b.e as target, a.x, b.x as y,
-                      row_number() over (partition by a.e, b.e order by a.date) - 1 as i, count(*) over (partition by a.e, b.e) as n
-                    from cat_detr_p a join cat_detr_p b on a.date = b.date and a.e < b.e
-                    where a.period = 'all' and b.period = 'all'),
-    shape as (select max(n) as n, cast(ceil(max(n) / 7.0) as bigint) as blocks from series),
-    picked as (select rep, blk * 7 + o as pos, s + o as i from
-                 (select rep, blk, ('0x' || substr(md5('20230907:' || rep || ':' || blk), 1, 8))::bigint % (n - 6) as s, n
+def boot_sql(source: str, found: str, gate: float) -> str:
+    """Bootstrap intervals over the whole range of the pairs in `found` with |r| >= gate, and the share of draws with the sign of r."""
+    return f"""
+    with use as (select source, target, r as whole from {found} where period = 'all' and abs(r) >= {gate}),
+    series as (select u.source, u.target, a.x, b.x as y,
+                      row_number() over (partition by u.source, u.target order by a.date) - 1 as i, count(*) over (partition by u.source, u.target) as n
+                    from use u join {source} a on a.e = u.source and a.period = 'all' join {source} b on b.e = u.target and b.period = 'all' and b.date = a.date
+                    where a.x is not null and b.x is not null),
+    shape as (select distinct n, cast(ceil(n / 7.0) as bigint) as blocks from series),
+    picked as (select n, rep, blk * 7 + o as pos, s + o as i from
+                 (select rep, blk, n, ('0x' || substr(md5('20230907:' || rep || ':' || blk), 1, 8))::bigint % (n - 6) as s
                   from (select unnest(range(0, 200)) as rep), (select unnest(range(0, blocks)) as blk, n from shape))
                  , (select unnest(range(0, 7)) as o) where blk * 7 + o < n),
-    drawn as (select source, target, rep, x, y from picked join series using (i)),
+    drawn as (select source, target, rep, x, y from picked join series using (n, i)),
     ranked as (select source, target, rep,
         rank() over (partition by source, target, rep order by x) + (count(*) over (partition by source, target, rep, x) - 1) / 2.0 as rx,
         rank() over (partition by source, target, rep order by y) + (count(*) over (partition by source, target, rep, y) - 1) / 2.0 as ry
         from drawn),
     reps as (select source, target, rep, coalesce(corr(rx, ry), 0) as r from ranked group by 1, 2, 3)
-    select source, target, quantile_cont(r, 0.025) as ci_lower, quantile_cont(r, 0.975) as ci_upper from reps group by 1, 2""")
+    select source, target, quantile_cont(r, 0.025) as ci_lower, quantile_cont(r, 0.975) as ci_upper,
+      avg(case when sign(r) = sign(whole) then 1.0 else 0.0 end) as same_sign from reps join use using (source, target) group by 1, 2"""
+
+
+STRENGTH_SQL = """case when abs(r) >= 0.30 and coalesce(ci_lower > 0 or ci_upper < 0, false) then 'clear'
+        when abs(r) >= 0.15 and abs(r) < 0.30 then 'weak' else 'retained' end"""
+part("cat_boot", boot_sql("cat_detr_p", "cat_spearman", 0))
+part("item_boot", boot_sql("item_detr_p", "item_spearman", 0.30))
 
 
 @query("r05_block_bootstrap", f"""
     select b.source, b.target, {fx('s.r')} as r, {fx_cols('ci_lower', 'ci_upper')}
     from cat_boot b join cat_spearman s on s.source = b.source and s.target = b.target and s.period = 'all'""")
 def r05(spark, sf):
-    found = pairs.bootstrap_interval(whole_pairs(detrended(spark, sf, "category_name"), "category_name"),
-                                     ["source", "target"], min_abs_r=None)
+    found = whole_ranks(detrended(spark, sf, "category_name"), "category_name", interval={"min_abs_r": None})
     return found.select("source", "target", *fixed_cols("r", "ci_lower", "ci_upper"))
 
 
@@ -204,10 +209,19 @@ part("item_q", """
 
 
 def item_scores(spark, sf):
-    found = pairs.rank_correlation(period_pairs(detrended(spark, sf, "item_name"), "item_name"),
-                                   ["source", "target", "period"])
-    # the pair scores cost a pass over all series; the ordering steps read them several times
-    return stage(found.withColumn("p_normal", correlation_p("r", "n_days")), "item_scores")
+    """Scores of item pairs per period; pairs strong over the whole range have a bootstrap interval there."""
+    series = pairs.packed(pairs.by_period(detrended(spark, sf, "item_name")), ["item_name", "period"], "x")
+    return stage(with_whole_interval(series, "item_name").withColumn("p_normal", correlation_p("r", "n_days")), "item_scores")
+
+
+def with_whole_interval(series, entity, within=(), **how):
+    """Rank correlations per period; the interval is drawn for the whole range alone."""
+    series = stage(series, "series")
+    whole = F.col("period") == pairs.WHOLE
+    keys = [*within, "period"]
+    strong = pairs.rank_correlation(series.where(whole), entity, keys, interval={"min_abs_r": 0.30}, **how)
+    rest = pairs.rank_correlation(series.where(~whole), entity, keys, **how)
+    return strong.unionByName(rest, allowMissingColumns=True)
 
 
 @query("w11_fdr", f"select source, target, period, {fx_cols('p_value', 'q_value', digits=5)} from item_q")
@@ -216,48 +230,11 @@ def w11(spark, sf):
     return pairs.fdr(scored, ["period"]).select("source", "target", "period", *fixed_cols("p_value", "q_value", digits=5))
 
 
-@query("p11_strength", """
-    select source, target, period, case when abs(r) >= 0.30 and not (lo <= 0 and hi >= 0) then 'clear'
-        when abs(r) >= 0.15 and abs(r) < 0.30 then 'weak' else 'retained' end as strength
-    from (select *, r - 1.96 / sqrt(n_days) as lo, r + 1.96 / sqrt(n_days) as hi from item_spearman)""")
+@query("p11_strength", f"""
+    select source, target, period, {STRENGTH_SQL} as strength
+    from item_spearman s left join (select 'all' as period, * from item_boot) using (source, target, period)""")
 def p11(spark, sf):
-    half = F.lit(1.96) / F.sqrt("n_days")
-    return item_scores(spark, sf).select("source", "target", "period", pairs.strength(
-        F.col("r"), F.col("r") - half, F.col("r") + half).alias("strength"))
-
-
-def relation_table(daily, entity, level, monthly):
-    """All four indicators of one level in long form, with q values and strength labels."""
-    keys = ["source", "target", "period"]
-    trend = daily.withColumn("x", fixed(calendar.month_demeaned_log(QTY, entity), 9))
-    share = calendar.daily_share(daily, QTY).withColumn("x", F.col("share"))
-    blocks = []
-    for name, frame in (("sales", trend), ("share", share)):
-        paired = stage(period_pairs(frame, entity), "pairs")
-        scored = pairs.fdr(pairs.rank_correlation(paired, keys), ["period"])
-        interval = pairs.bootstrap_interval(paired, keys).drop("r")
-        blocks.append(scored.join(interval, keys).select(
-            *keys, F.lit(name).alias("indicator"), F.col("r").alias("value"), "ci_lower", "ci_upper",
-            "p_value", "q_value", pairs.strength("r", "ci_lower", "ci_upper").alias("strength")))
-    empty = F.lit(None).cast("double")
-    plain = lambda df, name, value: df.select(
-        "source", "target", F.lit(pairs.WHOLE).alias("period"), F.lit(name).alias("indicator"),
-        F.col(value).alias("value"), empty.alias("ci_lower"), empty.alias("ci_upper"), empty.alias("p_value"),
-        empty.alias("q_value"), F.lit(None).cast("string").alias("strength"))
-    blocks.append(plain(pairs.index_correlation(monthly, entity), "seasonal_index", "r"))
-    blocks.append(plain(pairs.active_overlap(pairs.packed(daily, [entity], QTY), entity), "active_days", "jaccard"))
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out.withColumn("level", F.lit(level))
-
-
-@query("r06_relationship_table")
-def r06(spark, sf):
-    daily = stage(dense(spark, sf, "category_name"), "category_dense")
-    out = relation_table(daily, "category_name", "category", profile.monthly_profile(daily, "category_name", QTY))
-    return out.select("level", "source", "target", "period", "indicator", "strength",
-                      *fixed_cols("value", "ci_lower", "ci_upper", "p_value", "q_value"))
+    return item_scores(spark, sf).select("source", "target", "period", pairs.strength("r", "ci_lower", "ci_upper").alias("strength"))
 
 
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -271,7 +248,7 @@ CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     group by row""")
 def r07(spark, sf):
     daily = detrended(spark, sf, "category_name")
-    found = pairs.rank_correlation(whole_pairs(daily, "category_name"), ["source", "target"])
+    found = whole_ranks(daily, "category_name")
     names = tables.read(spark, sf, "part").select(F.col("p_type").alias("category_name")).distinct()
     wide = pairs.symmetric_matrix(found, "r", names, "category_name", CATEGORIES)
     return wide.select("row", *[fixed(c).alias(c.lower()) for c in CATEGORIES])
@@ -289,7 +266,7 @@ part("item_resid_spearman", spearman_sql("item_resid_p"))
 def r08(spark, sf):
     base = dense(spark, sf, "item_name").withColumn("logq", log_qty(QTY))
     split = calendar.decompose(base, "item_name", "logq").withColumn("residual", fixed("residual", 9))
-    one = lambda v, name: pairs.rank_correlation(whole_pairs(split, "item_name", v), ["source", "target"]).select(
+    one = lambda v, name: whole_ranks(split, "item_name", v).select(
         "source", "target", fixed("r").alias(name))
     return one(QTY, "r_raw").join(one("residual", "r_residual"), ["source", "target"])
 
@@ -379,7 +356,7 @@ def r11(spark, sf):
     both = pairs.entity_pairs(series, "category_name")
     keys = ["source", "target"]
     scored = pairs.information_scores(both, keys).join(
-        pairs.rank_correlation(both, keys).select(*keys, F.col("r").alias("weight")), keys)
+        pairs.rank_correlation(series, "category_name").select(*keys, F.col("r").alias("weight")), keys)
     cut = null_scores(spark, sf, series).select(F.percentile("score", F.lit(0.99))).scalar()
     out = network.edge_table(scored, "weight", F.col("score") >= cut)
     return out.select(*keys, *fixed_cols("score", "weight"), "is_candidate", "is_edge", "association_type")
@@ -395,7 +372,7 @@ part("item_edges", "select source, target, r from item_all where abs(r) >= (sele
 
 def item_pairs(spark, sf):
     daily = detrended(spark, sf, "item_name")
-    return stage(pairs.rank_correlation(whole_pairs(daily, "item_name"), ["source", "target"]), "item_pairs")
+    return stage(whole_ranks(daily, "item_name"), "item_pairs")
 
 
 def item_names(spark, sf):
@@ -436,16 +413,33 @@ def r13(spark, sf):
         F.array_join(F.array_sort(F.collect_list("item_name")), ",").alias("members"))
 
 
+# Cuts of the null scores and of the stability; the main one is the second of each.
+NULL_CUTS, STABLE_CUTS = (0.975, 0.99, 0.995), (0.60, 0.70, 0.80)
+part("cat_resid_boot", boot_sql("cat_resid_p", "cat_resid_spearman", 0))
+part("cat_cuts", "select " + ", ".join(f"quantile_cont(score, {c}) as q{i}" for i, c in enumerate(NULL_CUTS)) + " from cat_null_mic")
+
+
 @query("r14_threshold_sensitivity", f"""
-    select c.cutoff, count_if(abs(r) >= c.cut) as edge_count,
-      {fx('''case when count_if(abs(r) >= c.cut or abs(r) >= 0.03) = 0 then 1.0
-        else count_if(abs(r) >= c.cut and abs(r) >= 0.03) / cast(count_if(abs(r) >= c.cut or abs(r) >= 0.03) as double) end''')} as jaccard
-    from item_all cross join (values ('0.01', 0.01), ('0.02', 0.02), ('0.03', 0.03), ('0.05', 0.05), ('0.90', 0.90)) c(cutoff, cut)
-    group by c.cutoff""")
+    with e as (select score, same_sign, abs(r) > 0.000001 as linked from cat_mic join cat_resid_spearman using (source, target) join cat_resid_boot using (source, target)),
+    o as ({" union all ".join(
+        [f"select 'null_quantile' as parameter, '{c}' as value, q{i} as threshold, q{i} as cut, {STABLE_CUTS[1]} as stable, q1 from cat_cuts" for i, c in enumerate(NULL_CUTS)]
+        + [f"select 'stability', '{c:.2f}', {c}, q1, {c}, q1 from cat_cuts" for c in STABLE_CUTS])}),
+    m as (select o.*, linked and score >= cut and same_sign >= stable as chosen, linked and score >= q1 and same_sign >= {STABLE_CUTS[1]} as base from e cross join o)
+    select parameter, value, {fx('any_value(threshold)')} as threshold, count_if(chosen) as edge_count,
+      {fx('case when count_if(chosen or base) = 0 then 1.0 else count_if(chosen and base) / cast(count_if(chosen or base) as double) end')} as jaccard
+    from m group by 1, 2""")
 def r14(spark, sf):
-    cuts = {"0.01": 0.01, "0.02": 0.02, "0.03": 0.03, "0.05": 0.05, "0.90": 0.90}
-    out = network.overlap_by_cutoff(item_pairs(spark, sf), F.abs("r"), F.abs("r") >= 0.03, cuts)
-    return out.select("cutoff", "edge_count", *fixed_cols("jaccard"))
+    series = residual_series(spark, sf, "category_name")
+    keys = ["source", "target"]
+    weights = pairs.rank_correlation(series, "category_name", interval={"min_abs_r": None}).select(*keys, "r", "same_sign")
+    scored = stage(pairs.information_scores(pairs.entity_pairs(series, "category_name"), keys).join(weights, keys), "scored")
+    null = null_scores(spark, sf, series)
+    cuts = [null.select(F.percentile("score", F.lit(c))).scalar() for c in NULL_CUTS]
+    edges = lambda cut, stable: (F.abs("r") > 1e-6) & (F.col("score") >= cut) & (F.col("same_sign") >= stable)
+    options = [("null_quantile", str(c), cut, edges(cut, STABLE_CUTS[1])) for c, cut in zip(NULL_CUTS, cuts)]
+    options += [("stability", f"{c:.2f}", F.lit(c), edges(cuts[1], c)) for c in STABLE_CUTS]
+    return network.sensitivity(scored, edges(cuts[1], STABLE_CUTS[1]), options).select(
+        "parameter", "value", *fixed_cols("threshold"), "edge_count", *fixed_cols("jaccard"))
 
 
 part("item_raw_cut", f"select abs(r) as cut from item_raw_spearman order by abs(r) desc limit 1 offset {EDGES - 1}")
@@ -458,8 +452,7 @@ part("item_raw_cut", f"select abs(r) as cut from item_raw_spearman order by abs(
     full outer join (select 1 as b, source, target from item_edges) using (source, target)""")
 def r15(spark, sf):
     final = item_edges(item_pairs(spark, sf))
-    raw = stage(pairs.rank_correlation(whole_pairs(dense(spark, sf, "item_name"), "item_name", QTY),
-                                       ["source", "target"]), "raw_pairs")
+    raw = stage(whole_ranks(dense(spark, sf, "item_name"), "item_name", QTY), "raw_pairs")
     cut = network.kth_largest(raw, F.abs("r"), EDGES)
     baseline = raw.where(F.abs("r") >= cut)
     overlap = network.set_overlap(baseline, final, ["source", "target"])
@@ -468,14 +461,25 @@ def r15(spark, sf):
         final.select(F.count(F.lit(1))).scalar().alias("final_edges"), *fixed_cols("jaccard"))
 
 
-@query("t03_top_pairs_by_sign", f"""
-    select side, place, source, target, {fx('r')} as r
+part("item_top", """
+    select side, place, source, target, r, 'all' as period
     from (select *, case when r > 0 then 'positive' else 'negative' end as side,
             row_number() over (partition by r > 0 order by abs(r) desc, source, target) as place
           from item_all where r <> 0)
     where (side = 'positive' and place <= 7) or (side = 'negative' and place <= 3)""")
+part("item_top_boot", boot_sql("item_detr_p", "item_top", 0))
+
+
+@query("t03_top_pairs_by_sign", f"""
+    select side, place, source, target, {fx_cols('r', 'ci_lower', 'ci_upper')} from item_top join item_top_boot using (source, target)""")
 def t03(spark, sf):
-    return network.top_by_sign(item_pairs(spark, sf), "r").select("side", "place", "source", "target", *fixed_cols("r"))
+    series = stage(pairs.packed(detrended(spark, sf, "item_name"), ["item_name"], "x"), "series")
+    top = stage(network.top_by_sign(pairs.rank_correlation(series, "item_name"), "r"), "top_pairs")
+    # at most ten pairs: their intervals come from the cells of the items they name
+    named = top.select(F.explode(F.array("source", "target")).alias("item_name")).distinct()
+    found = pairs.rank_correlation(series.join(named, "item_name", "left_semi"), "item_name", interval={"min_abs_r": None})
+    return (top.join(found.select("source", "target", "ci_lower", "ci_upper"), ["source", "target"])
+            .select("side", "place", "source", "target", *fixed_cols("r", "ci_lower", "ci_upper")))
 
 
 @query("t04_equal_density_threshold", f"""
@@ -497,13 +501,11 @@ part("product_meta", "select distinct sku_code, category_name from product_day")
     from product_index_pairs p join product_meta a on a.sku_code = p.source join product_meta b on b.sku_code = p.target
     where a.category_name = b.category_name""")
 def j11(spark, sf):
-    meta = tables.product_day(spark, sf).select("sku_code", "category_name").distinct()
-    scored = product_index_pairs(spark, sf)
-    a = meta.select(F.col("sku_code").alias("source"), F.col("category_name").alias("group_name"))
-    b = meta.select(F.col("sku_code").alias("target"), F.col("category_name").alias("group_name"))
-    # joining the target on (key, group) filters to pairs inside one group
-    return scored.join(a, "source").join(b, ["target", "group_name"]).select(
-        F.lit("within_category").alias("level"), "group_name", "source", "target", *fixed_cols("r"))
+    daily = tables.product_day(spark, sf)
+    monthly = profile.monthly_profile(daily, "sku_code", QTY).join(
+        daily.select("sku_code", F.col("category_name").alias("group_name")).distinct(), "sku_code")
+    found = pairs.index_correlation(monthly, "sku_code", within=["group_name"])
+    return found.select(F.lit("within_category").alias("level"), "group_name", "source", "target", *fixed_cols("r"))
 
 
 part("product_edges", """
@@ -524,9 +526,8 @@ def a14(spark, sf):
     monthly = profile.monthly_profile(daily, "sku_code", QTY)
     top = pairs.index_correlation(monthly, "sku_code").where(F.abs("r") >= 0.5)
     span = calendar.span_calendar(daily, "sku_code", QTY)
-    overlap = pairs.active_overlap(pairs.packed(span, ["sku_code"], QTY), "sku_code")
-    named = (top.join(meta.select(F.col("sku_code").alias("source"), F.col("category_name").alias("source_category")), "source")
-             .join(meta.select(F.col("sku_code").alias("target"), F.col("category_name").alias("target_category")), "target")
-             .join(overlap, ["source", "target"]))
+    known = pairs.overlap_of(stage(top, "strong_pairs"), pairs.packed(span, ["sku_code"], QTY), "sku_code")
+    named = (known.join(meta.select(F.col("sku_code").alias("source"), F.col("category_name").alias("source_category")), "source")
+             .join(meta.select(F.col("sku_code").alias("target"), F.col("category_name").alias("target_category")), "target"))
     return network.category_edges(named, "r", "jaccard").select(
         "category_pair", "edge_count", "positive_edges", "negative_edges", *fixed_cols("mean_abs_weight", "mean_stability"))

@@ -6,8 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from greengrain.functions.exprs import fixed, markup
-from greengrain.functions.ordered import exact_quantiles
+from greengrain.functions.exprs import fixed, markup, ratio
 from greengrain.functions.staging import shared_folder, stage
 from greengrain.operators import network, profile
 from greengrain.plans import category_plan as cp
@@ -78,23 +77,31 @@ for name, src, entity, fn in (("sku", "sku_day", "sku_code", tables.sku_day), ("
 
 
 @query("s07_data_quality", f"""
-    with l as (select p_type, l_returnflag, l_extendedprice / l_quantity as price, l_discount from lineitem join part on l_partkey = p_partkey),
-    q as (select p_type, quantile_cont(price, 0.25) as q1, quantile_cont(price, 0.75) as q3 from l group by 1)
-    select l.p_type as category_name, count(*) as row_count, count_if(l_returnflag = 'R') as returns, count_if(price is null) as null_prices,
+    with l as (select coalesce(p_type, 'unknown') as category_name, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_returnflag, l_extendedprice / nullif(l_quantity, 0) as price
+               from lineitem left join part on l_partkey = p_partkey),
+    q as (select category_name, quantile_cont(price, 0.25) as q1, quantile_cont(price, 0.75) as q3 from l group by 1),
+    again as (select category_name, sum(k - 1)::bigint as duplicate_lines from (select category_name, count(*) as k from l
+        group by category_name, l_partkey, l_shipdate, l_quantity, price, l_returnflag having count(*) > 1) group by 1),
+    unsold as (select category_name, count(*) as zero_sale_cost_pairs from (select category_name, l_partkey, l_shipdate from l group by 1, 2, 3
+        having sum(case when l_returnflag <> 'R' then l_quantity else 0 end) = 0) group by 1)
+    select l.category_name, count(*) as row_count, count_if(l_returnflag = 'R') as returns, count_if(price is null) as null_prices,
       count_if(price <= 0.1) as low_prices, count_if(price < q1 - 1.5 * (q3 - q1) or price > q3 + 1.5 * (q3 - q1)) as outliers,
-      {fx('any_value(q1)')} as q1, {fx('any_value(q3)')} as q3
-    from l join q on q.p_type = l.p_type group by 1""")
+      {fx('any_value(q1)')} as q1, {fx('any_value(q3)')} as q3, coalesce(any_value(duplicate_lines), 0) as duplicate_lines,
+      coalesce(any_value(zero_sale_cost_pairs), 0) as zero_sale_cost_pairs
+    from l join q on q.category_name = l.category_name left join again on again.category_name = l.category_name
+    left join unsold on unsold.category_name = l.category_name group by 1""")
 def s07(spark, sf):
-    lines = tables.read(spark, sf, "lineitem").select("l_partkey", "l_returnflag", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    named = lines.join(tables.read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category_name")), "l_partkey")
-    limits = exact_quantiles(named, ["category_name"], "price", {"q1": 0.25, "q3": 0.75})
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    outside = (F.col("price") < F.col("q1") - reach) | (F.col("price") > F.col("q3") + reach)
-    return named.join(limits, "category_name").groupBy("category_name", "q1", "q3").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("l_returnflag") == "R").alias("returns"),
-        F.count_if(F.col("price").isNull()).alias("null_prices"), F.count_if(F.col("price") <= 0.1).alias("low_prices"),
-        F.count_if(outside).alias("outliers")).select(
-        "category_name", "row_count", "returns", "null_prices", "low_prices", "outliers", *fixed_cols("q1", "q3"))
+    return checks.ledger_quality(ledger_lines(spark, sf)).select(
+        "category_name", "row_count", "returns", "null_prices", "low_prices", "outliers", *fixed_cols("q1", "q3"), "duplicate_lines", "zero_sale_cost_pairs")
+
+
+def ledger_lines(spark, sf):
+    """Ledger lines with the category of their product, `unknown` where the product is not known."""
+    lines = tables.read(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("sku"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("quantity"),
+        (F.col("l_returnflag") == "R").alias("is_return"), ratio("l_extendedprice", "l_quantity").alias("price"))
+    parts = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("sku"), F.col("p_type").alias("category_name"))
+    return lines.join(parts, "sku", "left").na.fill({"category_name": "unknown"})
 
 
 @query("s08_scenario_supplement", f"""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from greengrain.functions.ordered import weighted_positions
+from greengrain.functions.staging import stage
+
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = sorted(set(names) - set(df.columns))
@@ -64,3 +67,28 @@ def monotone(df: DataFrame, order: str, value: str, keys: list[str] = (), fallin
     steps = df.withColumn("_wrong", wrong)
     agg = [F.count_if("_wrong").alias("wrong_steps"), F.count(F.lit(1)).alias("variants")]
     return (steps.groupBy(*keys).agg(*agg) if keys else steps.agg(*agg)).withColumn("passed", F.col("wrong_steps") == 0)
+
+
+def ledger_quality(lines: DataFrame) -> DataFrame:
+    """Per category: lines, returns, unknown and low prices, 1.5 IQR outliers, repeated lines, days with a cost but no sale.
+
+    Lines are counted by (category, price) first; quartiles and outliers come from those counts, and the quartiles
+    travel as one map, so no line is joined on its category.
+    """
+    priced = stage(lines.groupBy("category_name", "price").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_return").alias("returns")), "price_counts")
+    limits = weighted_positions(priced.where("price is not null"), ["category_name"], "price", "n", {"q1": 0.25, "q3": 0.75})
+    bounds = limits.agg(F.map_from_entries(F.collect_list(F.struct("category_name", F.struct("q1", "q3"))))).scalar()
+    q = bounds[F.col("category_name")]
+    reach = 1.5 * (q["q3"] - q["q1"])
+    outside = (F.col("price") < q["q1"] - reach) | (F.col("price") > q["q3"] + reach)
+    n = F.col("n")
+    count = lambda test: F.sum(F.when(test, n).otherwise(0)).alias
+    facts = priced.groupBy("category_name").agg(
+        F.sum("n").alias("row_count"), F.sum("returns").alias("returns"), count(F.col("price").isNull())("null_prices"),
+        count(F.col("price") <= 0.1)("low_prices"), count(outside)("outliers"), F.first(q["q1"]).alias("q1"), F.first(q["q3"]).alias("q3"))
+    again = lines.groupBy("category_name", "sku", "date", "quantity", "price", "is_return").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy(
+        "category_name").agg(F.sum("n").alias("duplicate_lines"))
+    sold = lines.groupBy("category_name", "sku", "date").agg(F.sum(F.when(~F.col("is_return"), F.col("quantity")).otherwise(0)).alias("q")).groupBy(
+        "category_name").agg(F.count_if(F.col("q") == 0).alias("zero_sale_cost_pairs"))
+    return facts.join(again, "category_name").join(sold, "category_name")

@@ -8,14 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from greengrain.functions import exprs, fits, ranks, staging
+from greengrain.functions import boosting, exprs, fits, ranks, staging
 from greengrain.functions.ordered import exact_quantiles, row_numbers, weighted_quantiles
 from greengrain.operators import assortment as so
-from greengrain.operators import audit, network, pairs
+from greengrain.operators import audit, kmeans, network, pairs
 from greengrain.operators import calendar as cal
 from greengrain.operators import elasticity as el
 from greengrain.operators import scenario as sc
-from greengrain.sources import mart
+from greengrain.sources import checks, mart
 
 
 def rows(df, *cols):
@@ -120,13 +120,138 @@ def test_hot_group_quantiles_and_ranks(spark):
     assert [got.a, got.b, got.c] == pytest.approx(list(want))
 
 
+def plain_spearman(x, y):
+    """Average ranks by counting, then Pearson."""
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    a, b = rank(x), rank(y)
+    a, b = a - a.mean(), b - b.mean()
+    scale = math.sqrt((a * a).sum() * (b * b).sum())
+    return (a * b).sum() / scale if scale else 0.0
+
+
+def series(spark, values, group="g"):
+    rows = [(group, e, [None if v is None or math.isnan(v) else float(v) for v in x]) for e, x in values.items()]
+    return spark.createDataFrame(rows, "g string, e string, series array<double>")
+
+
 def test_rank_correlation_uses_common_days_only(spark):
     x = [1.0, 2.0, None, 4.0, 3.0] * 10
     y = [2.0, None, 5.0, 8.0, 6.0] * 10
-    df = spark.createDataFrame([("a", "b", x, y)], "source string, target string, x array<double>, y array<double>")
-    r = pairs.rank_correlation(df, ["source", "target"]).first()
-    assert r.n_days == 30 and r.r == pytest.approx(1.0)
-    assert pairs.rank_correlation(df, ["source", "target"], min_days=31).count() == 0
+    df = series(spark, {"a": x, "b": y})
+    r = pairs.rank_correlation(df, "e").first()
+    assert (r.source, r.target, r.n_days) == ("a", "b", 30) and r.r == pytest.approx(1.0)
+    assert pairs.rank_correlation(df, "e", min_days=31).count() == 0
+
+
+def test_blocks_hold_every_pair_once(spark):
+    """Series with gaps and ties in blocks of three: all pairs, with their p value and interval, as one by one."""
+    rng = np.random.default_rng(4)
+    values = {f"e{i}": np.where(rng.random(70) < (0.1 if i % 2 else 0.0), np.nan, rng.integers(0, 9, 70)).tolist() for i in range(11)}
+    values["flat"] = [1.0] * 70
+    df = series(spark, values).unionByName(series(spark, {"e1": values["e1"], "other": values["e2"]}, "h"))
+    got = pairs.rank_correlation(df, "e", ["g"], p_values=True, interval={"min_abs_r": None, "reps": 60}, block=3).collect()
+    assert len(got) == 12 * 11 // 2 + 1 and len({(r.g, r.source, r.target) for r in got}) == len(got)
+    starts = ranks.block_starts(pairs.SEED, 60, 10)
+    for r in got:
+        x, y = (np.array(values[{"other": "e2"}.get(e, e)]) for e in (r.source, r.target))
+        seen = np.isfinite(x) & np.isfinite(y)
+        x, y, n = x[seen], y[seen], int(seen.sum())
+        want = plain_spearman(x, y)
+        assert r.source < r.target and r.n_days == n and r.r == pytest.approx(want, abs=1e-12)
+        assert r.p_value == pytest.approx(ranks.student_p(want, n), abs=1e-12)
+        days = (starts[:, :-(-n // 7), None] % (n - 6) + np.arange(7)).reshape(60, -1)[:, :n]
+        draws = [plain_spearman(x[d], y[d]) for d in days]
+        assert [r.ci_lower, r.ci_upper] == pytest.approx(list(np.percentile(draws, [2.5, 97.5])), abs=1e-12)
+        assert r.same_sign == pytest.approx(np.mean(np.sign(draws) == np.sign(want)))
+    gated = pairs.rank_correlation(df.where("g = 'g'"), "e", interval={"min_abs_r": 0.2, "reps": 60}, block=3).collect()
+    assert all((abs(r.r) >= 0.2) == (r.ci_lower is not None) for r in gated)
+
+
+def test_two_thousand_series(spark):
+    """Many entities: every pair once, and some of them against the plain version."""
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(2000, 40)).round(1)
+    df = spark.createDataFrame([(f"s{i:04d}", v.tolist()) for i, v in enumerate(values)], "e string, series array<double>").repartition(4)
+    found = pairs.rank_correlation(df, "e", block=256)
+    total, distinct = found.agg(F.count(F.lit(1)), F.count_distinct("source", "target")).first()
+    assert total == distinct == 2000 * 1999 // 2
+    for r in found.where("source = 's0007' and target < 's0040'").collect():
+        assert r.r == pytest.approx(plain_spearman(values[7], values[int(r.target[1:])]), abs=1e-12)
+
+
+def test_day_bits_match_the_days(spark):
+    rng = np.random.default_rng(6)
+    values = {f"e{i}": [None if rng.random() < 0.2 else float(rng.integers(0, 3)) for _ in range(150)] for i in range(4)}
+    got = {(r.source, r.target): (r.both_days, r.either_days) for r in pairs.active_overlap(series(spark, values), "e").collect()}
+    for (a, b), found in got.items():
+        seen = [(x, y) for x, y in zip(values[a], values[b]) if x is not None and y is not None]
+        assert found == (sum(x > 0 and y > 0 for x, y in seen), sum(x > 0 or y > 0 for x, y in seen))
+    assert len(got) == 6
+
+
+def test_most_rows_share_a_value(spark):
+    """One value on 90 % of the rows: exact positions, and no range holds more than a part of them."""
+    from greengrain.functions import ordered
+    rows = [("g", 5.0 if i % 10 else float(i % 7), f"name{i * 7919 % 5000:05d}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v double, name string")
+    old, ordered.RANGE_ROWS = ordered.RANGE_ROWS, 100
+    try:
+        got = ordered.row_numbers(df, ["g"], "v", ["name"]).collect()
+        ranged = ordered.with_range(df, ["g"], "v", 100).groupBy("_range").agg(F.count_distinct("v").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        ordered.RANGE_ROWS = old
+    want = {n: k for k, (_, _, n) in enumerate(sorted(rows, key=lambda r: (r[1], r[2])), 1)}
+    assert {r.name: r.rn for r in got} == want and all(r.n == 5000 for r in got)
+    assert max((r.n for r in ranged if r.k > 1), default=0) < 500
+
+
+def test_band_is_filled(spark):
+    """Two small orders take the minimum, the others share the rest; a band below all minimum orders keeps them."""
+    rows = [("a", s, b, 20.0) for s, b in (("s1", 0.1), ("s2", 0.2), ("s3", 3.0), ("s4", 6.0))] + [("b", "s1", 4.0, 1.0), ("b", "s2", 1.0, 1.0)]
+    got = so.fill_band(spark.createDataFrame(rows, "v string, sku_code string, base_order double, total double"), ["v"]).collect()
+    assert {(r.v, r.sku_code): round(r.order_qty, 9) for r in got} == {
+        ("a", "s1"): 2.5, ("a", "s2"): 2.5, ("a", "s3"): 5.0, ("a", "s4"): 10.0, ("b", "s1"): 2.5, ("b", "s2"): 2.5}
+
+
+def test_ledger_quality(spark):
+    rows = [("c", "p", "2020-01-01", 1.0, False, 2.0), ("c", "p", "2020-01-01", 1.0, False, 2.0), ("c", "q", "2020-01-02", 3.0, True, 2.0),
+            ("c", "q", "2020-01-03", 1.0, False, 90.0), ("c", "r", "2020-01-03", 2.0, False, 3.0), ("unknown", "x", "2020-01-03", 1.0, False, None)]
+    lines = spark.createDataFrame(rows, "category_name string, sku string, date string, quantity double, is_return boolean, price double")
+    got = {r.category_name: r for r in checks.ledger_quality(lines).collect()}
+    c = got["c"]
+    assert (c.row_count, c.returns, c.duplicate_lines, c.zero_sale_cost_pairs, c.q1, c.q3, c.outliers) == (5, 1, 1, 1, 2.0, 3.0, 1)
+    assert got["unknown"].row_count == got["unknown"].null_prices == 1
+
+
+def test_many_starts_find_separate_groups(spark):
+    """Three far groups, several starts and two replicates: the best start finds them, however the rows are blocked."""
+    rng = np.random.default_rng(7)
+    points = [(g, f"e{i:03d}", *(np.array([i % 3 * 50.0, -(i % 3) * 30.0]) + rng.normal(size=2))) for g in (0, 1) for i in range(60)]
+    df = spark.createDataFrame([(g, e, float(a), float(b)) for g, e, a, b in points], "grp int, e string, a double, b double")
+    groups = spark.createDataFrame([(0, 3), (1, 2)], "grp int, k int")
+    cost = {}
+    for rows in (1000, 7):
+        blocks = kmeans.blocks_of(df, "e", ["a", "b"], groups, rows)
+        best = kmeans.best_start(kmeans.fit(blocks, 8), 8)
+        found = kmeans.labels(blocks, best, "e").where("grp = 0").collect()
+        assert len(found) == 60 and len({(int(r.e[1:]) % 3, r.cluster_id) for r in found}) == 3
+        cost[rows] = {r.grp: r.cost for r in best.collect()}
+    x = np.array([p[2:] for p in points if p[0] == 0])
+    want = sum(((x[i::3] - x[i::3].mean(axis=0)) ** 2).sum() for i in range(3))
+    assert cost[1000][0] == pytest.approx(want) and cost[7] == pytest.approx(cost[1000]) and cost[1000][1] > 1000
+
+
+def test_boosting_splits_at_the_best_place():
+    """One tree of two leaves against every cut tried one by one; more rounds fit better."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 3)).round(2)
+    y = np.where(x[:, 1] > 0.3, 4.0, -1.0) + rng.normal(size=120) / 10
+    model = boosting.Trees(rounds=1, step=1.0, leaves=2, least=5, ridge=0.0, bins=1000).fit(x, y)
+    best = min((((y[m] - y[m].mean()) ** 2).sum() + ((y[~m] - y[~m].mean()) ** 2).sum())
+               for f in range(3) for cut in np.unique(x[:, f])[:-1] for m in [x[:, f] <= cut] if 5 <= m.sum() <= 115)
+    assert ((y - model.predict(x)) ** 2).sum() == pytest.approx(best)
+    errors = [((y - boosting.Trees(rounds=n).fit(x, y).predict(x)) ** 2).mean() for n in (1, 20, 200)]
+    assert errors[0] > errors[1] > errors[2]
 
 
 def test_missing_interval_is_not_clear(spark):
@@ -175,7 +300,7 @@ def test_components(spark):
 
 def test_demand_level_has_no_cap(spark):
     got = spark.createDataFrame([(12.0,), (20.0,), (-30.0,), (None,)], "x double").select(exprs.level_from_log("x")).collect()
-    assert [r[0] for r in got] == [pytest.approx(math.expm1(12)), pytest.approx(math.expm1(20)), 0.0, 0.0]
+    assert [r[0] for r in got] == [pytest.approx(math.expm1(12)), pytest.approx(math.expm1(20)), 0.0, None]
 
 
 def test_fixed_keeps_large_values(spark):
