@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
-from greengrain.llm.common import SPACE_CLASS, by_batch, byte_words, words_of
+from greengrain.llm.common import SPACE_CLASS, words_of
+from greengrain.llm.tokens import gather, pointers, slices
 from greengrain.operators.network import components
 
 LEAD, MIN_WORDS, MIN_DOCS, FIXED_PERCENT = 3, 5, 4, 50
@@ -72,77 +73,102 @@ def line_rows(docs: DataFrame, lead: int) -> DataFrame:
             .withColumns({"leaf": F.xxhash64("n", first), "line_hash": F.xxhash64("line")}))
 
 
-class Sketcher:
-    """Smallest shingle hashes per range, for the texts of a batch at once."""
+class Words(dict):
+    """Hash of a word, kept for the next time."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def word(self, w: bytes) -> int:
-        h = self.known.get(w)
-        if h is None:
-            h = self.known[w] = int(hashlib.md5(w).hexdigest()[:8], 16) % PRIME
+    def __missing__(self, w: bytes) -> int:
+        self[w] = h = int(hashlib.md5(w).hexdigest()[:8], 16) % PRIME
         return h
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The smallest hash of each range, -1 for none; a text with fewer words is one shingle."""
-        if len(self.known) > 500_000:
-            self.known.clear()
-        words = byte_words(text)
-        out = np.full(SKETCH, PRIME, np.int64)
-        if words:
-            w = np.fromiter(map(self.word, words), np.int64, len(words))
-            size = min(SHINGLE, len(words))
-            acc = np.zeros(len(w) - size + 1, np.int64)
-            for i in range(size):
-                acc = (acc * FACTOR + w[i:i + len(acc)]) % PRIME
-            np.minimum.at(out, acc % SKETCH, acc)
-        out[out == PRIME] = -1
-        return out
-
-
-def _keys(least: np.ndarray) -> np.ndarray:
-    """One key per band of ranges that holds a shingle."""
-    bands = least.reshape(-1, BAND)
-    acc = np.arange(len(bands)).astype(np.uint64)
-    for part in bands.T:
-        acc = (acc ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+
+def smallest(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """[text, range] smallest shingle hashes, -1 for none, from word hashes and row pointers of the texts.
+
+    A text with fewer words than a shingle is one shingle.
+    """
+    out = np.full((len(ptr) - 1) * SKETCH, PRIME, np.int64)
+    n = np.diff(ptr)
+    for size in range(1, SHINGLE + 1):
+        own = np.flatnonzero(n == size) if size < SHINGLE else np.flatnonzero(n >= SHINGLE)
+        if not len(own):
+            continue
+        at, text = gather(ptr, own), np.repeat(own, n[own])
+        at, text = (v[at <= ptr[text + 1] - size] for v in (at, text))
+        acc = np.zeros(len(at), np.int64)
+        for i in range(size):
+            acc = (acc * FACTOR + h[at + i]) % PRIME
+        np.minimum.at(out, text * SKETCH + acc % SKETCH, acc)
+    out[out == PRIME] = -1
+    return out.reshape(-1, SKETCH)
+
+
+def _keys(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row pointers): one key per band of ranges that holds a shingle."""
+    bands = least.reshape(len(least), -1, BAND)
+    acc = np.broadcast_to(np.arange(bands.shape[1]), bands.shape[:2]).astype(np.uint64)
+    for i in range(BAND):
+        acc = (acc ^ bands[:, :, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         acc ^= acc >> np.uint64(29)
-    return acc[(bands >= 0).any(axis=1)].view(np.int64)
+    held = (bands >= 0).any(axis=2)
+    return acc[held].view(np.int64), pointers(held.sum(axis=1))
 
 
-def _passages(text: str | None) -> tuple[list[int], list[int | None], list[int]]:
-    """Hashes of the lines with a word; from each on, the hash and the number of the first lines that have PASSAGE words."""
+def _runs(hashes: list[int], counts: list[int]) -> tuple[list[int | None], list[int]]:
+    """From each line on, the hash and the number of the first lines that have PASSAGE words, two lines at least."""
     import xxhash
-    lines = [(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42), n) for x in (text or "").split("\n") if (n := len(byte_words(x)))]
-    hashes, runs, sizes = [h - (h >> 63 << 64) for h, _ in lines], [], []
-    words, end = 0, 0
-    for i, (_, n) in enumerate(lines):
-        while words < PASSAGE and end < len(lines):
-            words, end = words + lines[end][1], end + 1
-        run = xxhash.xxh64_intdigest(np.array(hashes[i:end], np.int64).tobytes(), 7)
-        runs.append(run - (run >> 63 << 64) if words >= PASSAGE and end - i > 1 else None)
+    raw, runs, sizes, words, end = np.array(hashes, np.int64).tobytes(), [], [], 0, 0
+    for i, n in enumerate(counts):
+        while words < PASSAGE and end < len(counts):
+            words, end = words + counts[end], end + 1
+        if words >= PASSAGE and end - i > 1:
+            run = xxhash.xxh64_intdigest(raw[8 * i:8 * end], 7)
+            runs.append(run - (run >> 63 << 64))
+        else:
+            runs.append(None)
         sizes.append(end - i)
         words -= n
-    return hashes, runs, sizes
+    return runs, sizes
 
 
 def text_facts(texts: DataFrame) -> DataFrame:
-    """(mark, sketch, keys, hashes, runs, sizes) of each text."""
-    sketcher = []
+    """(mark, sketch, keys, hashes, runs, sizes) of each text; a text is split into lines and words once."""
+    known = []
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        sketcher or sketcher.append(Sketcher())
-        own = b.column("text").to_pylist()
-        found = list(zip(*map(_passages, own)))
-        least = list(map(sketcher[0], own))
-        tags = np.where(np.stack(least) < 0, 0, np.stack(least) % 127 + 1).astype(np.int8)
+        import xxhash
+        known or known.append(Words())
+        if len(known[0]) > 500_000:  # only a memo
+            known[0].clear()
+        words, sizes, all_hashes, all_runs, all_sizes = [], [], [], [], []
+        for text in b.column("text").to_pylist():
+            before, hashes, counts = len(words), [], []
+            for line in text.encode("utf-8", "surrogatepass").split(b"\n") if text else ():
+                own = line.lower().split()
+                if own:
+                    h = xxhash.xxh64_intdigest(line, 42)
+                    hashes.append(h - (h >> 63 << 64))
+                    counts.append(len(own))
+                    words += own
+            sizes.append(len(words) - before)
+            runs, lengths = _runs(hashes, counts)
+            all_hashes.append(hashes)
+            all_runs.append(runs)
+            all_sizes.append(lengths)
+        least = smallest(np.fromiter(map(known[0].__getitem__, words), np.int64, len(words)), pointers(sizes))
+        tags = np.where(least < 0, 0, least % 127 + 1).astype(np.int8)
+        keys, ptr = _keys(least)
         return pa.RecordBatch.from_arrays(
             [b.column("mark"), pa.FixedSizeListArray.from_arrays(pa.array(tags.ravel()), SKETCH).cast(pa.list_(pa.int8())),
-             pa.array(map(_keys, least), pa.list_(pa.int64())), pa.array(found[0], pa.list_(pa.int64())),
-             pa.array(found[1], pa.list_(pa.int64())), pa.array(found[2], pa.list_(pa.int32()))],
+             pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(keys)), pa.array(all_hashes, pa.list_(pa.int64())),
+             pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_sizes, pa.list_(pa.int32()))],
             ["mark", "sketch", "keys", "hashes", "runs", "sizes"])
-    return by_batch(texts.select("mark", "text"), make, "mark long, sketch array<tinyint>, keys array<long>, hashes array<long>, runs array<long>, sizes array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 20):
+                yield make(part)
+    return texts.select("mark", "text").mapInArrow(
+        run, "mark long, sketch array<tinyint>, keys array<long>, hashes array<long>, runs array<long>, sizes array<int>")
 
 
 def classes(facts: DataFrame) -> DataFrame:
@@ -159,7 +185,7 @@ def classes(facts: DataFrame) -> DataFrame:
     return components(links, nodes, "mark").withColumnRenamed("community", "class")
 
 
-def templates(held: DataFrame, docs: DataFrame, lead: int, min_words: int, min_docs: int, fixed_percent: int) -> DataFrame:
+def templates(held: DataFrame, numbers: DataFrame, docs: DataFrame, lead: int, min_words: int, min_docs: int, fixed_percent: int) -> DataFrame:
     """(line_hash, template, need, fields): the templates of every line, from distinct (line, class) rows."""
     lines = stage(held.groupBy("leaf", "line_hash", "n", "letters").agg(F.count(F.lit(1)).alias("docs")), "lines")
     told = lines.where((F.col("n") >= min_words) | F.col("letters"))
@@ -169,14 +195,17 @@ def templates(held: DataFrame, docs: DataFrame, lead: int, min_words: int, min_d
     long_ = lines.where(F.col("n") >= min_words)
     busy = long_.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1))
     asked = stage(long_.join(busy.select("leaf", "total"), "leaf").select("leaf", "total", "docs", "line_hash"), "leaf_lines")
-    words = line_rows(docs, lead).select("line_hash", "words").join(asked.select("line_hash"), "line_hash", "left_semi").dropDuplicates(["line_hash"])
+    # the words of a line come from the text with the smallest mark that has it; equal texts give equal rows again
+    where = stage(numbers.join(asked.select("line_hash"), "line_hash", "left_semi").groupBy("line_hash").agg(F.min("mark").alias("mark")), "line_places")
+    words = docs.select("mark", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn(
+        "line_hash", F.xxhash64("line")).join(where, ["mark", "line_hash"]).select("line_hash", words_of(F.col("line")).alias("words"))
     plain = lambda w: ~w.rlike("[0-9]")
     first = F.size(F.filter(F.slice("words", 1, lead), plain))
     at = (asked.join(words, "line_hash")
           .select("leaf", "total", "docs", "line_hash", first.alias("first"), (F.size(F.filter("words", plain)) - first).alias("free"), F.posexplode("words").alias("pos", "word"))
           .where((F.col("pos") >= lead) & plain(F.col("word")))
           .select("leaf", "total", "docs", "line_hash", "first", "free", F.xxhash64("leaf", "pos", "word").alias("token")))
-    at = stage(at, "leaf_words")
+    at = stage(at.distinct(), "leaf_words")
     sums = at.groupBy("token").agg(F.sum("docs").alias("c"), F.max("total").alias("total")).where(F.col("c") >= min_docs)
     fixed = sums.select("token", (100 * F.col("c") >= WIDE_PERCENT * F.col("total")).alias("wide"))
     both = at.join(fixed, "token").groupBy("leaf", "line_hash", "first", "free").agg(
@@ -212,7 +241,7 @@ def judged_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS,
     known = stage(classes(facts), "classes")
     held = numbers.join(known, "mark", "left").select("leaf", "line_hash", "n", "letters", F.coalesce("class", "mark").alias("class")).distinct()
     held = stage(held, "line_classes")
-    shapes = stage(templates(held, docs, lead, min_words, min_docs, fixed_percent), "templates")
+    shapes = stage(templates(held, numbers, docs, lead, min_words, min_docs, fixed_percent), "templates")
     counted = shapes.join(held.select("line_hash", "class"), "line_hash").select("template", "need", "class").distinct()
     bad = counted.groupBy("template").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("template")
     return stage(shapes.join(bad, "template", "left_semi"), "recurring"), numbers.select("mark", "line_hash"), passages(facts, known)
