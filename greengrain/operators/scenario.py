@@ -161,13 +161,25 @@ def plan_summary(facts: DataFrame, penalty_weight: float = PENALTY) -> DataFrame
         F.avg(F.when(is_stockout("demand", "available"), 1.0).otherwise(0.0)).alias("stockout_probability"))
 
 
-def reference_penalty(plan: DataFrame, bounds: DataFrame, weight: float = PENALTY) -> DataFrame:
+def reference_penalty(plan: DataFrame, bounds: DataFrame, keys: list[str] = (), weight: float = PENALTY) -> DataFrame:
     """Weekly charge for moving markups away from their reference, once per plan."""
     gap = F.col("markup") - F.col("markup_reference")
-    return plan.join(bounds.select(CAT, "markup_reference"), CAT).agg(
+    return plan.join(bounds.select(CAT, "markup_reference"), CAT).groupBy(*keys).agg(
         (F.lit(weight) * F.sum(gap * gap)).alias("penalty"))
 
 
+def weekly_profits(facts: DataFrame, penalties: DataFrame, keys: list[str]) -> DataFrame:
+    """Weekly operating, service-adjusted (less goodwill) and regularized profit (less the penalty, once a week) per key.
+
+    `penalties` holds one `penalty` per key: it is the same in every scenario, so it lowers a week's profit by a constant.
+    """
+    week = facts.groupBy(*keys, "scenario").agg(F.sum("operating").alias("_op"), F.sum(F.col("operating") - F.col("goodwill")).alias("_net"))
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), c.alias("profit")) for n, c in (
+        ("operating", F.col("_op")), ("service_adjusted", F.col("_net")), ("regularized", F.col("_net") - F.col("penalty")))]))
+    rows = week.join(penalties, keys).select(*keys, "scenario", named.alias("m")).select(*keys, "scenario", "m.measure", "m.profit")
+    return weekly_risk(rows, F.col("profit"), [*keys, "measure"])
+
+
 def baseline_plan(drawn: DataFrame, model: DataFrame, bounds: DataFrame) -> DataFrame:
     """Reference markup every day, and the median demand at that price as the order."""
     priced = respond(drawn.join(model, [CAT, "day"]).join(

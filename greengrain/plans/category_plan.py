@@ -15,7 +15,7 @@ from greengrain.operators import scenario as sc
 from greengrain.operators.calendar import lag_of, rolling
 from greengrain.plans.profiling import day, fixed_cols, fx_cols
 from greengrain.plans.registry import fx, part, query
-from greengrain.sources import tables
+from greengrain.sources import rules, tables
 
 CAT = el.CAT
 
@@ -703,6 +703,80 @@ def z12(spark, sf):
                       fixed(F.col("expected") / reference, 5).alias("profit_ratio"))
 
 
+part("plan_penalty", """
+    select 'baseline' as model, 80.0 * sum(pow(p.markup - b.markup_reference, 2)) as penalty from base_plan p join bounds b using (category_name)
+    union all select 'plan', 80.0 * sum(pow(g.markup - b.markup_reference, 2)) from grid_best g join bounds b using (category_name)""")
+part("week_profits", """
+    with f as (select 'baseline' as model, scenario, price, cost, demand, available, order_qty from base_facts
+               union all select 'plan', scenario, price, cost, demand, available, order_qty from grid_facts),
+    w as (select model, scenario, sum(price * least(demand, available) - cost * order_qty) as op,
+            sum(0.10 * greatest(0, price - cost) * greatest(0, demand - available)) as goodwill from f group by 1, 2)
+    select model, scenario, 'operating' as measure, op as profit from w
+    union all select model, scenario, 'service_adjusted', op - goodwill from w
+    union all select model, scenario, 'regularized', op - goodwill - penalty from w join plan_penalty using (model)""")
+
+
+def both_plans(spark, sf):
+    """Model tables, and the baseline and the chosen plan told apart by `model`."""
+    m, plan = optimized(spark, sf)
+    base = stage(sc.baseline_plan(m.drawn, m.model, m.bounds), "baseline")
+    return m, base.withColumn("model", F.lit("baseline")).unionByName(plan.select(*base.columns).withColumn("model", F.lit("plan")))
+
+
+@query("z07_weekly_profits", f"""
+    select split_part(k, '|', 1) as model, split_part(k, '|', 2) as measure, {fx_cols('expected', 'lower_tail', 'std', digits=3)},
+      {fx('0.75 * expected + 0.25 * lower_tail', 3)} as objective
+    from ({tail_sql('profit', 'n', 'k', "(select model || '|' || measure as k, scenario, profit from week_profits)")})""")
+def z07_profits(spark, sf):
+    m, both = both_plans(spark, sf)
+    facts = sc.plan_facts(m.drawn, m.model, both)
+    out = sc.weekly_profits(facts, sc.reference_penalty(both, m.bounds, ["model"]), ["model"])
+    return out.select("model", "measure", *fixed_cols("expected", "lower_tail", "std", "objective", digits=3))
+
+
+part("plan_rules", """
+    with p as (select g.day, g.category_name, g.markup, g.q, b.markup_low, b.markup_high, b.order_upper, b.markup_reference, b.markup_change
+               from grid_best g join bounds b using (category_name)),
+    s as (select category_name, day, avg(demand) as demand, avg(least(demand, available)) as sales, avg(order_qty - least(demand, available)) as unsold,
+            avg(case when demand > available + 1e-9 then 1.0 else 0.0 end) as prob, any_value(order_qty) as q, any_value(price) as price from grid_facts group by 1, 2)
+    select (select count_if(markup < markup_low - 1e-9 or markup > markup_high + 1e-9) from p) as markup_in_bounds,
+      (select count_if(q < -1e-9 or q > order_upper + 1e-9) from p) as order_in_bounds,
+      (select count_if(day = 0 and abs(markup - markup_reference) > markup_change + 1e-9) from p) as first_day_change,
+      (select count_if(abs(unsold - (q - sales)) > 1e-6) from s) as unsold_is_order_less_sales,
+      (select count_if(sales > demand + 1e-9) from s) as sales_below_demand,
+      (select count_if(prob < -1e-9 or prob > 1 + 1e-9) from s) as stockout_probability,
+      (select count_if(s.price is null or s.demand is null or s.sales is null) from s) as finite_values,
+      (select count_if(abs(s.price - m.cost_future * (1 + p.markup)) > 1e-6) from s join p using (category_name, day) join model m using (category_name, day)) as price_identity,
+      (select count(*) from (select category_name, day from p except select category_name, day from model))
+        + (select count(*) from (select category_name, day from model except select category_name, day from p)) as plan_is_complete""")
+
+
+@query("v02_decision_rules", """
+    select "table", check_name as "check", violations::bigint as violations, violations = 0 as passed from (unpivot plan_rules on
+      markup_in_bounds, order_in_bounds, first_day_change, unsold_is_order_less_sales, sales_below_demand, stockout_probability, finite_values, price_identity, plan_is_complete
+      into name check_name value violations)
+    join (select unnest(['markup_in_bounds', 'order_in_bounds', 'first_day_change', 'plan_is_complete', 'unsold_is_order_less_sales', 'sales_below_demand',
+        'stockout_probability', 'finite_values', 'price_identity']) as check_name,
+      unnest(['plan', 'plan', 'plan', 'plan', 'summary', 'summary', 'summary', 'summary', 'summary']) as "table") using (check_name)""")
+def v02_decisions(spark, sf):
+    """Bounds, identities and completeness of the chosen plan and its summary, declared as rules."""
+    m, plan = optimized(spark, sf)
+    limits = m.bounds.select(CAT, "markup_low", "markup_high", "order_upper", "markup_reference", "markup_change")
+    c = F.col
+    made = sc.plan_summary(sc.plan_facts(m.drawn, m.model, plan)).join(plan, [CAT, "day"]).join(
+        m.model.select(CAT, "day", "cost_future"), [CAT, "day"]).withColumn("price", c("cost_future") * (1 + c("markup")))
+    plan_rules = [
+        rules.within("markup_in_bounds", "markup", c("markup_low"), c("markup_high")), rules.within("order_in_bounds", "order_qty", 0.0, c("order_upper")),
+        rules.Row("first_day_change", (c("day") == 0) & (F.abs(c("markup") - c("markup_reference")) > c("markup_change") + rules.TOLERANCE)),
+        rules.Keys("plan_is_complete", (CAT, "day"), "model", both=True)]
+    summary_rules = [
+        rules.identity("unsold_is_order_less_sales", c("expected_unsold"), c("order_qty") - c("expected_sales")),
+        rules.Row("sales_below_demand", c("expected_sales") > c("expected_demand") + rules.TOLERANCE),
+        rules.probability("stockout_probability", "stockout_probability"), rules.known("finite_values", "price", "expected_demand", "expected_sales"),
+        rules.identity("price_identity", c("price"), c("cost_future") * (1 + c("markup")))]
+    return rules.compiled({"plan": plan.join(limits, CAT), "summary": stage(made, "summary"), "model": m.model}, {"plan": plan_rules, "summary": summary_rules})
+
+
 @query("r16_day_similarity", f"""
     select a.day as source, b.day as target, {fx('corr(a.q, b.q)', 5)} as r
     from (select 'day' || day as day, category_name, order_qty as q from base_plan) a

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from greengrain.functions.exprs import fixed, ratio
 from greengrain.functions.staging import stage
-from greengrain.operators import calendar, clusters, pairs, profile
+from greengrain.operators import calendar, pairs, profile
 from greengrain.plans.fitting import monthly as product_monthly
+from greengrain.plans.fitting import peak_labels
 from greengrain.plans.profiling import QTY, SEASON_SQL, fixed_cols, fx_cols
 from greengrain.plans.registry import part, query
 from greengrain.plans.relationships import STRENGTH_SQL, dense, with_whole_interval
@@ -33,7 +34,7 @@ def relation_table(daily, index, level):
     blocks = []
     for name, frame in frames.items():
         series = pairs.packed(pairs.by_period(frame), ["group_name", "entity", "period"], "x")
-        scored = stage(with_whole_interval(series, "entity", GROUP, p_values=True), "scored")
+        scored = stage(with_whole_interval(series, "entity", GROUP, p_values=True, block=16), "scored")
         scored = pairs.fdr(scored, ["group_name", "period"])
         blocks.append(scored.select(*KEYS, F.lit(name).alias("indicator"), F.col("r").alias("value"), "ci_lower", "ci_upper",
                                     "p_value", "q_value", pairs.strength("r", "ci_lower", "ci_upper").alias("strength")))
@@ -71,7 +72,8 @@ def product_categories(spark, sf):
 
 
 def product_clusters(month):
-    return stage(clusters.seasonal_label(month, "sku_code").withColumnRenamed("label", "group_name"), "product_clusters")
+    """Products by their peak season, the cluster label that SQL can say too."""
+    return stage(peak_labels(month).withColumnRenamed("label", "group_name"), "product_clusters")
 
 
 def cluster_level(daily, index):
@@ -124,8 +126,8 @@ part("lv_a_day", "select '' as g, category_name as e, date, qty from cat_dense")
 part("lv_a_month", "select '' as g, category_name as e, month, seasonal_index from cat_month")
 part("lv_b_day", "select split_part(sku_code, '/', 1) as g, sku_code as e, date, qty from product_span")
 part("lv_b_month", "select split_part(sku_code, '/', 1) as g, sku_code as e, month, seasonal_index from product_month")
-part("lv_d_day", "select label as g, sku_code as e, date, qty from product_span join labels_c using (sku_code)")
-part("lv_d_month", "select label as g, sku_code as e, month, seasonal_index from product_month join labels_c using (sku_code)")
+part("lv_d_day", "select label as g, sku_code as e, date, qty from product_span join labels_s using (sku_code)")
+part("lv_d_month", "select label as g, sku_code as e, month, seasonal_index from product_month join labels_s using (sku_code)")
 part("lv_c_day", "select '' as g, g as e, date, coalesce(sum(qty), 0.0) as qty from lv_d_day group by g, date")
 part("lv_c_month", "select '' as g, g as e, month, avg(seasonal_index) as seasonal_index from lv_d_month group by g, month")
 
@@ -138,7 +140,7 @@ def level_sql(name: str, level: str) -> str:
     day, month = f"lv_{name}_day", f"lv_{name}_month"
     part(f"lv_{name}_sales", f"""
         select g, e, date, p.period, floor((x - m) * 1e9 + 0.5) / 1e9 as x
-        from (select g, e, date, ln(1 + greatest(qty, 0)) as x, avg(ln(1 + greatest(qty, 0))) over (partition by g, e, date_trunc('month', date)) as m
+        from (select g, e, date, ln(1 + qty) as x, avg(ln(1 + qty)) over (partition by g, e, date_trunc('month', date)) as m
               from {day}) d {PERIODS_SQL}""")
     part(f"lv_{name}_share", f"""
         select g, e, date, p.period, x from (select *, qty / nullif(sum(qty) over (partition by g, date), 0) as x from {day}) d {PERIODS_SQL}""")
@@ -149,7 +151,7 @@ def level_sql(name: str, level: str) -> str:
     for kind in ("sales", "share"):
         source, found = f"lv_{name}_{kind}", f"lv_{name}_{kind}_r"
         part(found, f"""
-            select g, source, target, period, count(*) as n_days, coalesce(corr(rx, ry), 0) as r
+            select g, source, target, period, count(*) as n_days, coalesce(nullif(corr(rx, ry), 'nan'::double), 0) as r
             from (select g, source, target, period, {rank.format('x')} as rx, {rank.format('y')} as ry
                   from (select a.g, a.e as source, b.e as target, a.period, a.x, b.x as y from {source} a
                         join {source} b on a.g = b.g and a.date = b.date and a.period = b.period and a.e < b.e
@@ -168,7 +170,7 @@ def level_sql(name: str, level: str) -> str:
                 (select unnest(range(0, 7)) as o) where blk * 7 + o < n),
             drawn as (select g, source, target, rep, x, y from picked join series using (n, i)),
             ranked as (select g, source, target, rep, {ranked.format('x')} as rx, {ranked.format('y')} as ry from drawn),
-            reps as (select g, source, target, rep, coalesce(corr(rx, ry), 0) as r from ranked group by 1, 2, 3, 4)
+            reps as (select g, source, target, rep, coalesce(nullif(corr(rx, ry), 'nan'::double), 0) as r from ranked group by 1, 2, 3, 4)
             select g, source, target, 'all' as period, quantile_cont(r, 0.025) as ci_lower, quantile_cont(r, 0.975) as ci_upper
             from reps group by 1, 2, 3""")
     unit = f"""select g, e, month, coalesce((seasonal_index - avg(seasonal_index) over (partition by g, e))

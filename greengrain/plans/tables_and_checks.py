@@ -12,7 +12,8 @@ from greengrain.operators import network, profile
 from greengrain.plans import category_plan as cp
 from greengrain.plans.profiling import QTY, day, fixed_cols, fx_cols
 from greengrain.plans.registry import fx, part, query
-from greengrain.sources import checks, files, tables
+from greengrain.plans.relationships import detrended, whole_ranks
+from greengrain.sources import checks, files, rules, tables
 
 MEASURES = ["gross_sales_qty", "return_qty", "net_sales_qty", "gross_revenue", "gross_weighted_avg_price", "wholesale_price", "loss_rate_pct"]
 
@@ -180,6 +181,30 @@ def v06(spark, sf):
     return checks.completeness(monthly, "sku_code", "month", 12)
 
 
+@query("v06_set_rules", """
+    with sold as (select distinct category_name, date from cat_day where gross_sales_qty > 0), back as (select distinct category_name, date from cat_day where return_qty > 0),
+    cats as (select distinct category_name as c from cat_day),
+    one(tab, check_name, violations) as (
+      select 'returns', 'returned_days_sold', (select count(*) from (select * from back except select * from sold))
+      union all select 'returns', 'same_days', (select count(*) from (select * from back except select * from sold)) + (select count(*) from (select * from sold except select * from back))
+      union all select 'pairs', 'all_pairs', (select count(*) * (count(*) - 1) // 2 from cats) - (select count(*) from cat_spearman where period = 'all')
+      union all select 'shares', 'twelve_months', (select count(*) from (select category_name, month from (select distinct category_name from cat_day), (select unnest(range(1, 13)) as month)
+          except select category_name, month from cat_month)))
+    select tab as "table", check_name as "check", violations::bigint as violations, violations = 0 as passed from one""")
+def v06_sets(spark, sf):
+    """Set rules: membership, equality both ways, all pairs, a full grid of months."""
+    daily = tables.category_day(spark, sf)
+    names = daily.select("category_name").distinct()
+    ready = {"returns": daily.where("return_qty > 0"), "sales": daily.where(F.col(QTY) > 0), "categories": names,
+             "pairs": whole_ranks(detrended(spark, sf, "category_name"), "category_name"),
+             "shares": profile.monthly_profile(daily, "category_name", QTY), "grid": names.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))}
+    days = ("category_name", "date")
+    return rules.compiled(ready, {
+        "returns": [rules.Keys("returned_days_sold", days, "sales"), rules.Keys("same_days", days, "sales", both=True)],
+        "pairs": [rules.Pairs("all_pairs", (), "categories", "category_name")],
+        "shares": [rules.Keys("twelve_months", ("category_name", "month"), "grid", both=True)]})
+
+
 @query("v07_monotone", """
     select category_name, count_if(step < -1e-9) as wrong_steps, count(*) as variants, count_if(step < -1e-9) = 0 as passed
     from (select category_name, q - lag(q) over (partition by category_name order by y) as step

@@ -15,7 +15,7 @@ from greengrain.operators import audit, kmeans, network, pairs
 from greengrain.operators import calendar as cal
 from greengrain.operators import elasticity as el
 from greengrain.operators import scenario as sc
-from greengrain.sources import checks, mart
+from greengrain.sources import checks, mart, rules
 
 
 def rows(df, *cols):
@@ -359,3 +359,38 @@ def test_no_local_folder_off_a_single_machine():
             master = "spark://somewhere"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_folder(Fake)
+
+
+def test_rules_find_planted_violations(spark):
+    """Every kind of rule with a known number of violations, and none on the clean tables."""
+    c = F.col
+    plan = spark.createDataFrame([("a", 1, 0.5, 2.0, 3.0, 0.4), ("b", 1, 1.5, 2.0, 5.0, -0.1), ("c", 2, None, 2.0, 4.0, 1.2)],
+                                 "k string, d int, markup double, cost double, price double, p double")
+    ref = spark.createDataFrame([("a", 1, 3.0), ("a", 1, 3.2), ("b", 1, 4.9), ("d", 1, 1.0)], "k string, d int, price double")
+    pair = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "c")], "source string, target string")
+    own = [rules.within("bounds", "markup", 0.0, 1.0), rules.identity("price", c("price"), c("cost") * (1 + c("markup"))), rules.probability("chance", "p"),
+           rules.known("known", "markup", "price"), rules.Keys("subset", ("k", "d"), "ref"), rules.Keys("same", ("k", "d"), "ref", both=True),
+           rules.Grid("in_grid", ("k", "d"), "price", "ref")]
+    got = rules.compiled({"plan": plan, "ref": ref, "pair": pair, "names": plan}, {"plan": own, "pair": [rules.Pairs("pairs", (), "names", "k")]})
+    # pairs: (b, c) is missing, (b, a) is turned round, (a, c) stands twice
+    assert {r.check: r.violations for r in got.collect()} == {
+        "bounds": 1, "price": 0, "chance": 2, "known": 1, "subset": 1, "same": 2, "in_grid": 2, "pairs": 3}
+    assert all(r.passed == (r.violations == 0) for r in got.collect())
+
+
+def test_weekly_profits(spark):
+    """Penalty once a week: markups .6 and .7 against .5 at weight 10 cost 0.5; goodwill lowers the other two."""
+    facts = spark.createDataFrame([("m", s, d, 100.0 * (s == d), 1.0) for s in (0, 1) for d in (0, 1)],
+                                  "model string, scenario int, day int, operating double, goodwill double")
+    plan = spark.createDataFrame([("m", "A", 0.6), ("m", "A", 0.7)], "model string, category_name string, markup double")
+    bounds = spark.createDataFrame([("A", 0.5)], "category_name string, markup_reference double")
+    penalty = sc.reference_penalty(plan, bounds, ["model"], weight=10.0)
+    got = {r.measure: (r.expected, r.lower_tail) for r in sc.weekly_profits(facts, penalty, ["model"]).collect()}
+    assert got == {"operating": (100.0, 100.0), "service_adjusted": (98.0, 98.0), "regularized": (97.5, 97.5)}
+
+
+def test_overall_accuracy_is_weighted(spark):
+    scores = spark.createDataFrame([("A", 1, 0.1, 3.0, 0.5, 0.2), ("B", 3, 0.5, 1.0, 0.5, 0.6)],
+                                   "category_name string, n long, wape double, rmse double, r2 double, naive_wape double")
+    r = el.with_overall(scores).where("category_name = 'overall'").first()
+    assert (r.n, round(r.wape, 9), round(r.rmse ** 2, 9), r.r2, round(r.naive_wape, 9)) == (4, 0.4, 3.0, None, 0.5)
