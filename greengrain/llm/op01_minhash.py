@@ -169,12 +169,23 @@ def rare_elements(sets: DataFrame, percent: int) -> DataFrame:
             .where("e.df > 1").select("e.key", "node", "n", "m", (F.col("pos") < short).alias("head")))
 
 
-def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int, small: int) -> DataFrame:
+def representatives(members: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, text) with the node as doc_id: one text of each class that meets another one.
+
+    A class is named by the mark of one of its texts. Its text comes from the row with that mark and the smallest doc_id;
+    where rows repeat as a whole, one of them is taken.
+    """
+    wanted = members.select("node").distinct().join(classes.select("node", F.col("rep_id").alias("doc_id")), "node")
+    texts = docs.withColumn("node", F.xxhash64("text")).join(wanted, ["node", "doc_id"], "left_semi")
+    if not repeated.join(wanted.select("node", "doc_id"), ["node", "doc_id"], "left_semi").isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    return texts.select(F.col("node").alias("doc_id"), "text")
+
+
+def links_between(classes: DataFrame, docs: DataFrame, repeated: DataFrame, width: int, percent: int, small: int) -> DataFrame:
     """Confirmed links that connect every pair of classes the tables bring together."""
     members = stage(shared_buckets(table_keys(classes)), "buckets")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    reps = docs.join(wanted, "doc_id", "left_semi")
-    sets = stage(shingle_sets(reps, width), "sets")
+    sets = stage(shingle_sets(representatives(members, classes, docs, repeated), width), "sets")
     links = stage(confirmed(star(members), sets, percent), "links")
     rest = stage(unmet(members, links), "open")
     near = confirmed(all_pairs(rest.where(F.col("c") <= small), percent), sets, percent)
@@ -207,13 +218,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = stage(sketches(docs.withColumn("mark", F.xxhash64("text")), width, bands, rows), "sketches")
-    classes = stage(seen.where("doc_id is not null and n > 0").groupBy("fp_a", "fp_b", "n").agg(
-        F.min("doc_id").alias("node"), F.any_value("left").alias("left"), F.any_value("right").alias("right")), "classes")
-    links = links_between(classes.select("node", "n", "left", "right"), docs, width, percent, small)
+    own = seen.where("doc_id is not null and n > 0")
+    # a class is a set of shingles; doc_ids may repeat, so they name nothing before the last step
+    classes = stage(own.groupBy("fp_a", "fp_b", "n").agg(
+        F.min(F.struct("mark", "doc_id")).alias("rep"), F.min("doc_id").alias("first_id"), F.any_value("left").alias("left"),
+        F.any_value("right").alias("right")).select("*", F.col("rep.mark").alias("node"), F.col("rep.doc_id").alias("rep_id")).drop("rep"), "classes")
+    repeated = own.groupBy(F.col("mark").alias("node"), "doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    links = links_between(classes, docs, repeated, width, percent, small)
     ends = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    labels = components(links, ends, "node")
-    named = (classes.select("fp_a", "fp_b", "node").join(labels, "node", "left")
-             .select("fp_a", "fp_b", F.coalesce("community", "node").alias("component_id")))
+    labels = stage(components(links, ends, "node").join(classes.select("node", "first_id"), "node"), "labels")
+    first = labels.groupBy("community").agg(F.min("first_id").alias("smallest"))
+    named = (classes.select("fp_a", "fp_b", "node", "first_id").join(labels.join(first, "community").select("node", "smallest"), "node", "left")
+             .select("fp_a", "fp_b", F.coalesce("smallest", "first_id").alias("component_id")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (seen.select("doc_id", "mark", F.col("n").alias("n_shingles"), "fp_a", "fp_b")
             .join(named, ["fp_a", "fp_b"], "left")

@@ -61,6 +61,19 @@ def test_minhash_groups(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 3, 4, 5, 6, 8, 9, 9]
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    """One doc_id with a near copy and an unrelated text: each row is judged by its own text, and no text is lost."""
+    a = " ".join(f"a{i}" for i in range(60))
+    near = a.replace("a59", "other")
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (9, near), (9, b), (9, b), (12, b), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in op01_minhash.near_duplicates(docs).collect()}
+    assert got == {(5, 5, True), (9, 5, False), (9, 9, True), (12, 9, False), (7, 7, True)}
+    left = op01_minhash.without_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == sorted([(5, a), (9, b), (7, "")])
+
+
 def test_large_buckets(spark):
     """Many texts around a common passage, and a chain of near copies: exact components, with every path forced."""
     rng = np.random.default_rng(3)
