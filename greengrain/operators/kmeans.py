@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from greengrain.functions.staging import stage
 
 BLOCK_ROWS, STEPS, SEED = 4096, 60, 20230907
-BLOCKS = "grp int, k int, block long, n int, names array<string>, hashes binary, x binary"
+BLOCKS = "grp int, k int, block long, parts int, n int, names array<string>, hashes binary, x binary"
 # One row per group: centers [start, cluster, feature] and the clusters chosen so far, costs [start], counts [start, cluster].
 STATE = "grp int, k int, chosen int, centers binary, costs binary, counts binary, moving boolean"
 
@@ -54,9 +54,9 @@ def blocks_of(features: DataFrame, entity: str, names: list[str], groups: DataFr
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("name")
-        return pd.DataFrame([(part["grp"].iloc[0], part["k"].iloc[0], part["block"].iloc[0], len(part), list(part["name"]),
+        return pd.DataFrame([(part["grp"].iloc[0], part["k"].iloc[0], part["block"].iloc[0], part["_parts"].iloc[0], len(part), list(part["name"]),
                               part["h"].to_numpy(np.int64).tobytes(), np.stack(part["v"].to_numpy()).astype(float).tobytes())],
-                            columns=["grp", "k", "block", "n", "names", "hashes", "x"])
+                            columns=["grp", "k", "block", "parts", "n", "names", "hashes", "x"])
     rows = rows.withColumn("h", F.xxhash64("name"))
     return stage(rows.groupBy("grp", "k", "block").applyInPandas(pack, BLOCKS), "kmeans_blocks")
 
@@ -107,22 +107,35 @@ def _seeded(blocks: DataFrame, state: DataFrame, starts: int, seed: int) -> Data
     return stage(made.unionByName(state.where("chosen >= k")), "kmeans_state")
 
 
-def _stepped(blocks: DataFrame, state: DataFrame, starts: int) -> DataFrame:
+def _stepped(blocks: DataFrame, state: DataFrame, starts: int, steps: int) -> DataFrame:
     """Centers as means of their members; a cluster without members keeps its center."""
+    def sums_of(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = _squared(x, centers)
+        k = centers.shape[1]
+        at = (d.argmin(axis=2) + np.arange(starts) * k).ravel()
+        counts = np.bincount(at, minlength=starts * k).astype(float)
+        sums = np.stack([np.bincount(at, np.repeat(x[:, f], starts), starts * k) for f in range(x.shape[1])], axis=1)
+        return sums, counts, d.min(axis=2).sum(axis=0)
+
+    def moved(old: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts[:, None] > 0, sums / np.maximum(counts, 1.0)[:, None], old)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.to_pylist():
                 x, _, centers = _read(cell, starts)
-                d = _squared(x, centers)
-                label = d.argmin(axis=2)
-                k = centers.shape[1]
-                at = (label + np.arange(starts) * k).ravel()
-                counts = np.bincount(at, minlength=starts * k).astype(float)
-                sums = np.stack([np.bincount(at, np.repeat(x[:, f], starts), starts * k) for f in range(x.shape[1])], axis=1)
+                sums, counts, costs = sums_of(x, centers)
+                # a group of one block needs no other task for its next steps
+                for _ in range(steps if cell["parts"] == 1 else 0):
+                    new = moved(centers.reshape(sums.shape), sums, counts).reshape(centers.shape)
+                    if np.abs(new - centers).max(initial=0.0) <= 1e-9:
+                        break
+                    centers = new
+                    sums, counts, costs = sums_of(x, centers)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([cell["grp"]], pa.int32()), pa.array([cell["k"]], pa.int32()), pa.array([cell["block"]], pa.int64()),
-                     pa.array([cell["centers"]], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-                     pa.array([d.min(axis=2).sum(axis=0).tobytes()], pa.binary())], names=["grp", "k", "block", "centers", "sums", "counts", "costs"])
+                     *(pa.array([v.tobytes()], pa.binary()) for v in (centers, sums, counts, costs))],
+                    names=["grp", "k", "block", "centers", "sums", "counts", "costs"])
 
     def move(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block")  # the order of addition is fixed
@@ -131,7 +144,7 @@ def _stepped(blocks: DataFrame, state: DataFrame, starts: int) -> DataFrame:
         counts, costs = total("counts"), total("costs")
         old = np.frombuffer(part["centers"].iloc[0]).reshape(starts * k, -1)
         sums = total("sums").reshape(old.shape)
-        new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1.0)[:, None], old)
+        new = moved(old, sums, counts)
         moving = bool(np.abs(new - old).max(initial=0.0) > 1e-9)
         return pd.DataFrame([(part["grp"].iloc[0], k, k, new.tobytes(), costs.tobytes(), counts.tobytes(), moving)],
                             columns=["grp", "k", "chosen", "centers", "costs", "counts", "moving"])
@@ -149,7 +162,7 @@ def fit(blocks: DataFrame, starts: int, seed: int = SEED, steps: int = STEPS) ->
     for _ in range(most):
         state = _seeded(blocks, state, starts, seed)
     for _ in range(steps):
-        state = _stepped(blocks, state, starts)
+        state = _stepped(blocks, state, starts, steps)
         if state.where("moving").isEmpty():
             break
     return state
