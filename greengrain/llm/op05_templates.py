@@ -197,7 +197,8 @@ def templates(held: DataFrame, numbers: DataFrame, docs: DataFrame, lead: int, m
     asked = stage(long_.join(busy.select("leaf", "total"), "leaf").select("leaf", "total", "docs", "line_hash"), "leaf_lines")
     # the words of a line come from the text with the smallest mark that has it; equal texts give equal rows again
     where = stage(numbers.join(asked.select("line_hash"), "line_hash", "left_semi").groupBy("line_hash").agg(F.min("mark").alias("mark")), "line_places")
-    words = docs.select("mark", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn(
+    some = docs.join(where.select("mark").distinct(), "mark", "left_semi")
+    words = some.select("mark", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn(
         "line_hash", F.xxhash64("line")).join(where, ["mark", "line_hash"]).select("line_hash", words_of(F.col("line")).alias("words"))
     plain = lambda w: ~w.rlike("[0-9]")
     first = F.size(F.filter(F.slice("words", 1, lead), plain))
