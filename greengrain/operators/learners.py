@@ -35,6 +35,11 @@ def _long(df: DataFrame, features: list[str], targets: list[str], *keep) -> Data
     return df.select(CAT, "date", *keep, x.alias("x"), each.alias("t")).select(CAT, "date", *keep, "x", "t.target", "t.y")
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows, much work for each group: a number of partitions that is not merged for its small size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def crossfit(folded: DataFrame, features: list[str], targets: list[str], **rules) -> DataFrame:
     """Out-of-fold predictions `<target>_hat`: the rows of fold k from a fit on all rows of earlier folds.
 
@@ -45,7 +50,7 @@ def crossfit(folded: DataFrame, features: list[str], targets: list[str], **rules
     # a row is tested in its own fold and trains all later ones
     tasks = rows.withColumn("task", F.explode(F.sequence(F.greatest("fold", F.lit(1)), F.greatest(last, F.lit(1)))))
     tasks = tasks.withColumn("train", F.col("fold") < F.col("task"))
-    hats = tasks.groupBy(CAT, "target", "task").applyInPandas(_fitter(**rules), f"{CAT} string, date date, fold int, target string, hat double")
+    hats = _spread(tasks, CAT, "target", "task").groupBy(CAT, "target", "task").applyInPandas(_fitter(**rules), f"{CAT} string, date date, fold int, target string, hat double")
     wide = hats.groupBy(CAT, "date", "fold").agg(*[F.max(F.when(F.col("target") == t, F.col("hat"))).alias(f"{t}_hat") for t in targets])
     return stage(folded.select(CAT, "date", "fold", *targets).join(wide, [CAT, "date", "fold"]), "predictions")
 
@@ -54,5 +59,5 @@ def fit_predict(train: DataFrame, future: DataFrame, features: list[str], target
     """Fit on all history of each category and predict its future rows."""
     both = _long(train.na.drop(subset=[*features, target]), features, [target]).withColumn("train", F.lit(True)).unionByName(
         _long(future, features, [target]).withColumn("train", F.lit(False))).withColumn("fold", F.lit(0))
-    out = both.groupBy(CAT).applyInPandas(_fitter(**rules), f"{CAT} string, date date, fold int, target string, hat double")
+    out = _spread(both, CAT).groupBy(CAT).applyInPandas(_fitter(**rules), f"{CAT} string, date date, fold int, target string, hat double")
     return out.select(CAT, "date", F.col("hat").alias(f"{target}_hat"))
