@@ -244,21 +244,16 @@ def j06(spark, sf):
 part("sku_totals", "select sku_code, any_value(category_name) as category_name, sum(gross_sales_qty) as qty, sum(gross_revenue) as revenue from sku_day group by 1")
 
 
-def sku_totals(spark, sf):
-    return tables.sku_day(spark, sf).groupBy("sku_code").agg(
-        F.first("category_name").alias("category_name"), F.sum(QTY).alias("qty"), F.sum("gross_revenue").alias("revenue"))
-
-
 @query("t01_multi_key_sort", f"select sku_code, category_name, {fx_cols('qty', 'revenue', digits=4)} from sku_totals order by category_name, qty desc, sku_code")
 def t01(spark, sf):
-    return sku_totals(spark, sf).orderBy("category_name", F.desc("qty"), "sku_code").select(
+    return tables.sku_totals(spark, sf).orderBy("category_name", F.desc("qty"), "sku_code").select(
         "sku_code", "category_name", *fixed_cols("qty", "revenue", digits=4))
 
 
 @query("t02_top_n", f"""
     select sku_code, {fx('qty', 4)} as qty, {fx('revenue', 4)} as revenue from sku_totals order by qty desc, floor(revenue * 1e4 + 0.5) desc, sku_code limit 33""")
 def t02(spark, sf):
-    best = sku_totals(spark, sf).orderBy(F.desc("qty"), F.desc(fixed("revenue", 4)), "sku_code").limit(33)
+    best = tables.sku_totals(spark, sf).orderBy(F.desc("qty"), F.desc(fixed("revenue", 4)), "sku_code").limit(33)
     return best.select("sku_code", *fixed_cols("qty", "revenue", digits=4))
 
 
