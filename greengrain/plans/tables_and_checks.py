@@ -130,6 +130,8 @@ def s08(spark, sf):
       count_if(gross_weighted_avg_price is null) as null_gross_weighted_avg_price from sku_day""")
 def v01(spark, sf):
     daily = checks.require_columns(tables.sku_day(spark, sf), ["date", "sku_code", QTY])
+    # nearly every key is one row, so rows are dealt as they are, to as many tasks as the ledger asks for
+    daily = daily.select("date", "sku_code", QTY, "gross_weighted_avg_price").repartition(tables.line_tasks(spark, sf), "date", "sku_code")
     out = checks.table_rules(daily, ["date", "sku_code"], [QTY, "gross_weighted_avg_price"])
     return out.select("row_count", "duplicate_keys", day("first_date"), day("last_date"), *[
         f"{p}_{c}" for p in ("neg", "null") for c in (QTY, "gross_weighted_avg_price")])
