@@ -139,8 +139,8 @@ def open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
 def all_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components inside each bucket that can still be similar, each pair once.
 
-    m counts the elements of a set that any other set may hold, so no pair shares more than the smaller m. head tells
-    whether the key may bring the set together with a larger one.
+    m counts the elements of a set that the other set may hold if this is the first key they share, so a pair goes where
+    the smaller m is too few. head tells whether the key may bring the set together with a larger one.
     """
     a = members.select("key", F.col("node").alias("source"), F.col("n").alias("n_source"), F.col("m").alias("_m"), F.col("head").alias("_h"),
                        F.col("comp").alias("_x"))
@@ -155,8 +155,9 @@ def all_pairs(members: DataFrame, percent: int) -> DataFrame:
 def rare_elements(sets: DataFrame, percent: int) -> DataFrame:
     """(key, node, n, m, head): each set under its rarest n - ceil(t * n) + 1 elements, by the counts within `sets`.
 
-    m leaves out the elements of one set alone; a set that shares too few goes at once. With a set of its size or
-    more, a set must share one of its rarest n - ceil(2t / (1 + t) * n) + 1 elements already; head marks these.
+    A set that shares too few elements with any other goes at once. With a set of its size or more, a set must share
+    one of its rarest n - ceil(2t / (1 + t) * n) + 1 elements already; head marks these. m counts the elements from the
+    key on: two sets share no more than the smaller m under the first key they share, and that key brings them together.
     """
     rows = sets.select("node", F.size("members").cast("long").alias("n"), F.explode("members").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
@@ -166,7 +167,7 @@ def rare_elements(sets: DataFrame, percent: int) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"), F.count_if(F.col("df") > 1).alias("m"))
             .where(100 * F.col("m") >= percent * F.col("n"))
             .select("node", "n", "m", F.posexplode(F.slice("order", F.lit(1), take.cast("int"))).alias("pos", "e"))
-            .where("e.df > 1").select("e.key", "node", "n", "m", (F.col("pos") < short).alias("head")))
+            .where("e.df > 1").select("e.key", "node", "n", (F.col("n") - F.col("pos")).alias("m"), (F.col("pos") < short).alias("head")))
 
 
 def representatives(members: DataFrame, classes: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
