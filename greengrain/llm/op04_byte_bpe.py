@@ -5,6 +5,8 @@ that have a bucket, so the next merge is found by two find-first-set steps, what
 A bucket gives its positions from left to right. A merge changes the pairs on both sides and does not search for
 their old entries: an entry whose pair has another rank by now is stale and skipped. Work grows as n log n, so one
 pre-token of a million characters is no special case.
+
+Pre-tokens that are new in a slice of texts share one queue, which takes a bucket as a whole (`merge_queue`).
 """
 
 from __future__ import annotations
@@ -13,16 +15,17 @@ import base64
 import hashlib
 from collections.abc import Iterable
 from heapq import heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from greengrain.llm.common import by_batch
+from greengrain.llm.merge_queue import BIT, WIDTH, MergeQueue
+from greengrain.llm.tokens import Numbers, gather, numbered, pointers, slices
 
-WIDTH = 256
-BIT = [1 << i for i in range(WIDTH)]
-MEMO = 300_000
+MEMO, MEMO_IDS, FEW, SLICE = 600_000, 5_000_000, 256, 1 << 24
 
 
 class Codec:
@@ -34,7 +37,13 @@ class Codec:
         self.token = {b: a for a, b in self.rank.items()}
         self.split = regex.compile(pattern).findall
         self.low = [0] * (max(self.rank.values(), default=0) // WIDTH + 1)
-        self.memo: dict[str, list[int]] = {}
+        self.queue: MergeQueue | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.pieces = Numbers(), Numbers()
+        self.ids, self.ptr = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.piece_ids, self.piece_ptr = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -98,23 +107,91 @@ class Codec:
             i = after[i]
         return out
 
+    def pairs(self) -> MergeQueue:
+        """The queue over the pairs of parts that are a token together."""
+        if self.queue is None:
+            get, found = self.rank.get, []
+            for token, r in self.rank.items():
+                for cut in range(1, len(token)):
+                    a = get(token[:cut])
+                    if a is not None and (b := get(token[cut:])) is not None:
+                        found.append((a, b, r))
+            size = len(self.low) * WIDTH
+            self.queue = MergeQueue([get(bytes((a,)), -1) for a in range(256)], found, np.arange(size), size)
+        return self.queue
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row pointers) of many pre-tokens: the queue of `merge` over all of them; what is odd there is merged alone."""
+        whole = np.fromiter((self.rank.get(p, -1) for p in pieces), np.int32, len(pieces))
+        open_ = np.flatnonzero(whole < 0).tolist()
+        alone: dict[int, list[int]] = {}
+        sizes = np.ones(len(pieces), np.int64)
+        flat, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+        if len(open_) < FEW:
+            alone = {k: self.merge(pieces[k]) for k in open_}
+        else:
+            flat, counts, odd = self.pairs().run([pieces[k] for k in open_])
+            alone = {open_[k]: self.merge(pieces[open_[k]]) for k in odd}
+            if (flat < 0).any():
+                raise KeyError("the table lacks a byte")
+        if len(counts):
+            sizes[open_] = counts
+        for k, ids in alone.items():
+            sizes[k] = len(ids)
+        ptr = pointers(sizes)
+        out = np.empty(int(ptr[-1]), np.int32)
+        out[ptr[:-1][whole >= 0]] = whole[whole >= 0]
+        if len(counts):
+            many = np.array([k for k in open_ if k not in alone], np.int64)
+            out[gather(ptr, many)] = flat
+        for k, ids in alone.items():
+            out[ptr[k]:ptr[k + 1]] = ids
+        return out, ptr
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, row pointers). Each distinct part and each distinct pre-token is looked at once."""
+        if len(self.known) > MEMO or len(self.ids) > MEMO_IDS:  # only a memo: a fresh one costs time, not results
+            self.forget()
+        had = len(self.known)
+        rows, at = numbered(texts, self.known, self.split)
+        new = list(islice(reversed(self.known), len(self.known) - had))[::-1]
+        if new:
+            had = len(self.pieces)
+            found = list(map(self.split, new))
+            held = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(found)), np.int64)
+            fresh = list(islice(reversed(self.pieces), len(self.pieces) - had))[::-1]
+            if fresh:
+                ids, ptr = self.merge_all([p.encode("utf-8", "surrogatepass") for p in fresh])
+                self.piece_ids = np.concatenate([self.piece_ids, ids])
+                self.piece_ptr = np.concatenate([self.piece_ptr, self.piece_ptr[-1] + ptr[1:]])
+            ends = pointers(np.diff(self.piece_ptr)[held])[pointers(list(map(len, found)))]
+            self.ids = np.concatenate([self.ids, self.piece_ids[gather(self.piece_ptr, held)]])
+            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + ends[1:]])
+        ends = pointers(np.diff(self.ptr)[rows])
+        return self.ids[gather(self.ptr, rows)], ends[at]
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        memo = self.memo
-        for piece in self.split(text or ""):
-            known = memo.get(piece)
-            if known is None:
-                known = self.merge(piece.encode("utf-8", "surrogatepass"))
-                if len(memo) >= MEMO:  # only a memo: a fresh one costs time, not results
-                    memo.clear()
-                if len(piece) < 64:
-                    memo[piece] = known
-            ids += known
-        return ids
+        return self.merge_all([p.encode("utf-8", "surrogatepass") for p in self.split(text or "")])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
+    def digests(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[list[str], list[str]]:
+        """SHA-256 of the ids of each text and of the bytes they decode to."""
+        raw, bounds = ids.astype("<u4").data, ptr.tolist()
+        there = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:])]
+        back = [hashlib.sha256(self.decode(ids[a:b].tolist())).hexdigest() for a, b in zip(bounds, bounds[1:])]
+        return there, back
+
+
+def by_slice(df: DataFrame, make, schema: str) -> DataFrame:
+    """`make` over parts of the Arrow batches with a bounded amount of text."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, SLICE):
+                yield make(part)
+    return df.mapInArrow(run, schema)
+
 
 def read_table(path: str) -> bytes:
     """The rank file, read once by the driver; it travels inside the task (about 1 MB, fixed by the vocabulary)."""
@@ -133,9 +210,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec or codec.append(Codec(table, pattern))
-        ids = [np.array(codec[0].encode(t), np.int32) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-    return by_batch(_read(docs), make, "doc_id long, ids array<int>")
+        ids, ptr = codec[0].encode_all(batch.column("text"))
+        ids = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+    return by_slice(_read(docs), make, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -157,16 +235,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec or codec.append(Codec(table, pattern))
-        n, there, back = [], [], []
-        for text in batch.column("text").to_pylist():
-            ids = codec[0].encode(text)
-            n.append(len(ids))
-            there.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-            back.append(hashlib.sha256(codec[0].decode(ids)).hexdigest())
+        ids, ptr = codec[0].encode_all(batch.column("text"))
+        there, back = codec[0].digests(ids, ptr)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(there, pa.string()), pa.array(back, pa.string())],
+            [batch.column("doc_id"), pa.array(np.diff(ptr)), pa.array(there, pa.string()), pa.array(back, pa.string())],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return by_batch(_read(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_slice(_read(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -182,15 +256,14 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec or codec.append(Codec(table, pattern))
-        every = [np.array(codec[0].encode(t), "<u4") for t in batch.column("text").to_pylist()]
-        there = [hashlib.sha256(i.tobytes()).hexdigest() for i in every]
-        back = [hashlib.sha256(codec[0].decode(i.tolist())).hexdigest() for i in every]
+        ids, ptr = codec[0].encode_all(batch.column("text"))
+        there, back = codec[0].digests(ids, ptr)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), pa.array([i.view(np.int32) for i in every], pa.list_(pa.int32())),
-             pa.array(map(len, every), pa.int64()), pa.array(there, pa.string()), pa.array(back, pa.string())],
+            [batch.column("doc_id"), batch.column("source"), pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(ids)),
+             pa.array(np.diff(ptr)), pa.array(there, pa.string()), pa.array(back, pa.string())],
             names=["doc_id", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
     rows = _read(docs).withColumn("source", F.lit(None).cast("string")) if "source" not in docs.columns else docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         F.col("source").cast("string").alias("source"))
-    return by_batch(rows, make, "doc_id long, source string, ids array<int>, n_tokens long, ids_sha256 string, "
+    return by_slice(rows, make, "doc_id long, source string, ids array<int>, n_tokens long, ids_sha256 string, "
                                 "decoded_sha256 string")
