@@ -26,6 +26,7 @@ from greengrain.functions.staging import stage
 from greengrain.llm.tokens import ByteLevelTokens, pointers, read_bytes, slices
 
 ROOM, GROUP_ROWS, FAN = 2048, 65536, 4
+MEMO, SLICE = 600_000, 1 << 24
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -49,9 +50,9 @@ def pieces(docs: DataFrame, model: str, room: int = ROOM, end: int = 0, with_ids
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            for part in slices(batch):
-                coder = coder or ByteLevelTokens(table)
-                ids, ptr = coder.encode(part.column("text").to_pylist())
+            for part in slices(batch, SLICE):
+                coder = coder or ByteLevelTokens(table, memo=MEMO)
+                ids, ptr = coder.encode(part.column("text"))
                 flat = np.insert(ids, ptr[1:], end).astype("<u4")
                 doc, length = cut(np.diff(ptr) + 1, room)
                 at = pointers(length)
