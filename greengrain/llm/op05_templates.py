@@ -17,11 +17,16 @@ smallest mark, and linked where SAME_PERCENT of their sketches agree; classes ar
 texts alone, so every order and partitioning of the rows gives the same result.
 
 Counts are taken over distinct (line, class): a line in a third of all documents is one row per class, later one row.
+
+A text is split once, into hashes, leaves and word counts of its lines. It is read again for the words of lines that may have
+variables: a Bloom filter of fixed size (`Sieve`) tells in the scan which lines to send, and an exact join follows. Only the
+last step moves texts, once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
-from greengrain.llm.common import SPACE_CLASS, words_of
+from greengrain.llm.common import SPACE_CLASS, by_batch
 from greengrain.llm.tokens import gather, pointers, slices
 from greengrain.operators.network import components
 
@@ -40,14 +45,7 @@ EVIDENCE, PASSAGE, WIDE_PERCENT = 20, 50, 25
 SKETCH, BAND, SAME_PERCENT, SHINGLE = 48, 3, 40, 5
 # The field of the shingle hashes and the factor of their polynomial.
 PRIME, FACTOR = 2 ** 31 - 1, 1_000_003
-
-
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def _masked(word: Column) -> Column:
-    return F.when(word.rlike("[0-9]"), F.lit("*")).otherwise(word)
+DIGIT, LATIN = re.compile(b"[0-9]").search, re.compile(b"[A-Za-z]").search
 
 
 def needed(words: Column, least: int) -> Column:
@@ -64,13 +62,43 @@ def with_mark(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark().alias("mark"))
 
 
-def line_rows(docs: DataFrame, lead: int) -> DataFrame:
-    """(mark, line, line_hash, words, leaf, n): lines of each text that have a word."""
-    rows = docs.select("mark", F.explode(F.transform(F.array_distinct(_lines(F.col("text"))), lambda x: F.struct(
-        x.alias("line"), words_of(x).alias("words")))).alias("r")).select("mark", "r.line", "r.words")
-    first = F.transform(F.slice("words", 1, lead), _masked)
-    return (rows.withColumn("n", F.size("words")).where(F.col("n") > 0)
-            .withColumns({"leaf": F.xxhash64("n", first), "line_hash": F.xxhash64("line")}))
+def signed(h: int) -> int:
+    return h - (h >> 63 << 64)
+
+
+def leaf_of(line: bytes, n: int, lead: int) -> int:
+    """The leaf of a line of n words: n and its first words, those with a digit as one sign."""
+    import xxhash
+    first = [b"*" if DIGIT(w) else w for w in line.split(None, lead)[:lead]]
+    return xxhash.xxh64_intdigest(b" ".join(first), n)
+
+
+class Sieve:
+    """A Bloom filter of 64-bit hashes with 2 ** 23 bits, whatever their number: one megabyte goes to the driver and the tasks.
+
+    It only spares rows; what it lets through by chance is left out by the join that follows.
+    """
+
+    BITS, PART = 23, 15
+
+    def __init__(self, hashes: DataFrame, column: str):
+        spots = hashes.select(F.explode(F.array(*(self._spot(F.col(column), k) for k in range(2)))).alias("spot"))
+        parts = spots.groupBy(F.shiftright("spot", self.PART).alias("part")).agg(
+            F.bitmap_construct_agg(F.col("spot").bitwiseAND((1 << self.PART) - 1)).alias("bits")).collect()
+        held = np.zeros((1 << self.BITS - self.PART, 1 << self.PART - 3), np.uint8)
+        for r in parts:
+            held[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        self.held = held.ravel()
+
+    def _spot(self, h: Column, k: int) -> Column:
+        return F.shiftright(h, 20 * k + 7).bitwiseAND((1 << self.BITS) - 1)
+
+    def lets(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for k in range(2):
+            spot = (hashes >> (20 * k + 7)) & ((1 << self.BITS) - 1)
+            out &= (self.held[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
 
 class Words(dict):
@@ -130,45 +158,90 @@ def _runs(hashes: list[int], counts: list[int]) -> tuple[list[int | None], list[
     return runs, sizes
 
 
-def text_facts(texts: DataFrame) -> DataFrame:
-    """(mark, sketch, keys, hashes, runs, sizes) of each text; a text is split into lines and words once."""
+def text_facts(texts: DataFrame, lead: int) -> DataFrame:
+    """(mark, sketch, keys, hashes, runs, sizes, leaves, counts, letters) of each text; a text is split into lines and words once."""
     known = []
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
+        import regex
         import xxhash
+        letter = regex.compile(r"\p{L}").search
         known or known.append(Words())
         if len(known[0]) > 500_000:  # only a memo
             known[0].clear()
-        words, sizes, all_hashes, all_runs, all_sizes = [], [], [], [], []
-        for text in b.column("text").to_pylist():
-            before, hashes, counts = len(words), [], []
-            for line in text.encode("utf-8", "surrogatepass").split(b"\n") if text else ():
-                own = line.lower().split()
-                if own:
-                    h = xxhash.xxh64_intdigest(line, 42)
-                    hashes.append(h - (h >> 63 << 64))
-                    counts.append(len(own))
-                    words += own
-            sizes.append(len(words) - before)
-            runs, lengths = _runs(hashes, counts)
-            all_hashes.append(hashes)
-            all_runs.append(runs)
-            all_sizes.append(lengths)
-        least = smallest(np.fromiter(map(known[0].__getitem__, words), np.int64, len(words)), pointers(sizes))
+        parts = pc.split_pattern(b.column("text").fill_null(""), "\n")
+        flat, text_of = parts.flatten(), np.asarray(pc.list_parent_indices(parts))
+        split = pc.ascii_split_whitespace(flat)
+        words, line_of = split.flatten(), np.asarray(pc.list_parent_indices(split))
+        full = np.asarray(pc.binary_length(words)) > 0
+        each, line_of = pc.ascii_lower(words.filter(pa.array(full))).dictionary_encode(), line_of[full]
+        distinct = each.dictionary.cast(pa.binary()).to_pylist()
+        h = np.fromiter(map(known[0].__getitem__, distinct), np.int64, len(distinct))[np.asarray(each.indices)]
+        n = np.bincount(line_of, minlength=len(flat))
+        held = np.flatnonzero(n)
+        hashes, leaves, letters, counts = [], [], [], n[held].tolist()
+        for line, size in zip(flat.take(pa.array(held)).cast(pa.binary()).to_pylist(), counts):
+            hashes.append(signed(xxhash.xxh64_intdigest(line, 42)))
+            leaves.append(signed(leaf_of(line, size, lead)))
+            letters.append(LATIN(line) is not None or letter(line.decode("utf-8", "replace")) is not None)
+        at = pointers(np.bincount(text_of[held], minlength=b.num_rows))
+        runs, lengths = [], []
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            some, many = _runs(hashes[x:y], counts[x:y])
+            runs += some
+            lengths += many
+        least = smallest(h, pointers(np.bincount(text_of[line_of], minlength=b.num_rows)))
         tags = np.where(least < 0, 0, least % 127 + 1).astype(np.int8)
         keys, ptr = _keys(least)
         return pa.RecordBatch.from_arrays(
             [b.column("mark"), pa.FixedSizeListArray.from_arrays(pa.array(tags.ravel()), SKETCH).cast(pa.list_(pa.int8())),
-             pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(keys)), pa.array(all_hashes, pa.list_(pa.int64())),
-             pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_sizes, pa.list_(pa.int32()))],
-            ["mark", "sketch", "keys", "hashes", "runs", "sizes"])
+             pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(keys)),
+             *(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, t)) for v, t in (
+                 (hashes, pa.int64()), (runs, pa.int64()), (lengths, pa.int32()), (leaves, pa.int64()), (counts, pa.int32()), (letters, pa.bool_())))],
+            ["mark", "sketch", "keys", "hashes", "runs", "sizes", "leaves", "counts", "letters"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1 << 20):
+            for part in slices(batch, 1 << 23):
                 yield make(part)
     return texts.select("mark", "text").mapInArrow(
-        run, "mark long, sketch array<tinyint>, keys array<long>, hashes array<long>, runs array<long>, sizes array<int>")
+        run, "mark long, sketch array<tinyint>, keys array<long>, hashes array<long>, runs array<long>, sizes array<int>, "
+             "leaves array<long>, counts array<int>, letters array<boolean>")
+
+
+def line_numbers(facts: DataFrame) -> DataFrame:
+    """(mark, line_hash, leaf, n, letters): lines of each text that have a word."""
+    each = facts.select("mark", F.explode(F.arrays_zip("hashes", "leaves", "counts", "letters")).alias("r"))
+    return each.select("mark", F.col("r.hashes").alias("line_hash"), F.col("r.leaves").alias("leaf"), F.col("r.counts").alias("n"),
+                       F.col("r.letters").alias("letters"))
+
+
+def line_tokens(docs: DataFrame, where: DataFrame, lead: int) -> DataFrame:
+    """(line_hash, first, free, tokens) of the lines of `where` (line_hash, mark), read from the texts with these marks.
+
+    first counts the leading words without a digit, free the others; a token is the hash of leaf, place and word of one of these.
+    """
+    marks, lines = Sieve(where, "mark"), Sieve(where, "line_hash")
+
+    def make(b: pa.RecordBatch) -> pa.RecordBatch:
+        import xxhash
+        own = np.asarray(b.column("mark"))
+        out = [[] for _ in range(5)]
+        for k in np.flatnonzero(marks.lets(own)).tolist():
+            text = b.column("text")[k].as_py()
+            held = list(dict.fromkeys(text.encode("utf-8", "surrogatepass").split(b"\n"))) if text else []
+            hashes = np.fromiter((signed(xxhash.xxh64_intdigest(x, 42)) for x in held), np.int64, len(held))
+            for i in np.flatnonzero(lines.lets(hashes)).tolist():
+                words = held[i].split()
+                leaf = leaf_of(held[i], len(words), lead)
+                plain = [p for p, w in enumerate(words) if not DIGIT(w)]
+                tokens = [signed(xxhash.xxh64_intdigest(b"%d %b" % (p, words[p]), leaf)) for p in plain if p >= lead]
+                for column, value in zip(out, (own[k], hashes[i], len(plain) - len(tokens), len(tokens), tokens)):
+                    column.append(value)
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["mark", "line_hash", "first", "free", "tokens"])
+    found = by_batch(docs.select("mark", "text"), make, "mark long, line_hash long, first int, free int, tokens array<long>")
+    return found.join(where, ["mark", "line_hash"], "left_semi").drop("mark").dropDuplicates(["line_hash"])
 
 
 def classes(facts: DataFrame) -> DataFrame:
@@ -195,18 +268,11 @@ def templates(held: DataFrame, numbers: DataFrame, docs: DataFrame, lead: int, m
     long_ = lines.where(F.col("n") >= min_words)
     busy = long_.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1))
     asked = stage(long_.join(busy.select("leaf", "total"), "leaf").select("leaf", "total", "docs", "line_hash"), "leaf_lines")
-    # the words of a line come from the text with the smallest mark that has it; equal texts give equal rows again
+    # the words of a line come from the text with the smallest mark that has it
     where = stage(numbers.join(asked.select("line_hash"), "line_hash", "left_semi").groupBy("line_hash").agg(F.min("mark").alias("mark")), "line_places")
-    some = docs.join(where.select("mark").distinct(), "mark", "left_semi")
-    words = some.select("mark", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn(
-        "line_hash", F.xxhash64("line")).join(where, ["mark", "line_hash"]).select("line_hash", words_of(F.col("line")).alias("words"))
-    plain = lambda w: ~w.rlike("[0-9]")
-    first = F.size(F.filter(F.slice("words", 1, lead), plain))
-    at = (asked.join(words, "line_hash")
-          .select("leaf", "total", "docs", "line_hash", first.alias("first"), (F.size(F.filter("words", plain)) - first).alias("free"), F.posexplode("words").alias("pos", "word"))
-          .where((F.col("pos") >= lead) & plain(F.col("word")))
-          .select("leaf", "total", "docs", "line_hash", "first", "free", F.xxhash64("leaf", "pos", "word").alias("token")))
-    at = stage(at.distinct(), "leaf_words")
+    at = (asked.join(line_tokens(docs, where, lead), "line_hash")
+          .select("leaf", "total", "docs", "line_hash", "first", "free", F.explode("tokens").alias("token")))
+    at = stage(at, "leaf_words")
     sums = at.groupBy("token").agg(F.sum("docs").alias("c"), F.max("total").alias("total")).where(F.col("c") >= min_docs)
     fixed = sums.select("token", (100 * F.col("c") >= WIDE_PERCENT * F.col("total")).alias("wide"))
     both = at.join(fixed, "token").groupBy("leaf", "line_hash", "first", "free").agg(
@@ -236,9 +302,8 @@ def passages(facts: DataFrame, known: DataFrame) -> DataFrame:
 def judged_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, fixed_percent: int = FIXED_PERCENT
                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(recurring lines with their templates, (mark, line_hash) of all lines, (mark, line_hash) of passages) for with_mark rows."""
-    rows = line_rows(docs, lead)
-    numbers = stage(rows.select("mark", "leaf", "line_hash", "n", F.col("line").rlike(r"\p{L}").alias("letters")), "line_numbers")
-    facts = stage(text_facts(docs), "facts")
+    facts = stage(text_facts(docs, lead), "facts")
+    numbers = line_numbers(facts)
     known = stage(classes(facts), "classes")
     held = numbers.join(known, "mark", "left").select("leaf", "line_hash", "n", "letters", F.coalesce("class", "mark").alias("class")).distinct()
     held = stage(held, "line_classes")
@@ -262,7 +327,12 @@ def without_templates(docs: DataFrame, **options) -> DataFrame:
     number. An empty table gives no rows; further columns are not read.
     """
     marked = with_mark(docs)
-    drop = dropped_lines(marked, **options).groupBy("mark").agg(F.collect_list("line_hash").alias("gone"))
+    return stripped(marked, dropped_lines(marked, **options), "doc_id")
+
+
+def stripped(marked: DataFrame, dropped: DataFrame, own: str) -> DataFrame:
+    """(own, text, n_lines, n_dropped, mark) of texts (own, text, mark) without the lines (mark, line_hash); texts move once."""
+    drop = dropped.groupBy("mark").agg(F.collect_list("line_hash").alias("gone"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -282,20 +352,20 @@ def without_templates(docs: DataFrame, **options) -> DataFrame:
                 mask = np.zeros(b.num_rows, bool)
                 mask[hit] = True
                 text = pc.replace_with_mask(text, pa.array(mask), pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, count, pa.array(n_dropped), b.column("mark")],
-                                             ["doc_id", "text", "n_lines", "n_dropped", "mark"])
-    return marked.join(drop, "mark", "left").select("doc_id", "text", "gone", "mark").mapInArrow(
-        strip, "doc_id long, text string, n_lines long, n_dropped long, mark long")
+            yield pa.RecordBatch.from_arrays([b.column(own), text, count, pa.array(n_dropped), b.column("mark")],
+                                             [own, "text", "n_lines", "n_dropped", "mark"])
+    kind = marked.schema[own].dataType.simpleString()
+    return marked.join(drop, "mark", "left").select(own, "text", "gone", "mark").mapInArrow(
+        strip, f"{own} {kind}, text string, n_lines long, n_dropped long, mark long")
 
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """Documents with the columns of the input, without the dropped lines; a document left without a word goes."""
-    clean = without_templates(docs, **options).where("n_dropped > 0").select(
-        "mark", F.col("text").alias("clean_text")).dropDuplicates(["mark"])
-    packed = docs.select(F.struct(*docs.columns).alias("doc_row"), _mark().alias("mark"))
-    out = packed.join(clean, "mark", "left").where(F.col("clean_text").isNull() | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
-    own = lambda c: F.col("doc_row").getField(c)
-    return out.select(*[(F.coalesce("clean_text", own(c)) if c == "text" else own(c)).alias(c) for c in docs.columns])
+    dropped = dropped_lines(with_mark(docs), **options)
+    rows = docs.select(F.struct(F.lit(0).alias("_row"), *[c for c in docs.columns if c != "text"]).alias("doc_row"),
+                       F.col("text").cast("string").alias("text"), _mark().alias("mark"))
+    out = stripped(rows, dropped, "doc_row").where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[(F.col("text") if c == "text" else F.col("doc_row").getField(c)).alias(c) for c in docs.columns])
 
 
 # The same rule; hash values of lines and tokens are the lines and tokens themselves.
