@@ -259,10 +259,11 @@ def classes(facts: DataFrame) -> DataFrame:
 
 
 def templates(held: DataFrame, numbers: DataFrame, docs: DataFrame, lead: int, min_words: int, min_docs: int, fixed_percent: int) -> DataFrame:
-    """(line_hash, template, need, fields): the templates of every line, from distinct (line, class) rows."""
+    """(line_hash, template, need, fields) from distinct (line, class) rows: templates with variables, and lines that recur as they stand."""
     lines = stage(held.groupBy("leaf", "line_hash", "n", "letters").agg(F.count(F.lit(1)).alias("docs")), "lines")
     told = lines.where((F.col("n") >= min_words) | F.col("letters"))
-    exact = told.select("line_hash", F.xxhash64(F.lit("line"), "line_hash").alias("template"), needed(F.col("n"), 2).alias("need"),
+    # a line as it stands is held by its own classes alone
+    exact = told.where(F.col("docs") >= needed(F.col("n"), 2)).select("line_hash", F.xxhash64(F.lit("line"), "line_hash").alias("template"), needed(F.col("n"), 2).alias("need"),
                         F.lit(False).alias("fields"))
     # a leaf with one line has no other template; a leaf is as large as its distinct lines
     long_ = lines.where(F.col("n") >= min_words)
@@ -304,13 +305,14 @@ def judged_lines(docs: DataFrame, lead: int = LEAD, min_words: int = MIN_WORDS,
     """(recurring lines with their templates, (mark, line_hash) of all lines, (mark, line_hash) of passages) for with_mark rows."""
     facts = stage(text_facts(docs, lead), "facts")
     numbers = line_numbers(facts)
+    lines = facts.select("mark", F.explode("hashes").alias("line_hash"))
     known = stage(classes(facts), "classes")
     held = numbers.join(known, "mark", "left").select("leaf", "line_hash", "n", "letters", F.coalesce("class", "mark").alias("class")).distinct()
     held = stage(held, "line_classes")
-    shapes = stage(templates(held, numbers, docs, lead, min_words, min_docs, fixed_percent), "templates")
+    shapes = stage(templates(held, lines, docs, lead, min_words, min_docs, fixed_percent), "templates")
     counted = shapes.join(held.select("line_hash", "class"), "line_hash").select("template", "need", "class").distinct()
     bad = counted.groupBy("template").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("template")
-    return stage(shapes.join(bad, "template", "left_semi"), "recurring"), numbers.select("mark", "line_hash"), passages(facts, known)
+    return stage(shapes.join(bad, "template", "left_semi"), "recurring"), lines, passages(facts, known)
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
