@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,14 @@ def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed but keeps: Python workers stay beside later steps after their task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU library
+    if trim:
+        trim(0)
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """Words of a text in UTF-8 with A-Z lower-cased; bytes methods know ASCII only, as asked."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

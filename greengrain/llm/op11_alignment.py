@@ -10,7 +10,8 @@ multiplied, and products are expanded in blocks of rows, so a group of a million
 How many documents hold a pair of ids linked is a sum over the corpus. Documents are taken in chunks of bounded text:
 one row per chunk holds the links of its documents as a sparse matrix over the chunk's distinct pairs. Only distinct
 pairs per chunk travel to be counted, and the counts travel back to the chunk, where a sparse matrix-vector product
-gives the sums per document. The best count of an A id is a window over its pairs, at most one per id of B.
+gives the sums per document. The best count of an A id is a window over its pairs, at most one per id of B. Outside
+Python the matrix stays compressed: what an executor holds for a chunk is a fraction of its text.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from greengrain.functions.staging import stage
+from greengrain.llm.common import give_back
 from greengrain.llm.tokens import ByteLevelTokens, PieceTokens, gather, pointers, read_bytes, slices
 
 CHUNK_BYTES, SLICE_BYTES, EXPAND = 1 << 23, 1 << 19, 1 << 21
+ROW_GROUP = {"parquet.block.row.count.limit": "8"}  # chunks that a reader decodes at once, however large the files are
 BITS = 20  # a pair of ids is one number: a << BITS | b
 
 
@@ -154,21 +157,26 @@ class Aligner:
         return [flat[s:e - 1] if e > s else b"" for s, e in zip(ends[:-1], ends[1:])]
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Whole numbers as their lowest bytes, then the next ones, so that small numbers compress well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, compressed: their lowest bytes, then the next ones; the first byte tells how many each has."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    width = raw[0]
+    cells = np.zeros((n, 8), np.uint8)
+    cells[:, :width] = np.frombuffer(pa.decompress(raw[1:], n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return cells.view("<i8").ravel()
 
 
 FACTS = pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                    ("groups_sha256", pa.string())])
 CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(FACTS)), ("pairs", pa.list_(pa.int64())),
-                   ("held", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()), ("times", pa.list_(pa.int64()))])
+                   ("held", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()), ("times", pa.binary())])
 CHUNK_SQL = ("chunk long, docs array<struct<doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string>>, "
-             "pairs array<long>, held array<long>, sizes binary, places binary, times array<long>")
+             "pairs array<long>, held array<long>, sizes binary, places binary, times binary")
 
 
 class Chunk:
@@ -201,7 +209,7 @@ class Chunk:
         docs = pa.concat_arrays(self.docs)
         return pa.RecordBatch.from_arrays(
             [one(number), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), one(pairs), one(held),
-             one(planes(sizes)), one(planes(step)), one(np.concatenate(self.times))], schema=CHUNK)
+             one(packed(sizes)), one(packed(step)), one(packed(np.concatenate(self.times)))], schema=CHUNK)
 
 
 def chunks(docs: DataFrame, a_model: str, b_model: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -219,6 +227,8 @@ def chunks(docs: DataFrame, a_model: str, b_model: str, chunk_bytes: int = CHUNK
                     chunk, number = Chunk(), number + 1
         if chunk.docs:
             yield chunk.row(number)
+        aligner = chunk = batch = part = None
+        give_back()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, CHUNK_SQL)
 
@@ -234,9 +244,10 @@ def pair_counts(made: DataFrame) -> DataFrame:
 def sums(made: pa.Table, counts: pa.Table) -> pa.Table:
     """Per document of one chunk: its links, those with the best count, and the sum of counts."""
     docs = made.column("docs").combine_chunks().flatten()
-    sizes, step = (from_planes(made.column(c)[0].as_py()) for c in ("sizes", "places"))
-    times = made.column("times").combine_chunks().flatten().to_numpy()
+    raw = {c: made.column(c)[0].as_py() for c in ("sizes", "places", "times")}
+    sizes = unpacked(raw["sizes"], len(docs))
     ptr = pointers(sizes)
+    step, times = (unpacked(raw[c], int(ptr[-1])) for c in ("places", "times"))
     # differences back to places: a running sum that starts anew with each document
     run = pointers(step)
     place = run[1:] - np.repeat(run[ptr[:-1]], sizes)
@@ -257,7 +268,7 @@ def aligned(docs: DataFrame, a_model: str, b_model: str, chunk_bytes: int = CHUN
     are aligned. Repeated rows and NULL doc_ids stay, each row counts as a document; an empty table gives an empty
     one, and further columns are not read.
     """
-    made = stage(chunks(docs, a_model, b_model, chunk_bytes), "alignment")
+    made = stage(chunks(docs, a_model, b_model, chunk_bytes), "alignment", **ROW_GROUP)
     asked = made.select("chunk", F.posexplode("pairs").alias("place", "pair"))
     counts = asked.join(pair_counts(made), "pair").select(F.col("chunk").alias("of"), "place", "n", "best")
     rows = made.select("chunk", "docs", "sizes", "places", "times")
@@ -267,7 +278,7 @@ def aligned(docs: DataFrame, a_model: str, b_model: str, chunk_bytes: int = CHUN
 
 def translations(docs: DataFrame, a_model: str, b_model: str) -> DataFrame:
     """(a_id, b_id, n, best): the pairs of ids linked in any document, with the number of documents."""
-    counts = pair_counts(stage(chunks(docs, a_model, b_model), "alignment"))
+    counts = pair_counts(stage(chunks(docs, a_model, b_model), "alignment", **ROW_GROUP))
     return counts.select(F.shiftright("pair", BITS).cast("int").alias("a_id"),
                          F.col("pair").bitwiseAND((1 << BITS) - 1).cast("int").alias("b_id"), "n", "best")
 
